@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelrisk.llm import decontam, mixing, quality, substring, token_counts, token_files
+from panelrisk.llm import decontam, mixing, neardup, quality, substring, token_counts, token_files
 from panelrisk.llm.store import shared_path
 
 
@@ -30,6 +30,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.neardup_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
@@ -38,5 +42,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op8_token_counts, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op7_near_dedup, op8_token_counts, op10_decontamination)}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.MIX_SQL, "op4_substring_dedup": substring.SUBSTRING_SQL}
