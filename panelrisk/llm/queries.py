@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelrisk.llm import decontam, mixing, neardup, quality, substring, token_counts, token_files
+from panelrisk.llm import decontam, mixing, neardup, quality, substring, token_counts, token_files, vectors
 from panelrisk.llm.store import shared_path
 
 
@@ -38,9 +38,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_classes(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op7_near_dedup, op8_token_counts, op10_decontamination)}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.MIX_SQL, "op4_substring_dedup": substring.SUBSTRING_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op7_near_dedup, op8_token_counts, op9_embedding_dedup, op10_decontamination)}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.MIX_SQL, "op4_substring_dedup": substring.SUBSTRING_SQL, "op9_embedding_dedup": vectors.VECTORS_SQL}
