@@ -41,8 +41,8 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: fl
     left = F.sum("source_size").over(whole) - (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
     heavy = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     s = s.withColumn("level", left / heavy)
-    level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(whole)
-    target = F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap")))
+    # the level rises along the sources that are held and falls behind them
+    target = F.least(F.col("cap"), F.max("level").over(whole) * F.col("weight"))
     s = s.withColumn("target", target)
     return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
@@ -87,7 +87,7 @@ s AS (
 l AS (
   SELECT *, (sum(source_size) OVER () - (sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - cap))
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN cap > level * weight THEN level END) OVER () * weight, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM l),
 r AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
