@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,39 +26,29 @@ WINDOW = 50
 BASE = 25
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, window: int, k: int):
-    """Words' rows, hashes of k words by first word, first word of each row, which windows lie in one row."""
+def _words(data: np.ndarray, offsets: np.ndarray, window: int):
+    """Rows and hashes of the words, first word of each row (and their number), which windows lie in one row."""
     starts, ends, rows = T.spans(data, offsets, T.SPACED)
-    words = T.stretch_hashes(data, starts, ends)
     first = np.searchsorted(rows, np.arange(len(offsets)))
     n = len(rows) - window + 1
     valid = rows[window - 1 :] == rows[:n] if n > 0 else np.zeros(0, bool)
-    return rows, words, first, valid
+    return rows, T.stretch_hashes(data, starts, ends), first, valid
 
 
-def _lists(rows: np.ndarray, n: int, *columns: tuple[np.ndarray, pa.DataType]) -> list[pa.Array]:
-    return [T.lists(v, rows, n, kind) for v, kind in columns]
+def text_sums(docs: DataFrame) -> DataFrame:
+    """doc_id, id, th, n_words and the sha256 of all words, joined by one space."""
 
-
-def chosen_windows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """doc_id, id, th, n_words, sha256 of all words, and hashes and positions of the k-word windows chosen in each text."""
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in T.pieces(batch.column(1)):
-                n = hi - lo
-                rows, words, first, valid = _grams(data, offsets, window, k)
-                grams = T.window_hashes(words, k)
-                at = T.minimizers(grams, window - k + 1, valid)
-                raw = data.tobytes()
-                sums = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, n) for c in (0, 2, 3)), pa.array(np.diff(first), pa.int64()), pa.array(sums),
-                     *_lists(rows[at], n, (grams[at].view(np.int64), pa.int64()), ((at - first[rows[at]]).astype(np.int32), pa.int32()))],
-                    names=["doc_id", "id", "th", "n_words", "sha", "h", "pos"],
-                )
-
-    return docs.mapInArrow(choose, "doc_id long, id long, th long, n_words long, sha string, h array<long>, pos array<int>")
+            data, offsets = T.buffers(batch.column(1))
+            counts, out = [], []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                words = data[a:b].tobytes().split()
+                counts.append(len(words))
+                out.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), pa.array(counts, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "id", "th", "n_words", "sha"])
+
+    return docs.mapInArrow(sums, "doc_id long, id long, th long, n_words long, sha string")
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -67,57 +56,174 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
 
 
-def extended(docs: DataFrame, candidates: DataFrame, window: int, k: int, longer: int) -> DataFrame:
-    """uid, id, th and, for windows of `longer` words around candidate windows of k words, two hashes and positions.
+class Packer:
+    """Runs of window hashes, packed by bucket for the shuffle.
+
+    Equal windows share a bucket. What the windows of one chunk already tell is settled before the shuffle, so
+    that of a hash that very many documents have, a chunk sends only one document's windows: with `least`, windows
+    of documents with a larger id than another one of the chunk are repeated for certain; without, all windows
+    that two documents of the chunk have. Settled runs travel along, without hashes.
+    """
+
+    SCHEMA = "bucket int, n long, ids binary, starts binary, sizes binary, h binary, g binary, who binary"
+    CHUNK = 400_000
+
+    def __init__(self, buckets: int, least: bool):
+        self.buckets, self.least, self.parts, self.n = buckets, least, [], 0
+
+    def add(self, ids: np.ndarray, pos: np.ndarray, h: np.ndarray, g: np.ndarray, key: np.ndarray, who: np.ndarray | None = None) -> None:
+        """One entry for each window; key chooses the bucket. who: what must differ for a window to be repeated, by default the id."""
+        self.own = who is not None
+        self.parts.append((ids, pos, h, g, (key % np.uint64(self.buckets)).astype(np.int64), ids if who is None else who.view(np.int64)))
+        self.n += len(ids)
+
+    def full(self) -> bool:
+        return self.n >= self.CHUNK
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        ids, pos, h, g, bucket, who = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.n = [], 0
+        order = np.lexsort((who, g, h))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
+        group = np.cumsum(new) - 1
+        lo, hi = who[order][new], who[order][np.r_[np.flatnonzero(new)[1:] - 1, len(order) - 1]]
+        settled = np.empty(len(ids), bool)
+        settled[order] = who[order] > lo[group] if self.least else (lo < hi)[group]
+        # without `least`, one window of a settled hash still has to tell other chunks
+        extra = order[new & (lo < hi)[group]] if not self.least else order[:0]
+        rows = []
+        for done, which in ((True, np.flatnonzero(settled)), (False, np.sort(np.concatenate([np.flatnonzero(~settled), extra])))):
+            if not len(which):
+                continue
+            which = which[np.argsort(bucket[which], kind="stable")]
+            i, p, b = ids[which], pos[which], bucket[which]
+            begin = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (p[1:] != p[:-1] + 1)])
+            stop = np.r_[begin[1:], len(which)]
+            edges = np.flatnonzero(np.r_[True, b[begin][1:] != b[begin][:-1]])
+            for x, y in zip(edges.tolist(), np.r_[edges[1:], len(begin)].tolist(), strict=True):
+                u, v = begin[x], stop[y - 1]
+                own = which[u:v]
+                rows.append((int(b[u]), y - x, planes(i[begin[x:y]]), planes(p[begin[x:y]].astype(np.int32)), planes((stop[x:y] - begin[x:y]).astype(np.int32)), *((None,) * 3 if done else (h[own].tobytes(), g[own].tobytes(), who[own].tobytes() if self.own else None))))
+        names = ["bucket", "n", "ids", "starts", "sizes", "h", "g", "who"]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        for k in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), kinds, strict=True)], names=names)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of integers, those of equal weight together: what they share is compressed away in the shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def settled(packed: DataFrame, least: bool) -> DataFrame:
+    """id, runs: first words and lengths, one after the other, of the runs of repeated windows.
+
+    One bucket is one group; a chunk sends a bounded number of windows of any hash to it.
+    """
 
-    longer < window: again only the chosen ones of each `window`. candidates: id, at (positions of the k-word windows that are left).
+    def settle(table: pa.Table) -> pa.Table:
+        ids, starts, sizes, h, g, who, done = [], [], [], [], [], [], []
+        for row in table.to_pylist():
+            ids.append(unplaned(row["ids"], np.int64))
+            starts.append(unplaned(row["starts"], np.int32))
+            sizes.append(unplaned(row["sizes"], np.int32))
+            done.append(np.full(len(ids[-1]), row["h"] is None))
+            if row["h"] is not None:
+                h.append(np.frombuffer(row["h"], np.uint64))
+                g.append(np.frombuffer(row["g"], np.uint32))
+                who.append(np.repeat(ids[-1], sizes[-1]) if row["who"] is None else np.frombuffer(row["who"], np.int64))
+        ids, starts, sizes, done = (np.concatenate(x) for x in (ids, starts, sizes, done))
+        out = [(ids[done], starts[done], sizes[done])]
+        if h:
+            h, g, who = np.concatenate(h), np.concatenate(g), np.concatenate(who)
+            ids, starts, sizes = ids[~done], starts[~done], sizes[~done]
+            run = np.repeat(np.arange(len(ids)), sizes)
+            own = ids[run]
+            order = np.lexsort((who, g, h))
+            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
+            group = np.cumsum(new) - 1
+            lo, hi = who[order][new], who[order][np.r_[np.flatnonzero(new)[1:] - 1, len(order) - 1]]
+            again = np.empty(len(own), bool)
+            again[order] = who[order] > lo[group] if least else (lo < hi)[group]
+            which = np.flatnonzero(again)
+            if len(which):
+                pos = starts[run] + np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                begin = np.flatnonzero(np.r_[True, (run[which][1:] != run[which][:-1]) | (which[1:] != which[:-1] + 1)])
+                out.append((own[which[begin]], pos[which[begin]].astype(np.int32), np.diff(np.r_[begin, len(which)]).astype(np.int32)))
+        ids, starts, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(ids, kind="stable")
+        ids, pairs = ids[order], np.stack([starts[order], sizes[order]], axis=1).astype(np.int32).reshape(-1)
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+        return pa.table([pa.array(ids[first]), pa.ListArray.from_arrays(pa.array(np.r_[2 * first, 2 * len(ids)].astype(np.int32)), pa.array(pairs))], names=["id", "runs"])
+
+    return packed.groupBy("bucket").applyInArrow(settle, "id long, runs array<int>")
+
+
+def expanded(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position of everything in a column of runs."""
+    flat = runs.flatten().to_numpy().reshape(-1, 2).astype(np.int64)
+    row = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()) // 2)
+    size = flat[:, 1]
+    return np.repeat(row, size), np.repeat(flat[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def level(texts: DataFrame, window: int, k: int, before: int, buckets: int) -> DataFrame:
+    """Packed windows of k words of texts (text, id and, with before > 0, runs).
+
+    k < window: those chosen in each `window`. before: length of the windows that runs holds the candidates of;
+    a window is left out if the one of `before` words that is chosen in it is no candidate.
     """
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 33
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets, k == window)
         for batch in batches:
             for lo, hi, data, offsets in T.pieces(batch.column(0)):
-                n = hi - lo
-                rows, words, first, valid = _grams(data, offsets, window, k)
-                left = batch.column(3).slice(lo, n)
-                where = left.flatten().to_numpy() + np.repeat(first[:-1], np.diff(left.offsets.to_numpy()))
-                grams = T.window_hashes(words, k)
-                where = where[where < len(grams)]
-                own = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
-                own[where] = grams[where]
-                least, kept = (T._slide(x, window - k + 1, np.minimum) if len(x) > window - k else x[:0] for x in (grams, own))
-                valid = valid & (least == kept) if len(valid) else valid
-                if longer < window:
-                    at = T.minimizers(T.window_hashes(words, longer), window - longer + 1, valid)
+                rows, words, first, valid = _words(data, offsets, window)
+                if not valid.any():
+                    continue
+                if before:
+                    row, at = expanded(batch.column(2).slice(lo, hi - lo))
+                    grams, at = T.window_hashes(words, before), at + first[row]
+                    own = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
+                    at = at[at < len(grams)]
+                    own[at] = grams[at]
+                    chosen = T.slide(grams, window - before + 1, np.minimum)
+                    valid = valid & (chosen == T.slide(own, window - before + 1, np.minimum))
+                longer = T.window_hashes(words, k)
+                if k < window:
+                    at = T.minimizers(longer, window - k + 1, valid)
+                    key, g = longer[at], np.zeros(len(at), np.uint32)
                 else:
                     at = np.flatnonzero(valid)
-                a, b = T.window_hashes(words, longer)[at], (T.window_hashes(words, longer, salt=77)[at] >> np.uint64(33)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(n)), *(batch.column(c).slice(lo, n) for c in (1, 2)),
-                     *_lists(rows[at], n, (a.view(np.int64), pa.int64()), (b, pa.int32()), ((at - first[rows[at]]).astype(np.int32), pa.int32()))],
-                    names=["uid", "id", "th", "h", "g", "pos"],
-                )
-                uid += n
-
-    texts = keyed(docs).select("text", "id", "th").join(candidates, "id").select("text", "id", "th", "at")
-    return texts.mapInArrow(extend, "uid long, id long, th long, h array<long>, g array<int>, pos array<int>")
-
-
-def removed_windows(docs: DataFrame, first: DataFrame, window: int, base: int) -> DataFrame:
-    """id, th, at: first words of the windows to remove, of the rows `first` of chosen windows."""
-    k, rows = base, first.select("id", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("id", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"))
-    keys: tuple[str, ...] = ("h",)
+                    key = chosen[at] if before else longer[at]
+                    g = (T.window_hashes(words, k, salt=77)[at] >> np.uint64(32)).astype(np.uint32)
+                ids = batch.column(1).slice(lo, hi - lo).to_numpy()
+                packer.add(ids[rows[at]], at - first[rows[at]], longer[at], g, key)
+                if packer.full():
+                    yield from packer.flush()
+        yield from packer.flush()
+
+    return texts.mapInArrow(pack, Packer.SCHEMA)
+
+
+def removed_windows(docs: DataFrame, later: DataFrame, window: int, base: int) -> DataFrame:
+    """id, runs of the windows to remove; later: ids that are copies of a smaller one, and take no part."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts, k, before, found = keyed(docs).select("text", "id"), min(base, window), 0, None
     while True:
-        kept = rows.join(repeated(rows, *keys).drop("lo"), list(keys))
-        candidates = kept.groupBy("id").agg(F.collect_set("pos").alias("at"))
-        longer = min(2 * k, window)
-        table = written(extended(docs, candidates, window, k, longer), "longer-windows")
-        rows = table.select("uid", "id", F.explode(F.arrays_zip("h", "g", "pos")).alias("x")).select("uid", "id", F.col("x.h").alias("h"), F.col("x.g").alias("g"), F.col("x.pos").alias("pos"))
-        keys, k = ("h", "g"), longer
+        own = texts if found is None else texts.join(found, "id").select("text", "id", "runs")
+        found = settled(level(own, window, k, before, buckets), k == window).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
         if k == window:
-            break
-    later = rows.join(repeated(rows, *keys), list(keys)).where("id > lo")
-    return later.groupBy("uid").agg(F.collect_set("pos").alias("at")).join(table.select("uid", "id", "th"), "uid").drop("uid").dropDuplicates(["id", "th"])
+            return found
+        found = found.join(later, "id", "left_anti")
+        before, k = k, min(2 * k, window)
 
 
 def kept_words(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
@@ -126,13 +232,14 @@ def kept_words(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, kept = [], []
-            for text, at in zip(batch.column(0), batch.column(3), strict=True):
+            for text, runs in zip(batch.column(0), batch.column(3), strict=True):
                 words = (text.as_py() or "").encode().split()
-                change = np.zeros(len(words) + 1, np.int32)
-                at = np.asarray(at.values.to_numpy())
-                np.add.at(change, at, 1)
-                np.add.at(change, at + window, -1)
-                covered = np.cumsum(change[:-1]) > 0
+                change = np.zeros(len(words) + window + 1, np.int32)
+                start, size = runs.values.to_numpy().reshape(-1, 2).T.astype(np.int64)
+                inside = start + size + window - 1 <= len(words)  # runs of another text with the same id can be outside
+                np.add.at(change, start[inside], 1)
+                np.add.at(change, (start + size + window - 1)[inside], -1)
+                covered = np.cumsum(change)[: len(words)] > 0
                 gone.append(int(covered.sum()))
                 kept.append(b" ".join(words[k] for k in np.flatnonzero(~covered).tolist()))
             yield pa.RecordBatch.from_arrays(
@@ -140,24 +247,24 @@ def kept_words(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
                 names=["id", "th", "n_removed", "sha", "kept"],
             )
 
-    texts = keyed(docs).select("text", "id", "th").join(removed, ["id", "th"]).select("text", "id", "th", "at")
+    texts = keyed(docs).select("text", "id", "th").join(removed, "id").select("text", "id", "th", "runs")
     return texts.mapInArrow(cut, "id long, th long, n_removed long, sha string, kept string")
 
 
 def _parts(docs: DataFrame, window: int, base: int) -> tuple[DataFrame, DataFrame]:
-    table = written(chosen_windows(keyed(docs), window, min(base, window)), "chosen-windows")
+    """All rows with n_words, sha and copy (equal to a text with a smaller id), and the runs to remove."""
+    table = written(text_sums(keyed(docs)), "text-sums")
     copies = repeated(table.select("id", "sha", "n_words"), "sha", "n_words")
-    marked = table.drop("h", "pos").join(copies, ["sha", "n_words"], "left").withColumn("copy", F.col("id") > F.coalesce("lo", "id")).drop("lo")
-    later = marked.where("copy").select("id", "th").distinct()
-    first = table.where(F.size("h") > 0).join(later, ["id", "th"], "left_anti")
-    return marked, removed_windows(docs, first, window, min(base, window))
+    marked = written(table.join(copies, ["sha", "n_words"], "left").withColumn("copy", F.col("id") > F.coalesce("lo", "id")).drop("lo"), "marked")
+    return marked, removed_windows(docs, marked.where("copy").select("id").distinct(), window, base)
 
 
 def substring_digest(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs.
 
-    A null text has no words. A null doc_id counts as the largest. Rows with equal doc_id are not smaller than each
-    other, so they remove nothing from each other. Texts of fewer words than the window lose nothing.
+    A null text has no words. A null doc_id counts as the largest. Ids are taken to be unique: of rows with one
+    doc_id, equal ones have the same result and remove nothing from each other. Texts of fewer words than the window
+    lose nothing.
     """
     marked, removed = _parts(docs, window, base)
     cut = kept_words(docs, removed, window).select("id", "th", F.col("n_removed").alias("_n"), F.col("sha").alias("_sha")).dropDuplicates(["id", "th"])
@@ -170,13 +277,13 @@ def substring_digest(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
-    """docs with the words left as text: joined by single spaces where words were removed, as they were elsewhere."""
+    """docs with the words left as text: joined by single spaces where words were removed, else as they were."""
     marked, removed = _parts(docs, window, base)
-    cut = kept_words(docs, removed, window).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "kept").dropDuplicates(["_id", "_th"])
+    cut = kept_words(docs, removed, window).where("n_removed > 0").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "kept").dropDuplicates(["_id", "_th"])
     gone = marked.where(F.col("copy") & (F.col("n_words") >= window)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.lit("").alias("kept")).distinct()
-    new, columns = cut.unionByName(gone), docs.columns
+    new, columns = cut.unionByName(gone).withColumnRenamed("kept", "_kept"), docs.columns
     own = docs.withColumn("_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(docs["text"].cast("string"))).join(new, ["_id", "_th"], "left")
-    return own.withColumn("text", F.coalesce("kept", "text")).select(*[F.col(f"`{c}`") for c in columns])
+    return own.withColumn("text", F.coalesce("_kept", "text")).select(*[F.col(f"`{c}`") for c in columns])
 
 
 SUBSTRING_SQL = r"""

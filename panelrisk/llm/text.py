@@ -122,7 +122,7 @@ def window_hashes(values: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * powers(n)[1] + U(k))
 
 
-def _slide(a: np.ndarray, w: int, op) -> np.ndarray:
+def slide(a: np.ndarray, w: int, op) -> np.ndarray:
     """op over each w consecutive values."""
     done = 1
     while done < w:
@@ -139,10 +139,10 @@ def minimizers(a: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
     """
     if len(a) < w or not valid.any():
         return np.zeros(0, np.int64)
-    least = np.where(valid[: len(a) - w + 1], _slide(a, w, np.minimum), U(0))
+    least = np.where(valid[: len(a) - w + 1], slide(a, w, np.minimum), U(0))
     padded = np.zeros(len(a) + w - 1, U)
     padded[w - 1 : w - 1 + len(least)] = least
-    return np.flatnonzero((_slide(padded, w, np.maximum) == a) & (a > 0))
+    return np.flatnonzero((slide(padded, w, np.maximum) == a) & (a > 0))
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
