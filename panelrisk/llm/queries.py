@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelrisk.llm import decontam, mixing, neardup, quality, substring, suffix_tree, token_counts, token_files, vectors
+from panelrisk.llm import decontam, mixing, neardup, quality, substring, suffix_array, suffix_tree, token_counts, token_files, vectors
 from panelrisk.llm.store import shared_path
 
 
@@ -34,6 +34,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.neardup_digest(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op5_lm_scoring, op7_near_dedup, op8_token_counts, op9_embedding_dedup, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op5_lm_scoring, op6_suffix_dedup, op7_near_dedup, op8_token_counts, op9_embedding_dedup, op10_decontamination)}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.MIX_SQL, "op4_substring_dedup": substring.SUBSTRING_SQL, "op9_embedding_dedup": vectors.VECTORS_SQL}
