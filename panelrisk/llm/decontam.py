@@ -3,7 +3,7 @@
 Patterns are word windows of benchmark items. Texts and items are lower-cased (A-Z) and cut into words of
 digits, letters a-z and anything that is not ASCII. Patterns of one length share a shift table over hashed
 blocks of two words: where the last two words of a position's window end no pattern, the search skips as far as
-no pattern can begin. A shift of zero leads to the bucket of patterns with that ending block, and a direct
+no pattern can begin. A shift of zero leads to the bucket of patterns with that ending and first block, and a direct
 comparison of all words confirms an occurrence. Many stretches of text are searched in step, so that each
 skip is one numpy operation for all of them.
 """
@@ -45,9 +45,14 @@ class WuManber:
         self.shift = np.full(1 << self.bits, self.m - self.b + 1, np.int32)
         for q in range(self.b - 1, self.m):
             np.minimum.at(self.shift, self._slot(patterns[:, q - 1] if self.b == 2 else None, patterns[:, q]), self.m - 1 - q)
-        suffix = self._slot(patterns[:, -2] if self.b == 2 else None, patterns[:, -1])
-        self.order = np.argsort(suffix, kind="stable")
-        self.bucket = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1))
+        keys = self._bucket(self._slot(patterns[:, -2] if self.b == 2 else None, patterns[:, -1]), patterns[:, 0], patterns[:, self.b - 1])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    @staticmethod
+    def _bucket(slot: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Key of a bucket: the slot of the ending block and a hash of the first block."""
+        return (slot.astype(np.uint64) << np.uint64(32)) | (T.mix(first * np.uint64(5) + second) >> np.uint64(32))
 
     def _slot(self, before: np.ndarray | None, last: np.ndarray) -> np.ndarray:
         h = T.mix(last) if before is None else T.mix(before * np.uint64(3) + last)
@@ -77,7 +82,8 @@ class WuManber:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def _confirm(self, words: np.ndarray, ends: np.ndarray, slots: np.ndarray, found: list) -> None:
-        entry, last = self.bucket[slots], self.bucket[slots + 1]
+        wanted = self._bucket(slots, words[ends - self.m + 1], words[ends - self.m + self.b])
+        entry, last = np.searchsorted(self.keys, wanted, side="left"), np.searchsorted(self.keys, wanted, side="right")
         while len(ends):
             here = entry < last
             ends, entry, last = ends[here], entry[here], last[here]
