@@ -45,6 +45,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table = _printable_bytes()
+        #: Tokens that the library takes out of a text before it splits it; they are never cut.
+        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -88,6 +90,13 @@ class Encoder:
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         cut[1:-1] |= (_digits_letters[data[:-1]] & _punctuation[data[1:]]) | np.append((data[1:-1] == 0x20) & _visible[data[2:]], False)[: n - 1]
+        raw = data.tobytes()
+        for token in self.whole:
+            k = raw.find(token)
+            while k >= 0:
+                cut[k + 1 : k + len(token)] = False
+                k = raw.find(token, k + 1)
+        cut[offsets] = True
         at = np.flatnonzero(cut)
         starts, ends = at[:-1], at[1:]
         rows = np.searchsorted(offsets, starts, side="right") - 1
@@ -97,7 +106,6 @@ class Encoder:
         unknown = np.flatnonzero(self.keys[slots] != keys)
         if len(unknown):
             own, first, back = np.unique(keys[unknown], return_index=True, return_inverse=True)
-            raw = data.tobytes()
             where = unknown[first]
             entries[unknown] = self._add(own, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])[back]
         return entries, rows
