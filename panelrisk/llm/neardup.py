@@ -28,6 +28,8 @@ BANDS, ROWS = 24, 6
 REGISTERS = 149
 #: Texts of up to so many different shingles meet all registers at once.
 FEW = 32
+#: Texts of a bucket in one block, and how much lower than the similarity the share of equal registers may be (3.6 standard deviations).
+BLOCK, SLACK = 256, 0.12
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,17 +105,22 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
     Shingles with the same two counts add the same, so that the work is that of the pairs of counts that occur.
     """
-    keys = np.union1d(a[0], b[0])
-    both = np.zeros((2, len(keys)))
-    for k, (h, c) in enumerate((a, b)):
-        both[k, np.searchsorted(keys, h)] = c
-    kinds, many = np.unique(both, axis=1, return_counts=True)
-    shared = (kinds > 0).all(axis=0)
-    if not shared.any():
+    if not len(a[0]) or not len(b[0]):
         return 0.0
-    x, y = kinds[:, shared]
-    total = (np.maximum(kinds[0][None, :] / x[:, None], kinds[1][None, :] / y[:, None]) * many).sum(axis=1)
-    return float((many[shared] / total).sum())
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    shared = b[0][at] == a[0]
+    n = int(shared.sum())
+    if not n or (a[1].max() == 1 and b[1].max() == 1):
+        return n / (len(a[0]) + len(b[0]) - n)
+    rest = np.ones(len(b[0]), bool)
+    rest[at[shared]] = False
+    x = np.concatenate([a[1], np.zeros(rest.sum(), np.int64)])
+    y = np.concatenate([np.where(shared, b[1][at], 0), b[1][rest]])
+    kinds, many = np.unique(x * (int(y.max()) + 1) + y, return_counts=True)
+    x, y = (v.astype(np.float64) for v in np.divmod(kinds, int(y.max()) + 1))
+    own = (x > 0) & (y > 0)
+    total = (np.maximum(x[None, :] / x[own][:, None], y[None, :] / y[own][:, None]) * many).sum(axis=1)
+    return float((many[own] / total).sum())
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
@@ -162,6 +169,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return with_b.mapInArrow(verify, "a long, b long")
 
 
+def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """a, b: texts of one bucket and different components with similarity `similar` or more.
+
+    Texts are compared block by block, first by their sketches and then exactly, so that only links become rows. A pair
+    is compared in the bucket of the first band that it shares, and in no other.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in T.pieces(batch.column(1), 2 * T.PIECE):
+                rows, h, weights, _, _ = shingles(data, offsets)
+                own, at = sketches(rows, h, weights, hi - lo), np.searchsorted(rows, np.arange(hi - lo + 1))
+                cells = [[x.tobytes() for x in own]] + [[v[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for v in (h, weights.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, pa.binary()) for c in cells)], names=["uid", "registers", "hashes", "counts"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for k in range(batch.num_rows):
+                band, sides = batch.column(0)[k].as_py(), [batch.column(c)[k].values for c in (1, 2)]
+                registers = [np.frombuffer(b"".join(v.field("registers").to_pylist()), np.uint64).reshape(-1, REGISTERS) for v in sides]
+                component, uid = ([v.field(c).to_numpy() for v in sides] for c in ("component", "uid"))
+                equal = np.zeros((len(uid[0]), len(uid[1])), np.int16)
+                for p, q in zip(registers[0].T, registers[1].T, strict=True):
+                    equal += p[:, None] == q[None, :]
+                r, c = np.nonzero((equal >= (similar - SLACK) * REGISTERS) & (component[0][:, None] != component[1][None, :]))
+                shared = (registers[0][r] == registers[1][c])[:, : BANDS * ROWS].reshape(len(r), BANDS, ROWS).all(axis=2)
+                first = shared.argmax(axis=1) == band
+                texts_ = [[(np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)) for h, n in zip(v.field("hashes").to_pylist(), v.field("counts").to_pylist(), strict=True)] for v in sides]
+                for i, j in zip(r[first].tolist(), c[first].tolist(), strict=True):
+                    if probability_jaccard(texts_[0][i], texts_[1][j]) >= similar - 1e-12:
+                        out[0].append(int(uid[0][i]))
+                        out[1].append(int(uid[1][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    own = texts.join(placed.select("uid").distinct(), "uid").select("uid", "text").mapInArrow(sketched, "uid long, registers binary, hashes binary, counts binary")
+    parts = placed.withColumn("part", F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / BLOCK)))
+    blocks = parts.join(own, "uid").groupBy("key", "band", "part").agg(F.collect_list(F.struct("uid", "component", "registers", "hashes", "counts")).alias("x"))
+    both = blocks.join(blocks.select("key", F.col("part").alias("other"), F.col("x").alias("y")), "key").where("part <= other").select("band", "x", "y")
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, id, th, class_id, class_size, kept of every row of docs.
 
@@ -169,28 +218,28 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     band. class_id is its least doc_id, kept marks one row of it (the least doc_id; of rows with that id, one).
     Texts without words are alone; rows with equal doc_id are separate documents; a null doc_id counts as the largest.
 
-    In every bucket of a band all texts are compared to one of them first; whatever is not joined by that is compared
-    to every text of the bucket in another class. A large group of copies so costs a comparison for each copy.
+    In every bucket of a band all texts are compared to one of them first, the one that shares most buckets with others.
+    Where that leaves more than one component, all texts of the bucket that are in different ones are compared in blocks, by sketches
+    and, where these are close, exactly. A large group of copies so makes about a row for each copy.
     """
     table = written(_sketched(keyed(docs)), "sketches")
     same = table.where("n_words > 0").groupBy("whole", "n_words").agg(F.min("uid").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     copies = written(table.select("uid", "whole", "n_words").join(same, ["whole", "n_words"]).where("uid <> m").select(F.col("uid").alias("a"), F.col("m").alias("b")), "copies")
     firsts = table.join(copies.select(F.col("a").alias("uid")), "uid", "left_anti")
-    members = firsts.select("uid", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("uid").alias("leader"), F.max("uid").alias("last")).where("leader < last").drop("last")
+    members = firsts.select("uid", F.posexplode("keys").alias("band", "key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     inside = written(members.join(buckets, "key"), "buckets")
-    pairs = inside.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
+    weight = inside.groupBy("uid").agg(F.sum("size").alias("weight"))
+    leaders = inside.join(weight, "uid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("uid")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("leader"))
+    pairs = inside.join(leaders, "key").where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
     wanted = inside.select("uid").distinct().join(table.select("uid", "id", "th"), "uid")
     texts = written(keyed(docs).select("text", "id", "th").join(wanted, ["id", "th"]).select("uid", "text").dropDuplicates(["uid"]), "candidate-texts")
     links = written(_verified(pairs, texts, similar), "links")
     joined = components(links)
     placed = inside.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    placed = written(placed.join(open_, "key"), "open-buckets")
-    main = placed.where("uid = leader").select("key", F.col("component").alias("main"))
-    outside = placed.join(main, "key").where("component <> main AND uid <> leader").select("key", F.col("uid").alias("o"), F.col("component").alias("oc"))
-    more = placed.where("uid <> leader").join(outside, "key").where("component <> oc").select(F.least("uid", "o").alias("a"), F.greatest("uid", "o").alias("b")).distinct()
-    rest = _verified(more, texts, similar)
+    placed = written(placed.join(open_, "key").select("key", "band", "uid", "component", "size"), "open-buckets")
+    rest = _linked_inside(placed, texts, similar)
     classes = components(written(links.unionAll(rest).unionAll(copies), "all-links"))
     sized = table.select("uid", "doc_id", "id", "th").join(classes.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = sized.groupBy("component").agg(F.min(F.struct("id", "uid", "doc_id")).alias("least"), F.count(F.lit(1)).alias("class_size"))
