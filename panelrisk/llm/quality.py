@@ -25,6 +25,8 @@ SAMPLE = 6000
 BITS = 16
 SIZE = (1 << BITS) + 1
 ACCEPT = 0.3
+#: Texts whose flags (SIZE bytes each) are held at a time, however short they are.
+ROWS = 64
 
 _upper, _lower = T.byte_class((0x41, 0x5A)), T.byte_class((0x61, 0x7A))
 _digit, _sign = T.byte_class((0x30, 0x39)), T.byte_class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
@@ -71,6 +73,14 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def flagged(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of rows lo..hi, at most ROWS, with their indicators."""
+    for lo, hi, data, offsets in T.pieces(column):
+        for a in range(0, hi - lo, ROWS):
+            own = offsets[a : min(a + ROWS, hi - lo) + 1]
+            yield lo + a, lo + a + len(own) - 1, indicators(data[own[0] : own[-1]], own - own[0])
+
+
 def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cost: np.ndarray, size: int, rounds: int = 20, seed: int = 5) -> np.ndarray:
     """Weights of the linear hinge-loss model with an upper bound `cost` on each row's dual variable."""
     w, alpha = np.zeros(size), np.zeros(len(rows))
@@ -151,8 +161,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in T.pieces(batch.column(2)):
-                flags = indicators(data, offsets)
+            for lo, hi, flags in flagged(batch.column(2)):
                 rows, at = np.nonzero(flags)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), T.lists(at.astype(np.int32), rows, hi - lo, pa.int32())], names=["key", "quality", "flags"])
 
@@ -188,10 +197,9 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, a, b = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in T.pieces(batch.column(1)):
+            for lo, hi, flags in flagged(batch.column(1)):
                 n = hi - lo
-                flags = indicators(data, offsets).astype(np.float32)
-                margin, norm = (flags @ w.T).astype(np.float64).T
+                margin, norm = (flags.astype(np.float32) @ w.T).astype(np.float64).T
                 s = 1 / (1 + np.exp(-np.clip(a * margin / np.sqrt(np.maximum(norm, 1e-12)) + b, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), batch.column(3).slice(lo, n), pa.array(s)], names=["doc_id", "id", "th", "score"])
 
