@@ -28,6 +28,8 @@ BANDS, ROWS = 24, 6
 REGISTERS = 149
 #: Texts of up to so many different shingles meet all registers at once.
 FEW = 32
+#: Shingles of such texts that are drawn for together, which bounds the memory whatever the lengths of texts.
+TOGETHER = 8192
 #: Texts of a bucket in one block, and how much lower than the similarity the share of equal registers may be (3.6 standard deviations).
 BLOCK, SLACK = 256, 0.12
 
@@ -73,9 +75,9 @@ def sketches(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int)
         kept[at[first]] = hashes[which[first]]
 
     few = np.flatnonzero(count[rows] <= FEW)
-    if len(few):
-        j = np.arange(p)
-        every, turn = np.repeat(few, p), np.tile(j, len(few))
+    for k in range(0, len(few), TOGETHER):
+        own = few[k : k + TOGETHER]
+        every, turn = np.repeat(own, p), np.tile(np.arange(p), len(own))
         put(every, turn, np.cumsum(waits(every, turn).reshape(-1, p), axis=1).reshape(-1))
     live, t, j = np.flatnonzero(count[rows] > FEW), None, 0
     t = np.zeros(len(live))

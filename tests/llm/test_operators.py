@@ -153,6 +153,19 @@ def test_quality(spark, docs, empty):
     assert quality.quality(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_flags_and_sketches_of_short_texts_are_made_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    given = ["", "one", "A b 9.", None, "x " * 40] * 30
+    whole = quality.indicators(*quality.T.buffers(pa.array(given)))
+    got = list(quality.flagged(pa.array(given)))
+    assert max(hi - lo for lo, hi, _ in got) <= quality.ROWS and (np.concatenate([f for *_, f in got]) == whole).all()
+    rows, h, weights, _, _ = neardup.shingles(*quality.T.buffers(pa.array(given)))
+    together = neardup.sketches(rows, h, weights, len(given))
+    monkeypatch.setattr(neardup, "TOGETHER", 7)
+    assert (neardup.sketches(rows, h, weights, len(given)) == together).all()
+
+
 def test_dual_descent_meets_the_optimality_conditions():
     rng = np.random.default_rng(0)
     x, y = rng.standard_normal((60, 5)), np.where(rng.random(60) < 0.5, 1.0, -1.0)
