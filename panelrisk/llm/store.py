@@ -27,6 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession, size: int, each: int) -> int:
+    """Buckets for data of this size, none of which should hold more than `each`; two for each shuffle partition at least."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key (id, th) that repeated rows share and that is never null.
 

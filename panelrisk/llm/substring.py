@@ -6,6 +6,10 @@ long windows hold equal ones) are compared. Windows that are repeated in another
 extended to twice their length, again at chosen positions, until the length is that of the operator; there
 every window whose chosen part is still a candidate is compared. Equal texts are told apart first, so that
 of a group of copies only the first takes part.
+
+Windows around one chosen position go to one bucket, so that runs of them travel packed. Where a part of this kind
+holds a large share of all chosen positions (a passage that very many documents hold, whose edges differ),
+the windows around it are dealt by their own hashes instead.
 """
 
 from __future__ import annotations
@@ -19,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
-from panelrisk.llm.store import NO_ID, keyed, written
+from panelrisk.llm.store import NO_ID, bucket_count, keyed, written
 
 WINDOW = 50
 #: Length of the first level; doubled up to the window.
 BASE = 25
+#: Words of all texts for each bucket of windows; the windows of a bucket are held together.
+PER_BUCKET = 8_000_000
 
 
 def _words(data: np.ndarray, offsets: np.ndarray, window: int):
@@ -62,7 +68,8 @@ class Packer:
     Equal windows share a bucket. What the windows of one chunk already tell is settled before the shuffle, so
     that of a hash that very many documents have, a chunk sends only one document's windows: with `least`, windows
     of documents with a larger id than another one of the chunk are repeated for certain; without, all windows
-    that two documents of the chunk have. Settled runs travel along, without hashes.
+    that two documents of the chunk have. Settled runs travel along, without hashes; they have nothing to meet and are
+    dealt by document.
     """
 
     SCHEMA = "bucket int, n long, ids binary, starts binary, sizes binary, h binary, g binary, who binary"
@@ -97,8 +104,10 @@ class Packer:
         for done, which in ((True, np.flatnonzero(settled)), (False, np.sort(np.concatenate([np.flatnonzero(~settled), extra])))):
             if not len(which):
                 continue
-            which = which[np.argsort(bucket[which], kind="stable")]
-            i, p, b = ids[which], pos[which], bucket[which]
+            b = (T.mix(ids[which].view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64) if done else bucket[which]
+            order = np.argsort(b, kind="stable")
+            which, b = which[order], b[order]
+            i, p = ids[which], pos[which]
             begin = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (p[1:] != p[:-1] + 1)])
             stop = np.r_[begin[1:], len(which)]
             edges = np.flatnonzero(np.r_[True, b[begin][1:] != b[begin][:-1]])
@@ -174,12 +183,50 @@ def expanded(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(row, size), np.repeat(flat[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def level(texts: DataFrame, window: int, k: int, before: int, buckets: int) -> DataFrame:
+def hot_anchors(texts: DataFrame, window: int, k: int, buckets: int) -> np.ndarray:
+    """Hashes of k words that hold a large share of the positions chosen in windows; ascending, at most 8 * buckets.
+
+    Each chunk tells those that hold 1 / (8 * buckets) of its own positions or more; a hash with twice that share of all
+    positions is found for certain.
+    """
+    share = 1 / (8 * buckets)
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            total = int(counts.sum())
+            some = counts >= share * total
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(keys[some].view(np.int64))]), pa.array(np.r_[total, counts[some]])], names=["h", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in T.pieces(batch.column(0)):
+                _, words, _, valid = _words(data, offsets, window)
+                grams = T.window_hashes(words, k)
+                at = T.minimizers(grams, window - k + 1, valid)
+                if len(at):
+                    parts.append(grams[at])
+                if sum(map(len, parts)) > Packer.CHUNK:
+                    yield from flush()
+                    parts.clear()
+        if parts:
+            yield from flush()
+
+    sums = written(texts.select("text").mapInArrow(heavy, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "hot-anchors")
+    total = sums.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = sums.where("h IS NOT NULL").where(F.col("n") >= share * total).select("h").collect()
+    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+
+
+def level(texts: DataFrame, window: int, k: int, before: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """Packed windows of k words of texts (text, id and, with before > 0, runs).
 
     k < window: those chosen in each `window`. before: length of the windows that runs holds the candidates of;
-    a window is left out if the one of `before` words that is chosen in it is no candidate.
+    a window is left out if the one of `before` words that is chosen in it is no candidate. hot: chosen windows of `before`
+    words whose surroundings are dealt by their own hashes.
     """
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, k == window)
@@ -202,7 +249,11 @@ def level(texts: DataFrame, window: int, k: int, before: int, buckets: int) -> D
                     key, g = longer[at], np.zeros(len(at), np.uint32)
                 else:
                     at = np.flatnonzero(valid)
-                    key = chosen[at] if before else longer[at]
+                    key = longer[at]
+                    if before:
+                        near, hot = chosen[at], shared.value
+                        often = hot[np.minimum(np.searchsorted(hot, near), len(hot) - 1)] == near if len(hot) else np.zeros(len(near), bool)
+                        key = np.where(often, key, near)
                     g = (T.window_hashes(words, k, salt=77)[at] >> np.uint64(32)).astype(np.uint32)
                 ids = batch.column(1).slice(lo, hi - lo).to_numpy()
                 packer.add(ids[rows[at]], at - first[rows[at]], longer[at], g, key)
@@ -213,13 +264,14 @@ def level(texts: DataFrame, window: int, k: int, before: int, buckets: int) -> D
     return texts.mapInArrow(pack, Packer.SCHEMA)
 
 
-def removed_windows(docs: DataFrame, later: DataFrame, window: int, base: int) -> DataFrame:
+def removed_windows(docs: DataFrame, later: DataFrame, n_words: int, window: int, base: int) -> DataFrame:
     """id, runs of the windows to remove; later: ids that are copies of a smaller one, and take no part."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(docs.sparkSession, n_words, PER_BUCKET)
     texts, k, before, found = keyed(docs).select("text", "id"), min(base, window), 0, None
     while True:
         own = texts if found is None else texts.join(found, "id").select("text", "id", "runs")
-        found = settled(level(own, window, k, before, buckets), k == window).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        hot = hot_anchors(texts, window, before, buckets) if k == window and before else np.zeros(0, np.uint64)
+        found = settled(level(own, window, k, before, buckets, hot), k == window).groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
         if k == window:
             return found
         found = found.join(later, "id", "left_anti")
@@ -256,7 +308,8 @@ def _parts(docs: DataFrame, window: int, base: int) -> tuple[DataFrame, DataFram
     table = written(text_sums(keyed(docs)), "text-sums")
     copies = repeated(table.select("id", "sha", "n_words"), "sha", "n_words")
     marked = written(table.join(copies, ["sha", "n_words"], "left").withColumn("copy", F.col("id") > F.coalesce("lo", "id")).drop("lo"), "marked")
-    return marked, removed_windows(docs, marked.where("copy").select("id").distinct(), window, base)
+    n_words = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    return marked, removed_windows(docs, marked.where("copy").select("id").distinct(), n_words, window, base)
 
 
 def substring_digest(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
