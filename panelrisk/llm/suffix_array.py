@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
-from panelrisk.llm.store import NO_ID, keyed, written
+from panelrisk.llm.store import NO_ID, bucket_count, keyed, written
 from panelrisk.llm.substring import Packer, expanded, planes, settled, unplaned
 
 SIZE, GRAM = 400, 100
 #: Symbols that are sorted together, but for a single anchor with more; below it, three names fit into 64 bits.
 TOGETHER = 1 << 19
+#: Bytes of all texts for each bucket of anchors; the stretches of a bucket are held together.
+PER_BUCKET = 64 << 20
 
 
 def _names(*columns: np.ndarray) -> np.ndarray:
@@ -282,7 +284,7 @@ def _parts(docs: DataFrame, size: int, gram: int) -> tuple[DataFrame, DataFrame]
     copies = table.groupBy("sha", "n_bytes").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("c")).where("c > 1")
     marked = written(table.join(copies, ["sha", "n_bytes"], "left").withColumn("copied", F.col("c").isNotNull()), "byte-copies")
     later = marked.where("copied AND id > lo").select("id").distinct()
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(docs.sparkSession, table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0], PER_BUCKET)
     found = anchors(keyed(docs), size, gram, buckets).join(later, "id", "left_anti")
     texts = keyed(docs).select("text", "id").join(found, "id").select("text", "id", "runs")
     return marked.drop("lo", "c"), sorted_out(stretches(texts, size, gram, buckets), size)
