@@ -68,7 +68,8 @@ class Packer:
     Equal windows share a bucket. What the windows of one chunk already tell is settled before the shuffle, so
     that of a hash that very many documents have, a chunk sends only one document's windows: with `least`, windows
     of documents with a larger id than another one of the chunk are repeated for certain; without, all windows
-    that two documents of the chunk have. Settled runs travel along, without hashes; they have nothing to meet and are
+    that two documents of the chunk have, and two of these still go to the bucket, as another chunk's window can be
+    the same as one of them (`who`). Settled runs travel along, without hashes; they have nothing to meet and are
     dealt by document.
     """
 
@@ -95,11 +96,12 @@ class Packer:
         order = np.lexsort((who, g, h))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
         group = np.cumsum(new) - 1
-        lo, hi = who[order][new], who[order][np.r_[np.flatnonzero(new)[1:] - 1, len(order) - 1]]
+        last = np.r_[new[1:], True]
+        lo, hi = who[order][new], who[order][last]
         settled = np.empty(len(ids), bool)
         settled[order] = who[order] > lo[group] if self.least else (lo < hi)[group]
-        # without `least`, one window of a settled hash still has to tell other chunks
-        extra = order[new & (lo < hi)[group]] if not self.least else order[:0]
+        # without `least`, two different windows of a settled hash still have to tell other chunks
+        extra = order[(new | last) & (lo < hi)[group]] if not self.least else order[:0]
         rows = []
         for done, which in ((True, np.flatnonzero(settled)), (False, np.sort(np.concatenate([np.flatnonzero(~settled), extra])))):
             if not len(which):

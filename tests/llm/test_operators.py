@@ -262,6 +262,17 @@ def test_suffix_dedup(docs, rows, empty, size, gram):
     assert suffix_array.suffix_digest(empty, size, gram).count() == 0
 
 
+def test_suffix_dedup_of_copies_in_two_chunks(spark):
+    rng = random.Random(11)
+    draw = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    copied = [draw(900) for _ in range(16)]
+    beside = [draw(300) + a[200:650] + draw(250) for a in copied]
+    given = [*enumerate(copied), *((50 + k, "short") for k in range(16)), *((100 + k, a) for k, a in enumerate(copied)), *((200 + k, b) for k, b in enumerate(beside))]
+    got = by_id(suffix_array.suffix_digest(spark.createDataFrame(spark.sparkContext.parallelize(given, 2), "doc_id long, text string")))  # the copies are in different chunks
+    assert [got[200 + k]["n_spans"] for k in range(16)] == [1] * 16
+    assert all(450 <= got[200 + k]["n_removed"] <= 454 for k in range(16)) and all(got[k]["n_removed"] == 900 for k in range(16))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 7, 50, 301])
 @pytest.mark.parametrize("letters", [1, 2, 4])
 def test_suffix_order(n, letters):
