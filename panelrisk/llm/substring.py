@@ -15,7 +15,7 @@ the windows around it are dealt by their own hashes instead.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,48 +133,50 @@ def unplaned(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def settle(table: pa.Table, least: bool) -> pa.Table:
+    """id, runs of the packed windows of one bucket that are repeated."""
+    ids, starts, sizes, h, g, who, done = [], [], [], [], [], [], []
+    for row in table.to_pylist():
+        ids.append(unplaned(row["ids"], np.int64))
+        starts.append(unplaned(row["starts"], np.int32))
+        sizes.append(unplaned(row["sizes"], np.int32))
+        done.append(np.full(len(ids[-1]), row["h"] is None))
+        if row["h"] is not None:
+            h.append(np.frombuffer(row["h"], np.uint64))
+            g.append(np.frombuffer(row["g"], np.uint32))
+            who.append(np.repeat(ids[-1], sizes[-1]) if row["who"] is None else np.frombuffer(row["who"], np.int64))
+    ids, starts, sizes, done = (np.concatenate(x) for x in (ids, starts, sizes, done))
+    out = [(ids[done], starts[done], sizes[done])]
+    if h:
+        h, g, who = np.concatenate(h), np.concatenate(g), np.concatenate(who)
+        ids, starts, sizes = ids[~done], starts[~done], sizes[~done]
+        run = np.repeat(np.arange(len(ids)), sizes)
+        own = ids[run]
+        order = np.lexsort((who, g, h))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
+        group = np.cumsum(new) - 1
+        lo, hi = who[order][new], who[order][np.r_[np.flatnonzero(new)[1:] - 1, len(order) - 1]]
+        again = np.empty(len(own), bool)
+        again[order] = who[order] > lo[group] if least else (lo < hi)[group]
+        which = np.flatnonzero(again)
+        if len(which):
+            pos = starts[run] + np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            begin = np.flatnonzero(np.r_[True, (run[which][1:] != run[which][:-1]) | (which[1:] != which[:-1] + 1)])
+            out.append((own[which[begin]], pos[which[begin]].astype(np.int32), np.diff(np.r_[begin, len(which)]).astype(np.int32)))
+    ids, starts, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(ids, kind="stable")
+    ids, pairs = ids[order], np.stack([starts[order], sizes[order]], axis=1).astype(np.int32).reshape(-1)
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+    return pa.table([pa.array(ids[first]), pa.ListArray.from_arrays(pa.array(np.r_[2 * first, 2 * len(ids)].astype(np.int32)), pa.array(pairs))], names=["id", "runs"])
+
+
 def settled(packed: DataFrame, least: bool) -> DataFrame:
     """id, runs: first words and lengths, one after the other, of the runs of repeated windows.
 
     One bucket is one group; a chunk sends a bounded number of windows of any hash to it.
     """
 
-    def settle(table: pa.Table) -> pa.Table:
-        ids, starts, sizes, h, g, who, done = [], [], [], [], [], [], []
-        for row in table.to_pylist():
-            ids.append(unplaned(row["ids"], np.int64))
-            starts.append(unplaned(row["starts"], np.int32))
-            sizes.append(unplaned(row["sizes"], np.int32))
-            done.append(np.full(len(ids[-1]), row["h"] is None))
-            if row["h"] is not None:
-                h.append(np.frombuffer(row["h"], np.uint64))
-                g.append(np.frombuffer(row["g"], np.uint32))
-                who.append(np.repeat(ids[-1], sizes[-1]) if row["who"] is None else np.frombuffer(row["who"], np.int64))
-        ids, starts, sizes, done = (np.concatenate(x) for x in (ids, starts, sizes, done))
-        out = [(ids[done], starts[done], sizes[done])]
-        if h:
-            h, g, who = np.concatenate(h), np.concatenate(g), np.concatenate(who)
-            ids, starts, sizes = ids[~done], starts[~done], sizes[~done]
-            run = np.repeat(np.arange(len(ids)), sizes)
-            own = ids[run]
-            order = np.lexsort((who, g, h))
-            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
-            group = np.cumsum(new) - 1
-            lo, hi = who[order][new], who[order][np.r_[np.flatnonzero(new)[1:] - 1, len(order) - 1]]
-            again = np.empty(len(own), bool)
-            again[order] = who[order] > lo[group] if least else (lo < hi)[group]
-            which = np.flatnonzero(again)
-            if len(which):
-                pos = starts[run] + np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                begin = np.flatnonzero(np.r_[True, (run[which][1:] != run[which][:-1]) | (which[1:] != which[:-1] + 1)])
-                out.append((own[which[begin]], pos[which[begin]].astype(np.int32), np.diff(np.r_[begin, len(which)]).astype(np.int32)))
-        ids, starts, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(ids, kind="stable")
-        ids, pairs = ids[order], np.stack([starts[order], sizes[order]], axis=1).astype(np.int32).reshape(-1)
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        return pa.table([pa.array(ids[first]), pa.ListArray.from_arrays(pa.array(np.r_[2 * first, 2 * len(ids)].astype(np.int32)), pa.array(pairs))], names=["id", "runs"])
-
-    return packed.groupBy("bucket").applyInArrow(settle, "id long, runs array<int>")
+    return packed.groupBy("bucket").applyInArrow(lambda table: settle(table, least), "id long, runs array<int>")
 
 
 def expanded(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +187,11 @@ def expanded(runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(row, size), np.repeat(flat[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def hot_anchors(texts: DataFrame, window: int, k: int, buckets: int) -> np.ndarray:
-    """Hashes of k words that hold a large share of the positions chosen in windows; ascending, at most 8 * buckets.
+def heavy_hashes(texts: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray], share: float, name: str) -> np.ndarray:
+    """Hashes among those chosen in the texts (bytes, offsets) that hold `share` of all or more; ascending, at most 1 / share.
 
-    Each chunk tells those that hold 1 / (8 * buckets) of its own positions or more; a hash with twice that share of all
-    positions is found for certain.
+    Each chunk tells those that hold this share of its own; a hash with twice the share of all is found for certain.
     """
-    share = 1 / (8 * buckets)
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
@@ -204,23 +204,37 @@ def hot_anchors(texts: DataFrame, window: int, k: int, buckets: int) -> np.ndarr
 
         for batch in batches:
             for _, _, data, offsets in T.pieces(batch.column(0)):
-                _, words, _, valid = _words(data, offsets, window)
-                grams = T.window_hashes(words, k)
-                at = T.minimizers(grams, window - k + 1, valid)
-                if len(at):
-                    parts.append(grams[at])
+                found = chosen(data, offsets)
+                if len(found):
+                    parts.append(found)
                 if sum(map(len, parts)) > Packer.CHUNK:
                     yield from flush()
                     parts.clear()
         if parts:
             yield from flush()
 
-    sums = written(texts.select("text").mapInArrow(heavy, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "hot-anchors")
+    sums = written(texts.select("text").mapInArrow(heavy, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), name)
     total = sums.where("h IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = sums.where("h IS NOT NULL").where(F.col("n") >= share * total).select("h").collect()
     return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
 
 
+def is_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones (ascending)."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def hot_anchors(texts: DataFrame, window: int, k: int, buckets: int) -> np.ndarray:
+    """Hashes of k words that hold a large share (1 / (8 * buckets)) of the positions chosen in windows."""
+
+    def chosen(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        _, words, _, valid = _words(data, offsets, window)
+        grams = T.window_hashes(words, k)
+        return grams[T.minimizers(grams, window - k + 1, valid)]
+
+    return heavy_hashes(texts, chosen, 1 / (8 * buckets), "hot-anchors")
+
+
 def level(texts: DataFrame, window: int, k: int, before: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """Packed windows of k words of texts (text, id and, with before > 0, runs).
 
@@ -253,9 +267,8 @@ def level(texts: DataFrame, window: int, k: int, before: int, buckets: int, hot:
                     at = np.flatnonzero(valid)
                     key = longer[at]
                     if before:
-                        near, hot = chosen[at], shared.value
-                        often = hot[np.minimum(np.searchsorted(hot, near), len(hot) - 1)] == near if len(hot) else np.zeros(len(near), bool)
-                        key = np.where(often, key, near)
+                        near = chosen[at]
+                        key = np.where(is_in(near, shared.value), key, near)
                     g = (T.window_hashes(words, k, salt=77)[at] >> np.uint64(32)).astype(np.uint32)
                 ids = batch.column(1).slice(lo, hi - lo).to_numpy()
                 packer.add(ids[rows[at]], at - first[rows[at]], longer[at], g, key)

@@ -8,6 +8,10 @@ at positions not divisible by three are sorted and named, the names are sorted b
 are merged in. Recursion ends once names stand for `size` bytes. Then neighbours' first `size` bytes are compared. Equal
 stretches of a chunk travel once, with all places where they lie, so that a passage that very many documents hold is
 sent by each chunk once.
+
+Around an anchor that very many places hold (the edges of a passage that a large part of all documents hold differ in
+each), stretches are not sorted together: each string of `size` bytes there is dealt by its own hashes, so
+that equal strings alone meet.
 """
 
 from __future__ import annotations
@@ -17,18 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
 from panelrisk.llm.store import NO_ID, bucket_count, keyed, written
-from panelrisk.llm.substring import Packer, expanded, planes, settled, unplaned
+from panelrisk.llm.substring import Packer, expanded, heavy_hashes, is_in, planes, settle, settled, unplaned
 
 SIZE, GRAM = 400, 100
 #: Symbols that are sorted together, but for a single anchor with more; below it, three names fit into 64 bits.
 TOGETHER = 1 << 19
 #: Bytes of all texts for each bucket of anchors; the stretches of a bucket are held together.
 PER_BUCKET = 64 << 20
+#: Places from which an anchor is hot, and the most anchors that are.
+HOT, MOST_HOT = 2048, 1 << 20
 
 
 def _names(*columns: np.ndarray) -> np.ndarray:
@@ -173,11 +180,35 @@ class Stretches:
         self.own, self.n = {}, 0
 
 
-def stretches(texts: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
-    """Stretches of texts (text, id, runs of anchors that are left) in which strings with such an anchor lie."""
+#: Rows of Stretches and of Packer in one table.
+BOTH = f"{Stretches.SCHEMA}, n long, sizes binary, h binary, g binary, who binary"
+
+
+def hot_anchors(docs: DataFrame, n_bytes: int, size: int, gram: int) -> np.ndarray:
+    """Anchors that HOT places or more hold (by the expected number of anchors), for certain those with twice as many."""
+
+    def chosen(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        _, grams, valid = _grams(data, offsets, size, gram)
+        return grams[T.minimizers(grams, size - gram + 1, valid)]
+
+    places = 2 * n_bytes / (size - gram + 2)
+    return heavy_hashes(docs, chosen, max(HOT / places, 1 / MOST_HOT), "hot-stretches") if places > HOT else np.zeros(0, np.uint64)
+
+
+def stretches(texts: DataFrame, size: int, gram: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Stretches of texts (text, id, runs of anchors that are left) in which strings with such an anchor lie.
+
+    Around hot anchors, packed strings with their own hashes instead (anchors is null).
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+    columns = [f.split()[0] for f in BOTH.split(", ")]
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(c) if c in b.schema.names else pa.nulls(b.num_rows, {"n": pa.int64()}.get(c, pa.binary())) for c in columns], names=columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Stretches(buckets)
+        out, packer = Stretches(buckets), Packer(buckets, False)
         for batch in batches:
             for lo, hi, data, offsets in T.pieces(batch.column(0)):
                 rows, grams, valid = _grams(data, offsets, size, gram)
@@ -192,6 +223,16 @@ def stretches(texts: DataFrame, size: int, gram: int, buckets: int) -> DataFrame
                 possible = np.flatnonzero(valid & (least == T.slide(own, w, np.minimum)[: len(valid)]))
                 if not len(possible):
                     continue
+                often = is_in(least[possible], shared.value)
+                if often.any():
+                    own, possible = possible[often], possible[~often]
+                    id, pos = batch.column(1).slice(lo, hi - lo).to_numpy()[rows[own]], own - offsets[rows[own]]
+                    h, g = (T.window_hashes(T.BYTE_VALUES[data], size, salt)[own] for salt in (0, 77))
+                    packer.add(id, pos, h, (g >> np.uint64(32)).astype(np.uint32), h, T.mix(id.view(np.uint64) + pos.astype(np.uint64) * np.uint64(T.MULT)))
+                    if packer.full():
+                        yield from packer.flush()
+                    if not len(possible):
+                        continue
                 begin = np.flatnonzero(np.r_[True, (possible[1:] != possible[:-1] + 1) | (least[possible][1:] != least[possible][:-1]) | (rows[possible][1:] != rows[possible][:-1])])
                 ends = np.r_[begin[1:], len(possible)] - 1
                 raw, ids = data.tobytes(), batch.column(1).slice(lo, hi - lo).to_pylist()
@@ -200,14 +241,20 @@ def stretches(texts: DataFrame, size: int, gram: int, buckets: int) -> DataFrame
             if out.n > Stretches.CHUNK:
                 yield from out.flush()
         yield from out.flush()
+        yield from packer.flush()
 
-    return texts.mapInArrow(cut, Stretches.SCHEMA)
+    return texts.mapInArrow(lambda batches: both(cut(batches)), BOTH)
 
 
 def sorted_out(packed: DataFrame, size: int) -> DataFrame:
-    """id, runs: the strings of `size` bytes that start elsewhere, by suffix arrays of each bucket's stretches."""
+    """id, runs: the strings of `size` bytes that start elsewhere, by suffix arrays of each bucket's stretches, or by hash."""
 
     def sort(table: pa.Table) -> pa.Table:
+        own, dealt = (table.filter(f(table["anchors"])) for f in (pc.is_valid, pc.is_null))
+        out = [*([suffixes(own)] if own.num_rows else []), *([settle(dealt, False)] if dealt.num_rows else [])]
+        return pa.concat_tables([x.cast(pa.schema([("id", pa.int64()), ("runs", pa.list_(pa.int32()))])) for x in out])
+
+    def suffixes(table: pa.Table) -> pa.Table:
         keys, parts, places = [], [], []
         for row in table.to_pylist():
             lengths = unplaned(row["lengths"], np.int32)
@@ -284,10 +331,11 @@ def _parts(docs: DataFrame, size: int, gram: int) -> tuple[DataFrame, DataFrame]
     copies = table.groupBy("sha", "n_bytes").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("c")).where("c > 1")
     marked = written(table.join(copies, ["sha", "n_bytes"], "left").withColumn("copied", F.col("c").isNotNull()), "byte-copies")
     later = marked.where("copied AND id > lo").select("id").distinct()
-    buckets = bucket_count(docs.sparkSession, table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0], PER_BUCKET)
+    n_bytes = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    buckets, hot = bucket_count(docs.sparkSession, n_bytes, PER_BUCKET), hot_anchors(keyed(docs), n_bytes, size, gram)
     found = anchors(keyed(docs), size, gram, buckets).join(later, "id", "left_anti")
     texts = keyed(docs).select("text", "id").join(found, "id").select("text", "id", "runs")
-    return marked.drop("lo", "c"), sorted_out(stretches(texts, size, gram, buckets), size)
+    return marked.drop("lo", "c"), sorted_out(stretches(texts, size, gram, buckets, hot), size)
 
 
 def suffix_digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:

@@ -273,6 +273,26 @@ def test_suffix_dedup_of_copies_in_two_chunks(spark):
     assert all(450 <= got[200 + k]["n_removed"] <= 454 for k in range(16)) and all(got[k]["n_removed"] == 900 for k in range(16))
 
 
+def test_suffix_dedup_deals_out_hot_anchors(spark, docs, rows, empty, monkeypatch):
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = draw(500)
+    given = [(k, draw(rng.randrange(300, 600)) + passage + draw(300)) for k in range(300)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    monkeypatch.setattr(suffix_array, "HOT", 50)
+    n_bytes = sum(len(t) for _, t in given)
+    hot = suffix_array.hot_anchors(suffix_array.keyed(frame), n_bytes, 400, 100)
+    assert len(hot) > 0
+    every = suffix_array.anchors(suffix_array.keyed(frame), 400, 100, 8)
+    packed = suffix_array.stretches(suffix_array.keyed(frame).join(every, "id").select("text", "id", "runs"), 400, 100, 8, hot)
+    sizes = [len(r["lengths"]) // 4 for r in packed.where("anchors IS NOT NULL").collect()]
+    assert sum(sizes) < 300 / 2 and packed.where("anchors IS NULL").count() > 0
+    got = by_id(suffix_array.suffix_digest(frame))
+    assert all(500 <= got[k]["n_removed"] <= 510 and got[k]["n_spans"] == 1 for k, _ in given)
+    monkeypatch.setattr(suffix_array, "HOT", 1)
+    test_suffix_dedup(docs, rows, empty, 60, 20)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 7, 50, 301])
 @pytest.mark.parametrize("letters", [1, 2, 4])
 def test_suffix_order(n, letters):
