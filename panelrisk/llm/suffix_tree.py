@@ -1,14 +1,14 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 States are contexts of up to DEPTH words. Words and longer sequences are counted level by level over all training
-texts; a sequence enters the next level if its share of all tokens is at least SHARE, which bounds every level by 1 / SHARE
-entries and so what is broadcast. A context is kept if the log-likelihood that its own next-word distribution gains
+texts; a sequence enters the next level if it occurs LEAST times, at every size of the corpus. A context is kept if the log-likelihood that its own next-word distribution gains
 over that of its longest proper suffix passes a divergence test, and with it all its suffixes. Distributions are
 smoothed: the counts are discounted, and the mass that this frees follows the suffix state, down to the add-half
 distribution over single words. A token is scored in the state of the longest kept suffix of what precedes it.
 
-Words too rare for a level still have exact counts: texts ask for them by chunks, each different word of a chunk once,
-and the counts come back to the chunk.
+No level is ever held in one place. Texts are cut into chunks of tokens. Level by level, a chunk asks for the counts of its
+different sequences, adding its own: they meet by hash in buckets, whose number grows with the tokens, and the sums come back
+to the chunk. The sums of contexts (what follows, gains, kept suffixes) travel in the same way.
 """
 
 from __future__ import annotations
@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
-from panelrisk.llm.store import in_fold, written
+from panelrisk.llm.store import bucket_count, in_fold, written
 from panelrisk.llm.substring import planes, unplaned
 
-DEPTH, SHARE, GAIN, DISCOUNT = 3, 1e-6, 12.0, 0.5
+DEPTH, SHARE, GAIN, DISCOUNT = 3, 0.0, 12.0, 0.5
+#: Least count of a sequence; a share of all training tokens can be asked for besides.
+LEAST = 2
+#: Tokens of all texts for each bucket of sequences.
+PER_BUCKET = 4_000_000
 #: Tokens in a chunk, at most but for one piece.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 END = np.uint64(0x51ED270B0B1A3F29)
 
 
@@ -187,7 +191,7 @@ def _counted(train: DataFrame, tree, buckets: int) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, least: float) -> Level:
-    """The keys with counts of `least` or more: at most 1 / SHARE of them reach the driver."""
+    """The keys with counts of `least` or more: they are held by the driver."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,13 +206,13 @@ def _frequent(counts: DataFrame, least: float) -> Level:
 
 
 def grown(train: DataFrame, depth: int, share: float, gain: float, discount: float) -> tuple[Tree, DataFrame]:
-    """The tree over training texts (column text), and the table of the counts of all words."""
+    """The tree over training texts (column text) in memory, for small texts, and the table of the counts of all words."""
     spark = train.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = written(_counted(train, None, buckets), "word-counts")
     n, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tree = Tree(int(n), int(distinct))
-    least = max(2.0, share * tree.train)
+    least = max(LEAST, share * tree.train)
     tree.levels.append(_frequent(words, least))
     for _ in range(depth):
         if not len(tree.levels[-1].keys):
@@ -218,73 +222,196 @@ def grown(train: DataFrame, depth: int, share: float, gain: float, discount: flo
     return tree, words
 
 
-CHUNKS = "chunk long, doc_id array<long>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, words binary, at binary, ends array<long>"
+CHUNKS = "chunk long, doc_id array<long>, held array<boolean>, ends array<long>, words binary, codes binary"
+#: Removes the shuffle files of an action when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ANSWERS = "chunk long, step int, bucket int, sums binary, total double, positive long"
 
 
-def _partly_scored(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Chunks of texts: sums over their frequent words, their different rare words, and where these occur."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Texts (doc_id, text, held) as chunks: the different words, and the place of each token among them."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, chunk, held = shared.value, TaskContext.get().partitionId() << 32, []
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, []
 
-        def row(held: list) -> pa.RecordBatch:
-            ids, sizes, known, base, full, rare, many = zip(*held, strict=True)
-            words, at = np.unique(np.concatenate(rare), return_inverse=True)
-            columns = [pa.array([chunk], pa.int64()), pa.array([[y for x in ids for y in x]], pa.list_(pa.int64()))]
-            columns += [pa.array([np.concatenate(x)], pa.list_(t)) for x, t in ((sizes, pa.int64()), (known, pa.int64()), (base, pa.float64()), (full, pa.float64()))]
-            columns += [pa.array([planes(words)], pa.binary()), pa.array([planes(at.astype(np.uint32))], pa.binary()), pa.array([np.cumsum(np.concatenate(many))], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "n_tokens", "n_known", "base", "score", "words", "at", "ends"])
+        def row() -> pa.RecordBatch:
+            ids, out, values, many = zip(*held, strict=True)
+            words, codes = np.unique(np.concatenate(values), return_inverse=True)
+            lists = [pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())), pa.array([pa.concat_arrays(out).to_pylist()], pa.list_(pa.bool_())), pa.array([np.cumsum(np.concatenate(many))], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([planes(words)], pa.binary()), pa.array([planes(codes.astype(np.uint32))], pa.binary())], names=["chunk", "doc_id", "held", "ends", "words", "codes"])
 
         size = 0
         for batch in batches:
             for lo, hi, data, offsets in T.pieces(batch.column(1)):
-                n = hi - lo
                 values, rows = tokens(data, offsets)
-                found = tree.find(values, rows)
-                full = tree.score(found, rows)
-                own = found[0] >= 0
-                single = np.where(own, np.log10(tree.levels[0].p)[found[0]], 0.0) if len(tree.levels[0].keys) else np.zeros(len(rows))
-                add = lambda x: np.bincount(rows, weights=x, minlength=n)
-                held.append((batch.column(0).slice(lo, n).to_pylist(), np.bincount(rows, minlength=n), add(own).astype(np.int64), add(single), add(full), values[~own], np.bincount(rows[~own], minlength=n)))
+                held.append((batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), values, np.bincount(rows, minlength=hi - lo)))
                 size += len(values)
                 if size > CHUNK:
-                    yield row(held)
+                    yield row()
                     chunk, held, size = chunk + 1, [], 0
         if held:
-            yield row(held)
+            yield row()
 
-    return docs.mapInArrow(score, CHUNKS)
+    return docs.mapInArrow(cut, CHUNKS)
 
 
-def _rare_counts(chunks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
-    """chunk, at, counts: the counts of the chunk's words at these places, for one bucket in each row."""
+def _ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """The places of hashes by bucket, a range of hashes each; ascending hashes need no sort."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = None if (bucket[1:] >= bucket[:-1]).all() else np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket if order is None else bucket[order], np.arange(buckets + 1)).tolist()
+    for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if y > x:
+            yield b, slice(x, y) if order is None else order[x:y]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = unplaned(raw, np.uint64)
-                for bucket, at in _buckets(keys, buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([planes(keys[at])], pa.binary()), pa.array([planes(at.astype(np.uint32))], pa.binary())], names=["bucket", "chunk", "keys", "at"])
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(known["keys"].to_pylist()), np.uint64)
-        counts = np.append(np.frombuffer(b"".join(known["counts"].to_pylist()), np.int64), 0)
-        order = np.argsort(keys)
-        keys = keys[order]
-        out = []
-        for raw in asked["keys"].to_pylist():
-            wanted = unplaned(raw, np.uint64)
-            at = np.searchsorted(keys, wanted)
-            hit = at < len(keys)
-            hit[hit] = keys[at[hit]] == wanted[hit]
-            place = np.full(len(wanted), len(counts) - 1)
-            place[hit] = order[at[hit]]
-            out.append(planes(counts[place]))
-        return pa.table([asked["chunk"], asked["at"], pa.array(out, pa.binary())], names=["chunk", "at", "counts"])
-
-    asked = chunks.select("chunk", "words").mapInArrow(ask, "bucket int, chunk long, keys binary, at binary")
-    return asked.groupBy("bucket").cogroup(words.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(answer, "chunk long, at binary, counts binary")
+
+@dataclass
+class Rules:
+    """What the tree is built by; train and distinct are known after the words were counted."""
+
+    depth: int
+    share: float
+    gain: float
+    discount: float
+    buckets: int
+    train: int = 0
+    distinct: int = 0
+
+    @property
+    def least(self) -> float:
+        return max(LEAST, self.share * self.train)
+
+    @property
+    def scale(self) -> float:
+        return self.train + 0.5 * (self.distinct + 1)
+
+
+def _walk(row: dict, rules: Rules):
+    """What one chunk asks: yields keys and values, gets the sums of the values over all chunks; returns n_known, base_score, score.
+
+    A context's sums are those over the training tokens that follow it: each adds its part, so that they need not be told apart by chunk.
+    """
+    words, codes = unplaned(row["words"], np.uint64), unplaned(row["codes"], np.uint32).astype(np.int64)
+    ends = np.array(row["ends"], np.int64)
+    rows = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+    train = (~np.array(row["held"], bool))[rows].astype(float)
+    inner = np.r_[False, rows[1:] == rows[:-1]]
+    (own,) = yield words, [np.bincount(codes, weights=train, minlength=len(words))]
+    # sequences of each length: hashes, counts, and which one ends at each token, or -1
+    keys, counts, found = [words], [own], [np.where(own[codes] >= rules.least, codes, -1)]
+
+    def before(n: int) -> np.ndarray:
+        return np.where(inner, np.r_[-1, found[n][:-1]], -1)
+
+    for n in range(rules.depth):
+        context = before(n)
+        at = np.flatnonzero((context >= 0) & (found[n] >= 0))
+        longer, back = np.unique(T.mix(keys[n][context[at]] * np.uint64(5) + words[codes[at]]), return_inverse=True)
+        (own,) = yield longer, [np.bincount(back, weights=train[at], minlength=len(longer))]
+        here = np.full(len(codes), -1, np.int64)
+        here[at] = np.where(own[back] >= rules.least, back, -1)
+        keys.append(longer)
+        counts.append(own)
+        found.append(here)
+    known = np.bincount(rows, weights=counts[0][codes] > 0, minlength=len(ends)).astype(np.int64)
+    use, seen, kinds = [], [], []
+    for n in range(rules.depth):
+        context = before(n)
+        use.append(np.bincount(context[context >= 0], minlength=len(keys[n])) > 0)
+        at = np.flatnonzero(found[n + 1] >= 0)
+        seen.append(np.bincount(context[at], weights=train[at], minlength=len(keys[n])))
+        kinds.append(np.bincount(context[at], weights=train[at] / counts[n + 1][found[n + 1][at]], minlength=len(keys[n])))
+    pick = lambda x: np.concatenate([a[u] for a, u in zip(x, use, strict=True)])
+    asked, cuts = pick(keys[: rules.depth]), np.cumsum([u.sum() for u in use])[:-1]
+    sums = yield asked, [pick(seen), pick(kinds)]
+    p, rest, gained = [(counts[0] + 0.5) / rules.scale], [], []
+    for n, (total, many) in enumerate(zip(*(np.split(x, cuts) for x in sums), strict=True)):
+        seen[n][use[n]] = total
+        left = np.ones(len(keys[n]))
+        left[use[n]] = 1 - (total - rules.discount * np.round(many)) / counts[n][use[n]]
+        rest.append(left)
+        context, at = before(n), np.flatnonzero(found[n + 1] >= 0)
+        place = np.zeros(len(keys[n + 1]), np.int64)
+        place[found[n + 1][at]] = at
+        some = np.flatnonzero(counts[n + 1] >= rules.least)
+        c, suffix, own = context[place[some]], found[n][place[some]], np.ones(len(keys[n + 1]))
+        own[some] = (counts[n + 1][some] - rules.discount) / counts[n][c] + left[c] * p[n][suffix]
+        p.append(own)
+        gained.append(np.bincount(context[at], weights=train[at] * np.log(own[found[n + 1][at]] / p[n][found[n][at]]), minlength=len(keys[n])))
+    (sums,) = yield asked, [pick(gained).astype(np.float32).astype(float)]
+    kept = []
+    for n, total in enumerate(np.split(sums, cuts)):
+        kept.append(np.zeros(len(keys[n]), bool))
+        kept[n][use[n]] = total + ((counts[n] - seen[n]) * np.log(np.maximum(rest[n], 1e-300)))[use[n]] >= rules.gain
+    # suffixes of kept contexts are kept
+    by = [k.copy() for k in kept]
+    for n in range(rules.depth - 2, -1, -1):
+        at = np.flatnonzero(found[n + 1] >= 0)
+        by[n][found[n][at[by[n + 1][found[n + 1][at]]]]] = True
+    open_ = [u & ~k for u, k in zip(use, kept, strict=True)][:-1]
+    (sums,) = yield np.concatenate([words[:0], *(keys[n][o] for n, o in enumerate(open_))]), [np.concatenate([np.zeros(0), *(by[n][o].astype(float) for n, o in enumerate(open_))])]
+    for n, flags in enumerate(np.split(sums, np.cumsum([o.sum() for o in open_])[:-1]) if open_ else []):
+        kept[n][open_[n]] = flags > 0
+    out = np.log10(p[0])[codes]
+    base = np.bincount(rows, weights=out, minlength=len(ends))
+    for n in range(rules.depth):
+        context = before(n)
+        active = np.flatnonzero(context >= 0)
+        active = active[kept[n][context[active]]]
+        own = found[n + 1][active]
+        if len(active):
+            longer = np.log10(p[n + 1])[own] if len(p[n + 1]) else np.zeros(len(own))
+            out[active] = np.where(own >= 0, longer, np.log10(np.maximum(rest[n], 1e-300))[context[active]] + out[active])
+    return known, base, np.bincount(rows, weights=out, minlength=len(ends))
+
+
+def _resumed(row: dict, answered: pa.Table, rules: Rules, steps: int):
+    """The walk of a chunk after `steps` answers: the next keys and values, or what it returns."""
+    by: dict[tuple[int, int], bytes] = {(s, b): raw for s, b, raw in zip(*(answered[c].to_pylist() for c in ("step", "bucket", "sums")), strict=True)}
+    walk = _walk(row, rules)
+    try:
+        keys, values = next(walk)
+        for step in range(steps):
+            sums = [np.zeros(len(keys)) for _ in values]
+            for bucket, at in _ranges(keys, rules.buckets):
+                for own, x in zip(sums, unplaned(by[step, bucket], np.float64).reshape(len(values), -1), strict=True):
+                    own[at] = x
+            keys, values = walk.send(sums)
+        return keys, values
+    except StopIteration as end:
+        return end.value
+
+
+def _answers(chunks: DataFrame, answers: DataFrame, rules: Rules, step: int) -> DataFrame:
+    """The sums that every chunk asks for in this step, by chunk and bucket."""
+
+    def ask(own: pa.Table, answered: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        keys, values = _resumed(row, answered, rules, step)
+        out = [(row["chunk"], bucket, planes(keys[at]), planes(np.concatenate([x[at] for x in values]))) for bucket, at in _ranges(keys, rules.buckets)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "keys", "values"])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        parts = [unplaned(x, np.uint64) for x in table["keys"].to_pylist()]
+        keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+        values = np.concatenate([unplaned(x, np.float64).reshape(-1, len(k)) for x, k in zip(table["values"].to_pylist(), parts, strict=True)], axis=1)
+        sums = np.stack([np.bincount(back, weights=v, minlength=len(keys)) for v in values])
+        if step == rules.depth + 1:  # numbers of tokens and of kinds
+            sums = np.round(sums)
+        elif step == rules.depth + 2:  # gains; what is sent again in each round should compress
+            sums = sums.astype(np.float32).astype(float)
+        out = [planes(np.ascontiguousarray(sums[:, at]).reshape(-1)) for at in np.split(back, np.cumsum([len(k) for k in parts])[:-1])]
+        n = table.num_rows
+        return pa.table([table["chunk"], pa.array(np.full(n, step, np.int32)), table["bucket"], pa.array(out, pa.binary()), pa.array([float(sums[0].sum())] + [0.0] * (n - 1)), pa.array([int((sums[0] > 0).sum())] + [0] * (n - 1), pa.int64())], names=[f.split()[0] for f in ANSWERS.split(", ")])
+
+    asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, "chunk long, bucket int, keys binary, values binary")
+    spark, before = chunks.sparkSession, chunks.sparkSession.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # else the shuffle files of all steps stay until the driver happens to collect its garbage
+    try:
+        return written(asked.groupBy("bucket").applyInArrow(add, ANSWERS), f"answers-{step}")
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def lm_scores(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, gain: float = GAIN, discount: float = DISCOUNT) -> DataFrame:
@@ -293,26 +420,26 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, gain: f
     Texts of the fold crc32(doc_id) mod 5 = 1 are scored, but not learned from; those with a null id are learned from. A null
     text is empty and has its end alone. Without training texts every token is unknown and both scores are log10 of 1.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree, words = grown(docs.where(~in_fold(1)), depth, share, gain, discount)
-    chunks = written(_partly_scored(docs, tree), "scored-chunks")
-    answers = _rare_counts(chunks, words, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    scale, train = tree.scale, tree.train
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), in_fold(1).alias("held"))
+    chunks = written(_chunks(docs), "token-chunks")
+    n = chunks.agg(F.coalesce(F.sum(F.element_at("ends", -1)), F.lit(0))).first()[0]
+    rules, answers = Rules(depth, share, gain, discount, bucket_count(spark, n, PER_BUCKET)), spark.createDataFrame([], ANSWERS)
+    steps = depth + 4
+    for step in range(steps):
+        found = _answers(chunks, answers, rules, step)
+        if not step:
+            train, rules.distinct = found.agg(F.coalesce(F.sum("total"), F.lit(0.0)), F.coalesce(F.sum("positive"), F.lit(0))).first()
+            rules.train = int(train)
+        answers = found if not step else answers.unionAll(found)
 
     def finish(own: pa.Table, answered: pa.Table) -> pa.Table:
-        row = {c: own[c][0] for c in own.column_names}
-        n = len(unplaned(row["words"].as_py(), np.uint64))
-        counts = np.zeros(n, np.int64)
-        for at, c in zip(answered["at"].to_pylist(), answered["counts"].to_pylist(), strict=True):
-            counts[unplaned(at, np.uint32)] = unplaned(c, np.int64)
-        at = unplaned(row["at"].as_py(), np.uint32)
-        sums = [np.r_[0, np.cumsum(x[at])] for x in (np.log10((counts + 0.5) / scale), counts > 0)]
-        ends = np.r_[0, row["ends"].values.to_numpy()]
-        rare, known = (x[ends[1:]] - x[ends[:-1]] for x in sums)
+        row = own.to_pylist()[0]
+        known, base, score = _resumed(row, answered, rules, steps)
+        sizes = np.diff(np.r_[0, np.array(row["ends"], np.int64)])
         return pa.table(
-            [row["doc_id"].values, row["n_tokens"].values, pa.array(row["n_known"].values.to_numpy() + known), pa.array(np.full(len(rare), train, np.int64)), pa.array(row["base"].values.to_numpy() + rare), pa.array(row["score"].values.to_numpy() + rare)],
-            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(known), rules.train, np.int64)), pa.array(base), pa.array(score)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    done = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return done.select("doc_id", in_fold(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -225,6 +225,31 @@ def test_lm_scores(docs, rows, empty):
     assert suffix_tree.lm_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize(("share", "gain"), [(0.0, 2.0), (0.0, 12.0), (0.0005, 2.0)])
+def test_lm_scores_are_those_of_the_tree_in_memory(docs, rows, share, gain, monkeypatch):
+    from panelrisk.llm.store import in_fold
+
+    tree, _ = suffix_tree.grown(docs.where(~in_fold(1)), 3, share, gain, 0.5)
+    monkeypatch.setattr(suffix_tree, "CHUNK", 500)
+    got = by_id(suffix_tree.lm_scores(docs, share=share, gain=gain))
+    import pyarrow as pa
+
+    for d, t, *_ in rows:
+        values, of = suffix_tree.tokens(*suffix_tree.T.buffers(pa.array([t or ""])))
+        found = tree.find(values, of)
+        single = got[d]["base_score"] - np.log10(tree.levels[0].p)[found[0][found[0] >= 0]].sum()  # of rare words
+        assert math.isclose(got[d]["score"], tree.score(found, of).sum() + single, rel_tol=1e-9, abs_tol=1e-9), d
+
+
+def test_sequences_seen_twice_count_at_every_size(spark):
+    words = np.char.add("v", np.random.default_rng(5).integers(0, 50_000, 3_200_000).astype(str))
+    planted = " ".join(f"planted{k}" for k in range(40))
+    ids = [k for k in range(100) if crc5(k) != 1][:34]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in zip(ids, np.split(words, 32), strict=False)] + [(ids[32], planted), (ids[33], planted)], "doc_id long, text string")
+    got = by_id(suffix_tree.lm_scores(frame))[ids[33]]
+    assert got["train_tokens"] > 3_000_000 and got["base_score"] < -200 and got["score"] > -60
+
+
 def test_suffix_tree_is_a_distribution(spark, docs):
     from panelrisk.llm.store import in_fold
 
