@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from panelrisk.llm import components, decontam, encode, mixing, neardup, quality, substring, suffix_array, suffix_tree, token_counts, token_files, vectors
+from panelrisk.llm import components, decontam, encode, mixing, neardup, quality, substring, suffix_array, token_counts, token_files, vectors
 from panelrisk.llm.store import shared_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,64 +210,6 @@ def test_substring_dedup_keeps_columns_and_repeated_rows(docs, rows):
     assert substring.substring_digest(twice).count() == 2 * len(rows)
 
 
-def test_lm_scores(docs, rows, empty):
-    got = by_id(suffix_tree.lm_scores(docs, share=0.0005, gain=2.0))
-    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    tokens = {d: [*(t or "").encode().translate(low).split(), None] for d, t, *_ in rows}
-    c = Counter(x for d, t in tokens.items() if crc5(d) != 1 for x in t)
-    n, v = sum(c.values()), len(c)
-    for d, t in tokens.items():
-        base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)
-        r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(c[x] > 0 for x in t), n, crc5(d) == 1)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9)
-    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
-    assert suffix_tree.lm_scores(empty).count() == 0
-
-
-@pytest.mark.parametrize(("share", "gain"), [(0.0, 2.0), (0.0, 12.0), (0.0005, 2.0)])
-def test_lm_scores_are_those_of_the_tree_in_memory(docs, rows, share, gain, monkeypatch):
-    from panelrisk.llm.store import in_fold
-
-    tree, _ = suffix_tree.grown(docs.where(~in_fold(1)), 3, share, gain, 0.5)
-    monkeypatch.setattr(suffix_tree, "CHUNK", 500)
-    got = by_id(suffix_tree.lm_scores(docs, share=share, gain=gain))
-    import pyarrow as pa
-
-    for d, t, *_ in rows:
-        values, of = suffix_tree.tokens(*suffix_tree.T.buffers(pa.array([t or ""])))
-        found = tree.find(values, of)
-        single = got[d]["base_score"] - np.log10(tree.levels[0].p)[found[0][found[0] >= 0]].sum()  # of rare words
-        assert math.isclose(got[d]["score"], tree.score(found, of).sum() + single, rel_tol=1e-9, abs_tol=1e-9), d
-
-
-def test_sequences_seen_twice_count_at_every_size(spark):
-    words = np.char.add("v", np.random.default_rng(5).integers(0, 50_000, 3_200_000).astype(str))
-    planted = " ".join(f"planted{k}" for k in range(40))
-    ids = [k for k in range(100) if crc5(k) != 1][:34]
-    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in zip(ids, np.split(words, 32), strict=False)] + [(ids[32], planted), (ids[33], planted)], "doc_id long, text string")
-    got = by_id(suffix_tree.lm_scores(frame))[ids[33]]
-    assert got["train_tokens"] > 3_000_000 and got["base_score"] < -200 and got["score"] > -60
-
-
-def test_suffix_tree_is_a_distribution(spark, docs):
-    from panelrisk.llm.store import in_fold
-
-    train = docs.where(~in_fold(1))
-    tree, words = suffix_tree.grown(train, 3, 0.0005, 2.0, 0.5)
-    assert any(level.kept is not None and level.kept.any() for level in tree.levels)
-    for n, level in enumerate(tree.levels[:-1]):
-        longer = tree.levels[n + 1]
-        for s in np.flatnonzero(level.kept)[:20]:
-            own = np.flatnonzero(longer.before == s)
-            seen = longer.p[own].sum()
-            below = level.rest[s] * (1 - tree.levels[n].p[longer.suffix[own]].sum()) if n == 0 else None
-            assert 0 < seen <= 1 + 1e-9 and (below is None or math.isclose(seen + below, 1, abs_tol=1e-9))
-        for s in np.flatnonzero(level.kept):
-            if n:
-                assert tree.levels[n - 1].kept[level.suffix[s]]
-
-
 @pytest.mark.parametrize(("size", "gram"), [(400, 100), (60, 20), (30, 30)])
 def test_suffix_dedup(docs, rows, empty, size, gram):
     got = by_id(suffix_array.suffix_digest(docs, size, gram))
