@@ -1,6 +1,7 @@
 """Evaluation of scores on any frame with columns label (0, 1) and pd; tied scores are one group.
 
-Rows are summed up by score before any ordered window, so that what a window sees are the different scores.
+Rows are summed up by score, and sums along the scores run over ranges of scores (see ordered), so that no task holds all of them.
+Functions that read df more than once say so: give them a table that is written or cached.
 Every function takes group keys, for metrics by vintage or period.
 """
 
@@ -9,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelrisk.operators import ordered
+
 CLIP = 1e-15
 
 
 def score_groups(df: DataFrame, *by: str) -> DataFrame:
     """by, pd, pos, neg, cum_pos, cum_neg (from the highest score on) and all_pos, all_neg."""
     g = df.groupBy(*by, "pd").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    down = whole.orderBy(F.col("pd").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"cum_pos": F.sum("pos").over(down), "cum_neg": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    return ordered.running(g, "pd", ["pos", "neg"], *by, descending=True)
 
 
 def rank_metrics(df: DataFrame, *by: str) -> DataFrame:
@@ -85,13 +86,15 @@ def calibration_errors(table: DataFrame) -> DataFrame:
     return table.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
 
 
-def deciles(df: DataFrame, n: int = 10) -> DataFrame:
-    """Right-closed bins at exact quantiles of pd (equal edges once), from the lowest risk on, with shares and lift.
+def deciles(df: DataFrame, n: int = 10, from_highest: bool = False) -> DataFrame:
+    """Right-closed bins at exact quantiles of pd (equal edges once), with shares and lift; df is read twice.
 
-    The edges are one row of n + 1 values and join by broadcast.
+    Bins are numbered, and shares add up, from the lowest risk on, or from the highest. The edges are one row of n + 1 values and
+    join by broadcast.
     """
-    edges = df.agg(F.array_distinct(F.percentile("pd", F.array(*[F.lit(k / n) for k in range(n + 1)]))).alias("edges"))
-    own = df.crossJoin(F.broadcast(edges)).withColumn("decile", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("pd")))).cast("int"))
+    edges = ordered.quantiles(df, "pd", [k / n for k in range(n + 1)]).select(F.array_distinct("quantiles").alias("edges"))
+    at = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("pd"))))
+    own = df.crossJoin(F.broadcast(edges)).withColumn("decile", (F.greatest(F.size("edges"), F.lit(2)) - at if from_highest else at).cast("int"))
     g = own.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("events"), F.avg("pd").alias("mean_pd"))
     whole = Window.partitionBy(F.lit(1))
     up = whole.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,28 +102,32 @@ def deciles(df: DataFrame, n: int = 10) -> DataFrame:
     return g.select("decile", "n", "events", "mean_pd", rate.alias("event_rate"), (F.sum("events").over(up) / F.sum("events").over(whole)).alias("cum_event_share"), (rate / (F.sum("events").over(whole) / F.sum("n").over(whole))).alias("lift"))
 
 
-def risk_tiles(df: DataFrame, n: int, *key: str) -> DataFrame:
-    """tile, n, events, mean_pd of n parts of equal size, the highest risk first; ties by key.
+def positions(df: DataFrame, *key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with position (from 1, the highest pd first, ties by key) and n_rows of its group; df is read more than once.
 
-    Positions come from counts by score and, inside a score, by key, so that no window holds all rows in one task.
+    A window sees the rows of one score; where very many rows share one, give pd more digits.
     """
-    w = Window.partitionBy("pd").orderBy(*key)
-    by_score = df.groupBy("pd").agg(F.count(F.lit(1)).alias("c"))
-    whole = Window.partitionBy(F.lit(1))
-    before = by_score.select("pd", (F.sum("c").over(whole.orderBy(F.col("pd").desc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("total"))
-    own = df.withColumn("inside", F.row_number().over(w)).join(before, "pd")
-    at, size, extra = F.col("before") + F.col("inside") - 1, F.floor(F.col("total") / n), F.col("total") % n
+    counts = ordered.running(df.groupBy(*by, "pd").agg(F.count(F.lit(1)).alias("c")), "pd", ["c"], *by, descending=True)
+    before = counts.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("pd").alias("_pd"), (F.col("cum_c") - F.col("c")).alias("_before"), F.col("all_c").alias("n_rows"))
+    same = F.col("pd") == F.col("_pd")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    own = df.withColumn("_inside", F.row_number().over(Window.partitionBy(*by, "pd").orderBy(*key)))
+    return own.join(before, same).withColumn("position", F.col("_before") + F.col("_inside")).select(*df.columns, "position", "n_rows")
+
+
+def risk_tiles(df: DataFrame, n: int, *key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, tile, n, events, mean_pd of n parts of equal size, the highest risk first; ties by key."""
+    own = positions(df, *key, by=by)
+    at, size, extra = F.col("position") - 1, F.floor(F.col("n_rows") / n), F.col("n_rows") % n
     large = extra * (size + 1)
     tile = F.when(at < large, F.floor(at / (size + 1))).otherwise(extra + F.floor((at - large) / F.greatest(size, F.lit(1)))) + 1
-    return own.withColumn("tile", tile.cast("int")).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("events"), F.avg("pd").alias("mean_pd"))
+    return own.withColumn("tile", tile.cast("int")).groupBy(*by, "tile").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("events"), F.avg("pd").alias("mean_pd"))
 
 
 def top_share(df: DataFrame, shares: list[float], *key: str) -> DataFrame:
     """share, population, captured, capture_rate, precision, mean_pd, lift of the ceil(n * share) riskiest rows; ties by key."""
-    by_score = df.groupBy("pd").agg(F.count(F.lit(1)).alias("c"))
-    whole = Window.partitionBy(F.lit(1))
-    before = by_score.select("pd", (F.sum("c").over(whole.orderBy(F.col("pd").desc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"))
-    own = df.withColumn("inside", F.row_number().over(Window.partitionBy("pd").orderBy(*key))).join(before, "pd").withColumn("position", F.col("before") + F.col("inside"))
+    own = positions(df, *key)
     total = df.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("all_events"))
     cut = total.select("rows", "all_events", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("population", F.ceil(F.round(F.col("rows") * F.col("share"), 9)))
     g = own.crossJoin(F.broadcast(cut)).where("position <= population").groupBy("share", "population", "rows", "all_events").agg(F.sum("label").cast("long").alias("captured"), F.avg("pd").alias("mean_pd"))
@@ -131,12 +138,14 @@ def top_share(df: DataFrame, shares: list[float], *key: str) -> DataFrame:
 def threshold_grid(df: DataFrame, lo: float, hi: float, step: float) -> DataFrame:
     """One row for each threshold in lo, lo + step, ... below hi, with the confusion counts and rates at it.
 
-    Rows are summed up by score first; the grid is small and joins to the different scores.
+    Rows are summed up by the number of thresholds that they reach; only these sums, one row for each, meet the grid.
     """
     n = int(-(-(hi - lo - 1e-12) // step))
-    grid = F.explode(F.array(*[F.lit(round(lo + k * step, 10)) for k in range(n)])).alias("threshold")
-    g = df.groupBy("pd").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg")).select("pd", "pos", "neg", grid)
-    hit = F.col("pd") >= F.col("threshold")
+    grid = [round(lo + k * step, 10) for k in range(n)]
+    reached = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("pd")))
+    bins = df.groupBy(reached.alias("reached")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    g = bins.select("reached", "pos", "neg", F.posexplode(F.array(*map(F.lit, grid))).alias("k", "threshold"))
+    hit = F.col("reached") > F.col("k")
     count = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
     return _rates(g.groupBy("threshold").agg(count(hit, "pos").alias("tp"), count(hit, "neg").alias("fp"), count(~hit, "pos").alias("fn"), count(~hit, "neg").alias("tn")))
 

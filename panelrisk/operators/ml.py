@@ -186,17 +186,141 @@ def score(model: PipelineModel, df: DataFrame, name: str = "pd") -> DataFrame:
 
 
 def permuted(df: DataFrame, key: list[str], column: str, seed: int = 1) -> DataFrame:
-    """df with a column's values dealt out anew: each row takes the value of the row after it in hash order, inside blocks of hashes."""
+    """df with a column's values dealt out anew: each row takes the value of the row after it in hash order, inside blocks of hashes.
+
+    There are 16 blocks for each shuffle partition, so that blocks grow in number with the cluster.
+    """
     from pyspark.sql import Window
 
+    blocks = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = F.xxhash64(*key, F.lit(seed))
-    w = Window.partitionBy(F.pmod(h, F.lit(64))).orderBy(h, *key)
+    w = Window.partitionBy(F.pmod(h, F.lit(blocks))).orderBy(h, *key)
     return df.withColumn(column, F.coalesce(F.lead(column).over(w), F.first(column).over(w)))
 
 
+def raw_names(model: PipelineModel, df: DataFrame) -> list[str]:
+    """For each entry of the assembled features, the column of df that it comes from; of products, both, joined by x."""
+    attrs = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]
+    entries = sorted((a["idx"], a["name"]) for group in attrs["attrs"].values() for a in group)
+    columns = sorted(df.columns, key=len, reverse=True)
+
+    def raw(name: str) -> str:
+        parts = name.split("_x_") if "_x_" in name else [name]
+        return " x ".join(next((c for c in columns if part.startswith(c)), part) for part in parts)
+
+    return [raw(name) for _, name in entries]
+
+
+def feature_group(feature: Column) -> Column:
+    """Business group of a raw feature by its name: what the loan began with, how it has paid, or how it stands."""
+    paid = feature.rlike("dpd|delinquen|streak|relapse|modif|deferr|assistance|disaster|step")
+    began = feature.rlike("^original|^credit_score|^occupancy|^property|^number_of|^mi_|^channel|^loan_purpose|^first_time|_missing$")
+    return F.when(paid, "delinquency").when(began, "origination").otherwise("current state")
+
+
+def _by_feature(df: DataFrame, names: list[str], values: list[float], total: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = df.sparkSession.createDataFrame(list(zip(names, map(float, values), strict=True)), "feature string, v double")  # one row for each entry of the model
+    sums = rows.groupBy("feature").agg(F.sum("v").alias(total))
+    whole, down = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy(F.col(total).desc(), "feature").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = F.nullif(F.sum(total).over(whole), F.lit(0.0))
+    return sums.select("feature", feature_group(F.col("feature")).alias("feature_group"), total, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col(total).desc(), "feature")).alias("position"), (F.col(total) / all_).alias("share"), (F.sum(total).over(down) / all_).alias("cum_share"))
+
+
+def tree_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """feature, feature_group, importance, position, share, cum_share of a tree model, folded back to the columns of df."""
+    return _by_feature(df, raw_names(model, df), model.stages[-1].featureImportances.toArray().tolist(), "importance")
+
+
 def contributions(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """feature position, mean_abs and mean of the exact linear contributions coefficient * (x - mean x)."""
-    vectors = model.transform(df).select(F.posexplode(vector_to_array("features")).alias("position", "x"))
-    coefficients = df.sparkSession.createDataFrame([(k, float(c)) for k, c in enumerate(model.stages[-1].coefficients.toArray())], "position int, c double")
-    means = vectors.groupBy("position").agg(F.avg("x").alias("m")).join(F.broadcast(coefficients), "position")
-    return vectors.join(F.broadcast(means), "position").groupBy("position").agg(F.avg(F.abs(F.col("c") * (F.col("x") - F.col("m")))).alias("mean_abs"), F.avg(F.col("c") * (F.col("x") - F.col("m"))).alias("mean"))
+    """feature, feature_group, mean_abs, position, share, cum_share of the exact linear contributions coefficient * (x - mean x).
+
+    Two passes over the vectors with one summary each; mean_abs of a feature adds up those of its entries.
+    """
+    from pyspark.ml.functions import array_to_vector as vector
+    from pyspark.ml.stat import Summarizer
+
+    x = vector_to_array("features")
+    rows = model.transform(df).select("features")
+    means = rows.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
+    m = F.array(*[F.lit(float(v)) for v in means])
+    off = rows.select(vector(F.zip_with(x, m, lambda a, b: F.abs(a - b))).alias("v"))
+    gaps = off.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
+    return _by_feature(df, raw_names(model, df), (abs(model.stages[-1].coefficients.toArray()) * gaps).tolist(), "mean_abs")
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, key: list[str], columns: list[str], repeats: int = 5, seed: int = 1) -> DataFrame:
+    """feature, mean and standard deviation over repeats of what ROC-AUC and average precision lose when a column is dealt anew.
+
+    All repeats of a column are scored and measured in one job; df (with label) is read once for each column.
+    """
+    from panelrisk.operators.metrics import rank_metrics
+
+    base = rank_metrics(score(model, df)).select(F.col("roc_auc").alias("_auc"), F.col("average_precision").alias("_ap"))
+    out = None
+    for c in columns:
+        draws = None
+        for k in range(repeats):
+            one = permuted(df, key, c, seed + k).withColumn("_draw", F.lit(k))
+            draws = one if draws is None else draws.unionByName(one)
+        own = rank_metrics(score(model, draws), "_draw").crossJoin(F.broadcast(base))
+        auc, ap = F.col("_auc") - F.col("roc_auc"), F.col("_ap") - F.col("average_precision")
+        row = own.agg(F.avg(auc).alias("auc_loss"), F.stddev(auc).alias("auc_loss_std"), F.avg(ap).alias("ap_loss"), F.stddev(ap).alias("ap_loss_std")).select(F.lit(c).alias("feature"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def ablation(build, numeric: list[str], categories: list[str], groups: dict[str, list[str]], fit: DataFrame, test: DataFrame) -> DataFrame:
+    """left_out, roc_auc, average_precision, auc_change: the model without each group of columns, fitted anew, against the full one.
+
+    build: from numeric and category columns to a pipeline. fit and test are read once for each group.
+    """
+    from panelrisk.operators.metrics import rank_metrics
+
+    out = None
+    for name, gone in {"nothing": [], **groups}.items():
+        model = train(build([c for c in numeric if c not in gone], [c for c in categories if c not in gone]), fit)
+        row = rank_metrics(score(model, test)).select(F.lit(name).alias("left_out"), "roc_auc", "average_precision")
+        out = row if out is None else out.unionByName(row)
+    full = out.where("left_out = 'nothing'").select(F.col("roc_auc").alias("_full"))
+    return out.crossJoin(full).select("left_out", "roc_auc", "average_precision", (F.col("roc_auc") - F.col("_full")).alias("auc_change"))
+
+
+def check_features(df: DataFrame, numeric: list[str], categories: list[str]) -> None:
+    """Raise once with all that keeps columns from being inputs of splines: repeated, absent, engineered names, wrong types."""
+    types, names = dict(df.dtypes), [*numeric, *categories]
+    number = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
+    bad = [f"{c} is given twice" for c in sorted({c for c in names if names.count(c) > 1})]
+    bad += [f"{c} is not in the table" for c in names if c not in types]
+    bad += [f"{c} is {types[c]}, not a number" for c in numeric if c in types and not types[c].startswith(number)]
+    bad += [f"{c} has the name of a derived column" for c in names if c.endswith(("_filled", "_index", "_hot", "_basis", "_own"))]
+    if bad:
+        raise ValueError("; ".join(bad))
+
+
+def input_contract(model: PipelineModel) -> dict[str, list[str]]:
+    """The columns that a fitted pipeline reads, and those that its features are assembled from, as they were frozen by the fit."""
+    filled = [c for s in model.stages if s.hasParam("strategy") for c in s.getInputCols()]
+    categories = [c for s in model.stages if isinstance(s, Prepared) for c in s.getInputCols()]
+    assembled = [c for s in model.stages if isinstance(s, VectorAssembler) for c in s.getInputCols()]
+    return {"numeric": filled, "categories": categories, "assembled": assembled}
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """The fitted pipeline, and beside it its input contract as one JSON row."""
+    model.write().overwrite().save(f"{path}/model")
+    kind = "numeric array<string>, categories array<string>, assembled array<string>"
+    contract = input_contract(model)
+    from pyspark.sql import SparkSession
+
+    SparkSession.active().createDataFrame([(contract["numeric"], contract["categories"], contract["assembled"])], kind).coalesce(1).write.mode("overwrite").json(f"{path}/contract")
+
+
+def load_model(path: str, df: DataFrame) -> tuple[PipelineModel, list[str]]:
+    """A saved pipeline and its input columns; raises if df lacks one of them."""
+    row = df.sparkSession.read.json(f"{path}/contract").first()
+    columns = [*row["numeric"], *row["categories"]]
+    if gone := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"columns missing: {gone}")
+    return PipelineModel.load(f"{path}/model"), columns

@@ -63,8 +63,25 @@ def origination(customer: DataFrame) -> DataFrame:
     )
 
 
-NUMERIC_SENTINELS = {"credit_score": 9999, "original_dti": 999, "original_ltv": 999, "original_cltv": 999, "mi_percentage": 999, "original_loan_term": 999, "number_of_borrowers": 99, "number_of_units": 99, "estimated_ltv": 999}
-CATEGORY_SENTINELS = {"first_time_homebuyer_flag": "9", "occupancy_status": "9", "channel": "9", "loan_purpose": "9", "property_type": "99"}
+# The codes that stand for a missing value, by column; those of the monthly file last.
+NUMERIC_SENTINELS = {
+    "credit_score": 9999,
+    "original_dti": 999,
+    "original_ltv": 999,
+    "original_cltv": 999,
+    "number_of_borrowers": 99,
+    "number_of_units": 99,
+    "mi_percentage": 999,
+    "original_loan_term": 999,
+    "estimated_ltv": 999,
+}
+CATEGORY_SENTINELS = {
+    "first_time_homebuyer_flag": "9",
+    "property_type": "99",
+    "occupancy_status": "9",
+    "channel": "9",
+    "loan_purpose": "9",
+}
 
 
 def normalized(df: DataFrame) -> DataFrame:
@@ -116,3 +133,8 @@ def composition(df: DataFrame) -> DataFrame:
         "upb_pct_change": ratio(F.col("current_actual_upb") - F.col("original_upb"), F.col("original_upb")),
         "rate_change": F.col("current_interest_rate") - F.col("original_interest_rate"),
     })
+
+
+def with_first_payment(df: DataFrame, perf: DataFrame) -> DataFrame:
+    """df with the loan's first_payment_date, one for each loan; null where perf does not have the loan."""
+    return df.join(perf.groupBy("loan_id").agg(F.min("first_payment_date").alias("first_payment_date")), "loan_id", "left")

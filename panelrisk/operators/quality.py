@@ -76,3 +76,35 @@ def gate(report: DataFrame, review: int = 0) -> DataFrame:
 
 def violations(df: DataFrame, bad: Column, *by: str) -> DataFrame:
     return df.where(bad).groupBy(*by).agg(F.count(F.lit(1)).alias("bad_rows"))
+
+
+def report(orig: DataFrame, perf: DataFrame, rows: DataFrame, label: str, numeric: list[str], categories: list[str], leaks: list[str], sentinels: dict[str, object]) -> dict[str, DataFrame]:
+    """All tables of the report by name; the three frames are read several times, so give written ones."""
+    from panelrisk.operators import aggregates
+
+    key, grain_ = ["loan_id"], ["loan_id", "observation_age"]
+    return {
+        "reconciliation": reconciliation({"origination": orig, "performance": perf, "input": rows}, "loan_id"),
+        "grain": grain(orig, "origination", *key).unionByName(grain(perf, "performance", "loan_id", "period")).unionByName(grain(rows, "input", *grain_)),
+        "target": rows.groupBy("vintage").agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("event_rate")),
+        "numeric_values": value_checks(rows, numeric),
+        "categories": categorical_profile(rows, categories),
+        "missing": aggregates.unpivoted(rows, [], numeric).groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("missing")),
+        "sentinels": surviving(orig, sentinels),
+        "constant": constant(rows, [*numeric, *categories]),
+        "leakage": forbidden(rows, leaks),
+        "inventory": inventory(rows),
+        "funnel": funnel([("origination", orig), ("performance", perf), ("input", rows)], "loan_id"),
+    }
+
+
+def long_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """Tables of any columns as table, row (their text columns) and metric, value (their numbers)."""
+    out = None
+    for name, df in tables.items():
+        text = [c for c, t in df.dtypes if t in ("string", "boolean")]
+        numbers = [c for c, t in df.dtypes if c not in text and not t.startswith(("array", "map", "struct"))]
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in numbers])) if numbers else F.explode(F.array(F.struct(F.lit("row").alias("metric"), F.lit(1.0).alias("value"))))
+        own = df.select(F.lit(name).alias("table"), F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in text]).alias("row"), pairs.alias("x")).select("table", "row", "x.*")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelrisk.operators import calibrate, metrics, ml, panel, pit, splits, validate
+from panelrisk.operators.quality import long_report
 from panelrisk.sources import files
 
 
@@ -38,6 +39,12 @@ def evaluate(scored: DataFrame, edges: list[float], threshold_step: float = 0.01
     }
 
 
+def save_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Small result tables in long form, as JSON lines."""
+    long_report(tables).coalesce(1).write.mode("overwrite").json(path)
+
+
+# The names of the columns and the two bands that users of the flags read.
 def intervene(scored: DataFrame, threshold: float) -> DataFrame:
     """scored with intervention_flag, _band and _rank by period, for all vintages in one job; unflagged rows have no rank."""
     if not 0 < threshold < 1:

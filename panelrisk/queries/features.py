@@ -99,7 +99,13 @@ def flt2_risk_set(spark, sf_dir):
     return pit.risk_set(pit.lifetime_history(state(spark, sf_dir), f)).select("loan_id", "observation_age", "vintage")
 
 
-@query("SELECT t.loan_id, t.age AS observation_age, u.age AS future_age, u.current_loan_delinquency_status FROM cs t JOIN cs u ON t.loan_id = u.loan_id AND u.age BETWEEN t.age + 1 AND t.age + 3 WHERE t.age IN (3, 6, 9, 12)")
+_AGES = "SELECT loan_id, age, current_loan_delinquency_status AS status FROM pf WHERE age <= 15 AND loan_id IN (SELECT c_custkey FROM customer)"
+
+
+@query(
+    f"WITH a AS MATERIALIZED ({_AGES}), l AS (SELECT loan_id, status, age AS future_age, unnest([3, 6, 9, 12]) AS observation_age FROM a) "
+    "SELECT l.loan_id, l.observation_age, l.future_age, l.status AS current_loan_delinquency_status FROM l JOIN a ON a.loan_id = l.loan_id AND a.age = l.observation_age WHERE l.future_age - l.observation_age BETWEEN 1 AND 3"
+)
 def flt4_future_window(spark, sf_dir):
     rows = clock(spark, sf_dir, 15)
     at = F.explode(F.array(*map(F.lit, pit.AGES))).alias("observation_age")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.functions import scalar
 from panelrisk.operators import drift, metrics
-from panelrisk.queries.base import features, query, scored
+from panelrisk.queries.base import feature_table, features, query, scored, scored_table
 
 EDGES = [0.0, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
 
@@ -23,7 +23,7 @@ _RANK = "sum(neg * (cp - pos + pos / 2)) / (max(p) * max(n)) AS roc_auc, sum(pos
 
 @query(_GROUPS + " SELECT round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, round(ks, 6) AS ks FROM (SELECT " + _RANK + " FROM c)")
 def ev1_ev2_ev4_rank_metrics(spark, sf_dir):
-    return r6(metrics.rank_metrics(scored(spark, sf_dir)))
+    return r6(metrics.rank_metrics(scored_table(spark, sf_dir)))
 
 
 _POINT = """count(*) AS observations, round(avg(label), 6) + 0.0 AS actual_rate, round(avg(pd), 6) + 0.0 AS mean_pd, round(sum(label) / sum(pd), 6) + 0.0 AS observed_expected,
@@ -49,17 +49,17 @@ d AS (SELECT greatest(1, len(list_filter(edges, lambda x: x < pd)))::INT AS deci
 g AS (SELECT decile, count(*) AS n, sum(label)::BIGINT AS events, avg(pd) AS mean_pd FROM d GROUP BY decile)
 SELECT decile, n, events, round(mean_pd, 6) AS mean_pd, round(events / n, 6) AS event_rate, round(sum(events) OVER (ORDER BY decile) / sum(events) OVER (), 6) AS cum_event_share, round(events / n / (sum(events) OVER () / sum(n) OVER ()), 6) AS lift FROM g""")
 def ev7_deciles(spark, sf_dir):
-    return r6(metrics.deciles(scored(spark, sf_dir)))
+    return r6(metrics.deciles(scored_table(spark, sf_dir)))
 
 
 @query(_GROUPS + " SELECT pd, round(cp / p, 6) AS tpr, round(cn / n, 6) AS fpr FROM c")
 def ev8_roc_curve(spark, sf_dir):
-    return r6(metrics.curve(scored(spark, sf_dir)).drop("gap"))
+    return metrics.curve(scored_table(spark, sf_dir)).select("pd", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
 @query(_GROUPS + " SELECT pd, round(cp / p - cn / n, 6) + 0.0 AS gap FROM c")
 def ev9_ks_curve(spark, sf_dir):
-    return r6(metrics.curve(scored(spark, sf_dir)).select("pd", "gap"))
+    return metrics.curve(scored_table(spark, sf_dir)).select("pd", (F.round("gap", 6) + 0.0).alias("gap"))
 
 
 _BIN = "CASE " + " ".join(f"WHEN pd <= {e} THEN {k}" for k, e in enumerate(EDGES) if k) + " END"
@@ -94,27 +94,13 @@ c AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, nullif(sum(pos) OV
 r AS (SELECT vintage, """ + _RANK + f""" FROM c GROUP BY vintage), q AS (SELECT vintage, {_POINT} FROM sc GROUP BY vintage)
 SELECT q.*, round(roc_auc, 6) + 0.0 AS roc_auc, round(average_precision, 6) + 0.0 AS average_precision, round(ks, 6) + 0.0 AS ks FROM q JOIN r USING (vintage)""")
 def ev20_ev22_by_vintage(spark, sf_dir):
-    df = scored(spark, sf_dir)
+    df = scored_table(spark, sf_dir)
     return r6(metrics.point_metrics(df, "vintage").join(metrics.rank_metrics(df, "vintage"), "vintage"))
 
 
-def _methods(df):
-    """Three score scales in long form."""
-    logit = F.log(F.col("pd") / (1 - F.col("pd")))
-    return df.where("pd > 0 AND pd < 1").select("label", F.col("pd").alias("raw"), F.round(1 / (1 + F.exp(-(0.8 * logit - 0.2))), 6).alias("platt"), F.round(F.col("pd") * 0.5, 6).alias("half")).unpivot(["label"], ["raw", "platt", "half"], "method", "pd")
-
-
-_METHODS = """(SELECT label, 'raw' AS method, pd FROM sc WHERE pd > 0 AND pd < 1 UNION ALL SELECT label, 'platt', round(1 / (1 + exp(-(0.8 * ln(pd / (1 - pd)) - 0.2))), 6) FROM sc WHERE pd > 0 AND pd < 1 UNION ALL SELECT label, 'half', round(pd * 0.5, 6) FROM sc WHERE pd > 0 AND pd < 1)"""
-
-
-@query(f"SELECT method, {_POINT} FROM {_METHODS} GROUP BY method")
-def ev23_method_comparison(spark, sf_dir):
-    return r6(metrics.point_metrics(_methods(scored(spark, sf_dir)), "method"))
-
-
 @query("SELECT tile, count(*) AS n, sum(label)::BIGINT AS events, round(avg(pd), 6) AS mean_pd FROM (SELECT label, pd, ntile(10) OVER (ORDER BY pd DESC, loan_id, observation_age)::INT AS tile FROM sc) GROUP BY tile")
-def ev24_wn20_risk_tiles(spark, sf_dir):
-    return r6(metrics.risk_tiles(scored(spark, sf_dir), 10, "loan_id", "observation_age"))
+def wn20_risk_tiles(spark, sf_dir):
+    return r6(metrics.risk_tiles(scored_table(spark, sf_dir), 10, "loan_id", "observation_age"))
 
 
 @query("SELECT vintage, " + ", ".join(f"round(quantile_cont(pd, {q}), 6) AS p{round(100 * q)}" for q in (0.1, 0.5, 0.9, 0.99)) + " FROM sc GROUP BY vintage")
@@ -122,14 +108,6 @@ def ev25_pd_distribution(spark, sf_dir):
     return r6(scored(spark, sf_dir).groupBy("vintage").agg(*[F.percentile("pd", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9, 0.99)]))
 
 
-@query("""SELECT period_group, observed_expected, CASE WHEN observed_expected > 1.2 THEN 'underpredicts' WHEN observed_expected < 0.8 THEN 'overpredicts' ELSE 'in line' END AS diagnosis
-FROM (SELECT CASE WHEN vintage <= 1995 THEN 'base' ELSE 'later' END AS period_group, round(sum(label) / sum(pd), 6) AS observed_expected FROM sc GROUP BY 1)""")
-def ev26_diagnosis(spark, sf_dir):
-    df = scored(spark, sf_dir).withColumn("period_group", F.when(F.col("vintage") <= 1995, "base").otherwise("later"))
-    out = r6(metrics.point_metrics(df, "period_group")).select("period_group", "observed_expected")
-    return out.withColumn("diagnosis", F.when(F.col("observed_expected") > 1.2, "underpredicts").when(F.col("observed_expected") < 0.8, "overpredicts").otherwise("in line"))
-
-
 @query("SELECT loan_id, observation_age, round(ln(p), 6) + 0.0 AS ln_p, round(ln(1 - p), 6) + 0.0 AS ln_q, round(ln(p / (1 - p)), 6) + 0.0 AS logit FROM (SELECT *, least(greatest(pd, 1e-6), 1 - 1e-6) AS p FROM sc)")
 def prj20_logit(spark, sf_dir):
     p = F.least(F.greatest("pd", F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -140,7 +118,7 @@ def prj20_logit(spark, sf_dir):
 SELECT share, ceil(round(max(rows_all) * share, 9))::BIGINT AS population, sum(label)::BIGINT AS captured, round(sum(label) / max(e), 6) AS capture_rate, round(sum(label) / count(*), 6) AS "precision", round(avg(pd), 6) AS mean_pd, round(sum(label) / count(*) / (max(e) / max(rows_all)), 6) AS lift
 FROM o, f WHERE i <= ceil(round(rows_all * share, 9)) GROUP BY share""")
 def tk1_top_share(spark, sf_dir):
-    return r6(metrics.top_share(scored(spark, sf_dir), [0.05, 0.1, 0.2], "loan_id", "observation_age"))
+    return r6(metrics.top_share(scored_table(spark, sf_dir), [0.05, 0.1, 0.2], "loan_id", "observation_age"))
 
 
 @query("SELECT loan_id, observation_age, (pd >= 0.1)::INT AS intervention_flag, CASE WHEN pd >= 0.1 THEN 'FLAG' ELSE 'NO_FLAG' END AS intervention_band FROM sc")
@@ -171,7 +149,7 @@ NUM, CAT = ["credit_score", "original_ltv", "current_actual_upb", "delinquency_m
 
 
 def _based(spark, sf_dir):
-    return features(spark, sf_dir).withColumn("is_base", (F.col("vintage") <= 1995).cast("int"))
+    return feature_table(spark, sf_dir, "vintage", *NUM).withColumn("is_base", (F.col("vintage") <= 1995).cast("int"))
 
 
 def _psi_sql(c: str) -> str:
@@ -187,7 +165,7 @@ def dr1_numeric_psi(spark, sf_dir):
 @query(" UNION ALL ".join(f"""SELECT '{c}' AS feature, round(sum((a - e) * ln(a / e)), 6) + 0.0 AS psi FROM (SELECT greatest(1e-6, base / sum(base) OVER ()) AS e, greatest(1e-6, other / sum(other) OVER ()) AS a
 FROM (SELECT coalesce({c}, '__NULL__') AS level, count(*) FILTER (WHERE vintage <= 1995) AS base, count(*) FILTER (WHERE vintage > 1995) AS other FROM mi GROUP BY 1))""" for c in CAT))
 def dr2_categorical_psi(spark, sf_dir):
-    return r6(drift.categorical_psi(_based(spark, sf_dir), "is_base", CAT))
+    return r6(drift.categorical_psi(features(spark, sf_dir).withColumn("is_base", (F.col("vintage") <= 1995).cast("int")), "is_base", CAT))
 
 
 @query("""SELECT vintage, n, events, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) + 0.0 AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) + 0.0 AS high
@@ -218,7 +196,7 @@ _SPEARMAN = f"WITH r AS (SELECT {_RHO} FROM mi WHERE " + " AND ".join(f"{c} IS N
 
 @query(_SPEARMAN)
 def as1_spearman(spark, sf_dir):
-    return r6(drift.spearman(features(spark, sf_dir), ["loan_id", "observation_age"], NUM))
+    return r6(drift.spearman(feature_table(spark, sf_dir, "loan_id", "observation_age", *NUM), ["loan_id", "observation_age"], NUM))
 
 
 @query("""WITH c AS (SELECT property_state AS a, occupancy_status AS b, count(*) AS n FROM mi WHERE property_state IS NOT NULL AND occupancy_status IS NOT NULL GROUP BY ALL),
@@ -237,7 +215,7 @@ def as3_correlation_ratio(spark, sf_dir):
 
 @query(f"SELECT feature, round(max(abs(rho)), 6) AS max_abs_rho, CASE WHEN max(abs(rho)) >= 0.9 THEN 'redundant' WHEN max(abs(rho)) >= 0.8 THEN 'high' WHEN max(abs(rho)) >= 0.5 THEN 'moderate' ELSE 'low' END AS redundancy FROM (SELECT a AS feature, rho FROM ({_SPEARMAN}) UNION ALL SELECT b, rho FROM ({_SPEARMAN})) GROUP BY feature")
 def as4_redundancy(spark, sf_dir):
-    pairs = drift.spearman(features(spark, sf_dir), ["loan_id", "observation_age"], NUM)
+    pairs = drift.spearman(feature_table(spark, sf_dir, "loan_id", "observation_age", *NUM), ["loan_id", "observation_age"], NUM)
     m = F.max(F.abs("rho"))
     out = pairs.select(F.explode(F.array("a", "b")).alias("feature"), "rho").groupBy("feature").agg(m.alias("max_abs_rho"))
     c = F.col("max_abs_rho")
@@ -246,4 +224,4 @@ def as4_redundancy(spark, sf_dir):
 
 @query(f"SELECT a, b, rho FROM ({_SPEARMAN}) ORDER BY abs(rho) DESC, a, b LIMIT 3")
 def tk7_strongest_pairs(spark, sf_dir):
-    return r6(drift.spearman(features(spark, sf_dir), ["loan_id", "observation_age"], NUM)).orderBy(F.abs("rho").desc(), "a", "b").limit(3)
+    return r6(drift.spearman(feature_table(spark, sf_dir, "loan_id", "observation_age", *NUM), ["loan_id", "observation_age"], NUM)).orderBy(F.abs("rho").desc(), "a", "b").limit(3)

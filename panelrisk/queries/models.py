@@ -34,11 +34,6 @@ def ml7_random_forest(spark, sf_dir):
     return _scores(spark, sf_dir, ml.forest_pipeline(NUM, CAT))
 
 
-@query()
-def ml8_boosted_trees(spark, sf_dir):
-    return _scores(spark, sf_dir, ml.boosted_pipeline(NUM, CAT))
-
-
 @query()
 def ml15_gam(spark, sf_dir):
     return _scores(spark, sf_dir, ml.gam_pipeline(NUM, CAT, pairs=[("credit_score", "original_ltv"), ("credit_score", "occupancy_status")]))
@@ -88,19 +83,3 @@ SELECT loan_id, observation_age, round(o / (1 + o), 6) AS calibrated FROM o""")
 def ev15_intercept(spark, sf_dir):
     df = scored(spark, sf_dir)
     return calibrate.intercept_calibration(df.where("vintage <= 1996"), df).select("loan_id", "observation_age", F.round("calibrated", 6).alias("calibrated"))
-
-
-@query()
-def im2_permutation_importance(spark, sf_dir):
-    df, model = _fit(spark, sf_dir, ml.linear_pipeline(NUM, CAT))
-    out = None
-    for c in NUM:
-        row = metrics.rank_metrics(ml.score(model, ml.permuted(df, ["loan_id", "observation_age"], c))).select(F.lit(c).alias("feature"), "roc_auc", "average_precision")
-        out = row if out is None else out.unionByName(row)
-    return out.crossJoin(metrics.rank_metrics(ml.score(model, df)).select(F.col("roc_auc").alias("base"))).withColumn("loss", F.col("base") - F.col("roc_auc"))
-
-
-@query()
-def im4_contributions(spark, sf_dir):
-    df, model = _fit(spark, sf_dir, ml.linear_pipeline(NUM, CAT))
-    return ml.contributions(model, df)

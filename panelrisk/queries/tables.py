@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions import scalar
-from panelrisk.operators import aggregates, panel, splits, validate
+from panelrisk.operators import aggregates, ml, panel, splits, validate
 from panelrisk.queries.base import clock, features, master, orig, perf, query, read
 from panelrisk.sources import files
 
@@ -107,14 +107,14 @@ def prj17_features_and_label(spark, sf_dir):
     return features(spark, sf_dir).where("future_90dpd IS NOT NULL").select("loan_id", "observation_age", "future_90dpd", "credit_score")
 
 
-GROUPS = ["max_dpd_to_date", "original_ltv", "credit_score", "current_actual_upb", "delinquency_months_3m"]
+_RAW = ["credit_score", "original_ltv", "original_dti_missing", "max_dpd_to_date", "delinquency_months_3m", "current_delinquency_streak", "relapse_after_current", "current_actual_upb", "estimated_ltv"]
+_GROUP = "CASE WHEN regexp_matches({f}, 'dpd|delinquen|streak|relapse|modif|deferr|assistance|disaster|step') THEN 'delinquency' WHEN regexp_matches({f}, '^original|^credit_score|^occupancy|^property|^number_of|^mi_|^channel|^loan_purpose|^first_time|_missing$') THEN 'origination' ELSE 'current state' END"
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN '{c}' LIKE '%dpd%' OR '{c}' LIKE '%delinquency%' THEN 'delinquency' WHEN '{c}' LIKE 'original%' OR '{c}' = 'credit_score' THEN 'origination' ELSE 'other' END AS feature_group, round(avg({c}), 4) AS mean FROM mi" for c in GROUPS))
+@query(f"SELECT feature, {_GROUP.format(f='feature')} AS feature_group, mean, filled FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, count({c}) AS filled FROM mi" for c in _RAW) + ")")
 def prj22_feature_groups(spark, sf_dir):
-    f = F.col("feature")
-    group = F.when(f.contains("dpd") | f.contains("delinquency"), "delinquency").when(f.startswith("original") | (f == "credit_score"), "origination").otherwise("other")
-    return aggregates.unpivoted(features(spark, sf_dir), [], GROUPS).groupBy("feature").agg(F.round(F.avg("value"), 4).alias("mean")).withColumn("feature_group", group)
+    long = aggregates.unpivoted(features(spark, sf_dir), [], _RAW).groupBy("feature").agg(F.round(F.avg("value"), 4).alias("mean"), F.count("value").alias("filled"))
+    return long.withColumn("feature_group", ml.feature_group(F.col("feature")))
 
 
 @query("SELECT loan_id, period, age AS calculated_loan_age, credit_score, property_state FROM ms")
@@ -165,7 +165,7 @@ def jn11_differences(spark, sf_dir):
     return validate.orphans(c, o, "k").agg(rows_as("never_ordered")).crossJoin(validate.orphans(o, c, "k").agg(rows_as("unknown_ids")))
 
 
-@query("SELECT loan_id, period, current_loan_delinquency_status FROM pf WHERE loan_id IN (SELECT loan_id FROM pf WHERE current_loan_delinquency_status = 'RA')")
+@query("SELECT loan_id, period, current_loan_delinquency_status FROM (SELECT loan_id, period, current_loan_delinquency_status, bool_or(current_loan_delinquency_status = 'RA') OVER (PARTITION BY loan_id) AS chosen FROM pf) WHERE chosen")
 def jn12_history_of_selected(spark, sf_dir):
     df = perf(spark, sf_dir).select("loan_id", "period", "current_loan_delinquency_status")
     return df.join(df.where("current_loan_delinquency_status = 'RA'").select("loan_id").distinct(), "loan_id", "left_semi")
