@@ -17,9 +17,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(seed: int, key: Column) -> Column:
-    """A number in [0, 1) that depends on the seed and the key alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) that depends on the seed and the id alone; without id, on the seed and the text."""
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -47,27 +48,47 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: fl
     return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def _private(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: float, seed: int) -> tuple[DataFrame, str]:
+    """docs with a struct of size, source_size, target, rate and copies, and the struct's name, which docs does not have."""
+    name = _private(docs, "_mix")
+    sized = docs.withColumn(name, word_count(F.col("text").cast("string")))
+    targets = written(source_targets(sized.select("source", F.col(name).alias("size")), weights, most), "sources")
+    few = targets.count() <= BROADCAST_SOURCES
+    own = _private(sized, "_target")
+    packed = targets.select(F.struct("source", "source_size", "target", "rate").alias(own))
+    joined = sized.join(F.broadcast(packed) if few else packed, F.col("source").eqNullSafe(F.col(f"{own}.source")), "left")
+    rate = F.col(f"{own}.rate")
+    whole = F.floor(rate)
+    extra = (uniform(seed, F.col("doc_id"), F.col("text").cast("string")) < rate - whole).cast("long")
+    result = F.struct(F.col(name).alias("size"), F.col(f"{own}.source_size").alias("source_size"), F.col(f"{own}.target").alias("target"), rate.alias("rate"), (whole + extra).alias("copies"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(name)), name
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
     """docs with size, source_size, target, rate and copies, the number of times that the mix takes the document.
 
     copies is floor(rate), plus one with probability equal to the fraction, drawn from a hash of seed and
-    doc_id; rerun and partitioning change nothing. Rows with equal doc_id draw alike. Null sources are one source;
-    null texts have size 0. Columns of docs with the names of the added ones are replaced.
+    doc_id; rerun and partitioning change nothing. Rows with equal doc_id draw alike; rows without one draw by their text. Null
+    sources are one source; null texts have size 0. Columns of docs with the names of the added ones are replaced.
     """
-    own = ("size", "source_size", "target", "rate", "copies", "mix_source")
-    docs = docs.drop(*own).withColumn("size", word_count(F.col("text")))
-    targets = written(source_targets(docs.select("source", "size"), weights, most), "sources").withColumnRenamed("source", "mix_source")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    joined = docs.join(targets, docs["source"].eqNullSafe(targets["mix_source"]), "left").drop("mix_source")
-    whole = F.floor("rate")
-    extra = (uniform(seed, F.col("doc_id")) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("copies", whole + extra)
-
-
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    taken = mixed(docs, **how).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    added = ("size", "source_size", "target", "rate", "copies")
+    own, name = _taken(docs, weights, most, seed)
+    return own.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added], *[F.col(f"{name}.{c}").alias(c) for c in added])
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of docs, whatever their names."""
+    own, name = _taken(docs, weights, most, seed)
+    copy = _private(own, "_copy")
+    taken = own.where(F.col(f"{name}.copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies").cast("int"))))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -79,7 +100,7 @@ def mix_digest(docs: DataFrame, **how) -> DataFrame:
 
 MIX_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap,
     (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight
@@ -91,7 +112,7 @@ t AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS tar
 r AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+    ('0x' || substr(md5('7:' || d.key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
