@@ -146,14 +146,17 @@ def fit(flags: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float,
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """key, quality, text of at most `sample` labelled documents outside the held-out fold, chosen by a hash of the id."""
+    """key, quality, text of at most `sample` labelled documents outside the held-out fold, chosen by a hash of the id.
+
+    Of rows with one id, one counts: the greatest text. Such rows are cut down to one before and after the shuffle.
+    """
     own = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~in_fold(0)).withColumn("key", F.xxhash64("doc_id", F.lit(3)))
     share = sample / max(1, own.count())
     if share < 1:
         own = own.where(F.pmod("key", F.lit(1 << 30)) < F.lit(int(share * 1.05 * (1 << 30)) + 1))
     chosen = own.groupBy("key", "doc_id").agg(F.max("quality").alias("quality")).orderBy("key", "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("key", "quality", "text")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("key", "doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text")).select("key", "quality", "text")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float]:
