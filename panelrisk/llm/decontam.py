@@ -96,7 +96,7 @@ class WuManber:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item, words: the windows of each item as word hashes; a shorter item is one window, one without words has none."""
+    """item, words: the windows of each item as word hashes; a shorter item is one window, one without words has none. item can be null."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +109,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                         out[1].append(own[a : a + window].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int64()))], names=["item", "words"])
 
-    return items.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(windows, "item string, words array<long>").distinct()
+    return items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(windows, "item string, words array<long>").distinct()
 
 
 def _hits(docs: DataFrame, patterns: list) -> DataFrame:
@@ -169,8 +169,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, block:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 
-    Nulls have no words; items with a null id are left out; items with equal ids count once; rows with equal doc_id
-    stay separate rows. Without items nothing is contaminated.
+    Nulls have no words; windows of items with a null id are hit like others, but such an item has no name to be counted or
+    listed by; items with equal ids count once; rows with equal doc_id stay separate rows. Texts of any length are searched whole.
+    Without items nothing is contaminated.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

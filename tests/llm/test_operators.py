@@ -412,20 +412,20 @@ LOW = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
 def test_decontamination(spark, docs, rows, empty, block):
     words = lambda t: CLEAN.findall((t or "").translate(LOW))
     some = next(r[1] for r in rows if r[1] and len(r[1].split()) > 60)
-    items = [(1, " ".join(some.split()[5:25]).upper()), (2, "one"), (3, None), (4, ""), (5, "Do not find me in any of the texts here at all"), (12, " ".join(some.split()[18:40])), (None, some), (1, "ÀÉ")]
+    items = [(1, " ".join(some.split()[5:25]).upper()), (2, "one"), (3, None), (4, ""), (5, "Do not find me in any of the texts here at all"), (12, " ".join(some.split()[18:40])), (None, " ".join(next(r[1] for r in rows if r[1] and 60 < len(r[1].split()) and r[1] != some).split()[:12])), (1, "ÀÉ")]
     frame = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, th string")
     patterns = {}
     for i, t in items:
         w = words(t)
-        for k in range(max(1, len(w) - 9) if w and i is not None else 0):
-            patterns.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            patterns.setdefault(tuple(w[k : k + 10]), set()).update({str(i)} if i is not None else ())
     got = by_id(decontam.contamination(docs, frame, block=block))
     bad = set()
     for d, t, *_ in rows:
         w, hit, found = words(t), set(), set()
         for n in {len(p) for p in patterns}:
             for k in range(len(w) - n + 1):
-                if p := patterns.get(tuple(w[k : k + n])):
+                if (p := patterns.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     found |= p
         r = got[d]
