@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token files", token_stage),
 ]
 
-#: SQL can express neither the classifier nor the sketches; the tests hold each stage against a brute-force version.
+#: SQL can express neither the classifier nor the sketches; tests/llm/test_pipeline.py runs the stages on planted cases.
 ORACLE_SQL: str | None = None
 
 
