@@ -30,8 +30,8 @@ REGISTERS = 149
 FEW = 32
 #: Shingles of such texts that are drawn for together, which bounds the memory whatever the lengths of texts.
 TOGETHER = 8192
-#: Texts of a bucket in one block, and how much lower than the similarity the share of equal registers may be (3.6 standard deviations).
-BLOCK, SLACK = 256, 0.12
+#: Texts and words of a bucket in one block on average, and how much lower than the similarity the share of equal registers may be (3.6 standard deviations).
+BLOCK, BLOCK_WORDS, SLACK = 256, 262_144, 0.12
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,8 +174,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """a, b: texts of one bucket and different components with similarity `similar` or more.
 
-    Texts are compared block by block, first by their sketches and then exactly, so that only links become rows. A pair
-    is compared in the bucket of the first band that it shares, and in no other.
+    Texts are compared block by block, first by their sketches and then exactly, so that only links become rows, and of two
+    blocks one link for any two components. A pair is compared in the bucket of the first band that it shares, and in no other.
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +200,17 @@ def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataF
                 shared = (registers[0][r] == registers[1][c])[:, : BANDS * ROWS].reshape(len(r), BANDS, ROWS).all(axis=2)
                 first = shared.argmax(axis=1) == band
                 texts_ = [[(np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)) for h, n in zip(v.field("hashes").to_pylist(), v.field("counts").to_pylist(), strict=True)] for v in sides]
+                met: set[tuple[int, int]] = set()
                 for i, j in zip(r[first].tolist(), c[first].tolist(), strict=True):
-                    if probability_jaccard(texts_[0][i], texts_[1][j]) >= similar - 1e-12:
+                    two = int(component[0][i]), int(component[1][j])
+                    if two not in met and probability_jaccard(texts_[0][i], texts_[1][j]) >= similar - 1e-12:
+                        met.add(two)
                         out[0].append(int(uid[0][i]))
                         out[1].append(int(uid[1][j]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     own = texts.join(placed.select("uid").distinct(), "uid").select("uid", "text").mapInArrow(sketched, "uid long, registers binary, hashes binary, counts binary")
-    parts = placed.withColumn("part", F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / BLOCK)))
+    parts = placed.withColumn("part", F.pmod(F.xxhash64("uid"), F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS))))
     blocks = parts.join(own, "uid").groupBy("key", "band", "part").agg(F.collect_list(F.struct("uid", "component", "registers", "hashes", "counts")).alias("x"))
     both = blocks.join(blocks.select("key", F.col("part").alias("other"), F.col("x").alias("y")), "key").where("part <= other").select("band", "x", "y")
     return both.mapInArrow(compare, "a long, b long")
@@ -228,9 +231,9 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     same = table.where("n_words > 0").groupBy("whole", "n_words").agg(F.min("uid").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     copies = written(table.select("uid", "whole", "n_words").join(same, ["whole", "n_words"]).where("uid <> m").select(F.col("uid").alias("a"), F.col("m").alias("b")), "copies")
     firsts = table.join(copies.select(F.col("a").alias("uid")), "uid", "left_anti")
-    members = firsts.select("uid", F.posexplode("keys").alias("band", "key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    inside = written(members.join(buckets, "key"), "buckets")
+    members = firsts.select("uid", "n_words", F.posexplode("keys").alias("band", "key"))
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words")).where("size > 1")
+    inside = written(members.drop("n_words").join(buckets, "key"), "buckets")
     weight = inside.groupBy("uid").agg(F.sum("size").alias("weight"))
     leaders = inside.join(weight, "uid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("uid")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("leader"))
     pairs = inside.join(leaders, "key").where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
@@ -240,7 +243,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     joined = components(links)
     placed = inside.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    placed = written(placed.join(open_, "key").select("key", "band", "uid", "component", "size"), "open-buckets")
+    placed = written(placed.join(open_, "key").select("key", "band", "uid", "component", "size", "words"), "open-buckets")
     rest = _linked_inside(placed, texts, similar)
     classes = components(written(links.unionAll(rest).unionAll(copies), "all-links"))
     sized = table.select("uid", "doc_id", "id", "th").join(classes.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))

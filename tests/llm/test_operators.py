@@ -284,7 +284,10 @@ def grams(text, k=5):
     return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)] if w else [])
 
 
-def test_near_dedup(spark, docs, rows, empty):
+@pytest.mark.parametrize(("block", "words"), [(neardup.BLOCK, neardup.BLOCK_WORDS), (3, 10**6), (256, 300)])
+def test_near_dedup(spark, docs, rows, empty, monkeypatch, block, words):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", words)
     rng = random.Random(3)
     original = [f"q{rng.randrange(500)}" for _ in range(120)]
     more = []
