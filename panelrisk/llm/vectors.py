@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from panelrisk.llm.components import components
 from panelrisk.llm.store import NO_ID, written
@@ -26,10 +27,18 @@ SAMPLE, PROBES = 20_000, 400
 #: Vectors of a cell in one block, of those filed and of those that visit.
 FILED, VISITING = 256, 512
 #: Vectors for each cell that the size of the grid aims at, and the most codes of a half.
-PER_CELL, CODES = 200, 256
+PER_CELL, CODES = 200, 2048
+#: Cells of a grid up to which the table of their sizes is broadcast (some 50 bytes a row); beyond it, sizes join by a shuffle.
+BROADCAST_CELLS = 65_536
 
 
-def _prepared(vectors: DataFrame) -> DataFrame:
+def _kind(vectors: DataFrame) -> type:
+    """Components are kept in single precision where they come in it; they are computed with in double precision."""
+    held = vectors.schema["embedding"].dataType
+    return np.float32 if isinstance(held, ArrayType) and isinstance(held.elementType, FloatType) else np.float64
+
+
+def _prepared(vectors: DataFrame, kind: type) -> DataFrame:
     """uid, vec_id, id and raw: the components as bytes; null for vectors that link with nothing."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +51,7 @@ def _prepared(vectors: DataFrame) -> DataFrame:
                 if not 0 < size < np.inf and len(v) and np.isfinite(v).all() and v.any():
                     v = v / np.abs(v).max()  # squares left the range of doubles
                     size = 1.0
-                raw.append(v.tobytes() if 0 < size < np.inf else None)
+                raw.append(v.astype(kind).tobytes() if 0 < size < np.inf else None)
             yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(raw))), batch.column(0), pa.array(raw, pa.binary())], names=["uid", "vec_id", "raw"])
             uid += len(raw)
 
@@ -50,8 +59,8 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(prepare, "uid long, vec_id long, raw binary").withColumn("id", F.coalesce("vec_id", F.lit(NO_ID)))
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: type = np.float64) -> np.ndarray:
+    v = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
@@ -59,7 +68,7 @@ def codebook(points: np.ndarray, codes: int, rounds: int = 12, seed: int = 3) ->
     """Centres of k-means over the points."""
     centres = points[np.random.default_rng(seed).permutation(len(points))[:codes]].copy()
     for _ in range(rounds):
-        nearest = distances(points, centres).argmin(axis=1)
+        nearest = np.concatenate([distances(x, centres).argmin(axis=1) for x in np.array_split(points, -(-len(points) // 1024))])
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, points)
         count = np.bincount(nearest, minlength=len(centres))
@@ -81,7 +90,7 @@ def traversal(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: int) -
     near = [distances(x, b) for x, b in ((v[:, :h], books[0]), (v[:, h:], books[1]))]
     order = [d.argsort(axis=1, kind="stable") for d in near]
     own = [np.take_along_axis(d, o, axis=1) for d, o in zip(near, order, strict=True)]
-    i, j = np.indices((len(books[0]), len(books[1]))).reshape(2, -1)
+    i, j = np.indices([min(cells, len(b)) for b in books]).reshape(2, -1)
     some = (i + 1) * (j + 1) <= cells
     i, j = i[some], j[some]
     first = (own[0][:, i] + own[1][:, j]).argsort(axis=1, kind="stable")[:, :cells]
@@ -96,9 +105,12 @@ def cells_needed(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], similar: f
     noise -= (noise * v).sum(axis=1)[:, None] * v
     size = np.sqrt((noise * noise).sum(axis=1))[:, None]
     other = similar * v + np.sqrt(max(0.0, 1 - similar**2)) * noise / np.where(size > 0, size, 1)
-    everything = traversal(v, books, len(books[0]) * len(books[1]))
-    rank = (everything == traversal(other, books, 1)).argmax(axis=1)
-    return int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))) - 1)]) + 1
+    h = v.shape[1] // 2
+    near = distances(v[:, :h], books[0]), distances(v[:, h:], books[1])
+    home = traversal(other, books, 1)[:, 0]
+    # as many cells as lie no farther than that of the other vector
+    rank = np.array([(x[:, None] + y[None, :] <= x[c // len(y)] + y[c % len(y)]).sum() for x, y, c in zip(*near, home, strict=True)])
+    return int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))) - 1)])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +131,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _compared(blocks: DataFrame, similar: float) -> DataFrame:
+def _compared(blocks: DataFrame, similar: float, kind: type) -> DataFrame:
     """a, b, n: with b null, n links of a were found; else a and b are in one component."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +140,7 @@ def _compared(blocks: DataFrame, similar: float) -> DataFrame:
             for k in range(batch.num_rows):
                 cell = batch.column(0)[k].as_py()
                 filed, visiting = (batch.column(c)[k].values for c in (1, 2))
-                u, q = (unit(x.field("raw").to_pylist()) for x in (filed, visiting))
+                u, q = (unit(x.field("raw").to_pylist(), kind) for x in (filed, visiting))
                 uid, qid = filed.field("uid").to_numpy(), visiting.field("uid").to_numpy()
                 um, qm = filed.field("mult").to_numpy(), visiting.field("mult").to_numpy()
                 r, c = np.nonzero(q @ u.T >= similar)
@@ -156,12 +168,12 @@ def _compared(blocks: DataFrame, similar: float) -> DataFrame:
     return blocks.mapInArrow(compare, "a long, b long, n long")
 
 
-def _found(reps: DataFrame, similar: float, recall: float, sample: int) -> DataFrame:
+def _found(reps: DataFrame, kind: type, similar: float, recall: float, sample: int) -> DataFrame:
     """a, b, n (see _compared) for different vectors of one length; reps: uid, raw, mult."""
     spark, n = reps.sparkSession, reps.count()
     share = min(1.0, sample / max(1, n))
     chosen = reps.where(F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("raw").limit(sample).collect()
-    points = unit([bytes(r["raw"]) for r in chosen])
+    points = unit([bytes(r["raw"]) for r in chosen], kind)
     codes = int(np.clip(np.sqrt(n / PER_CELL), 1, min(CODES, len(points))))
     h = points.shape[1] // 2
     books = (codebook(points[:, :h], codes), codebook(points[:, h:], codes))
@@ -170,7 +182,7 @@ def _found(reps: DataFrame, similar: float, recall: float, sample: int) -> DataF
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            visits = traversal(unit(batch.column(1).to_pylist()), shared.value, cells)
+            visits = traversal(unit(batch.column(1).to_pylist(), kind), shared.value, cells)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits[:, 0], pa.int64()), pa.array(list(visits.astype(np.int64)), pa.list_(pa.int64()))], names=["uid", "raw", "mult", "home", "cells"])
 
     filed = written(reps.select("uid", "raw", "mult").mapInArrow(file, "uid long, raw binary, mult long, home long, cells array<long>"), "filed")
@@ -178,13 +190,13 @@ def _found(reps: DataFrame, similar: float, recall: float, sample: int) -> DataF
     filed = filed.withColumn("cell", F.col("home"))
 
     def blocks(rows: DataFrame, size: int, name: str, *columns: str) -> DataFrame:
-        """Rows of a cell in blocks of about `size`; one row counts a cell, and there are at most CODES * CODES cells."""
+        """Rows of a cell in blocks of about `size`; one row counts a cell."""
         parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-        dealt = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+        dealt = rows.join(F.broadcast(parts) if codes**2 <= BROADCAST_CELLS else parts, "cell").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
         return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
 
     both = blocks(filed, FILED, "filed", "uid", "raw", "mult", "cells").join(blocks(visiting, VISITING, "visiting", "uid", "raw", "mult", "home"), "cell")
-    return _compared(both.select("cell", "filed", "visiting"), similar)
+    return _compared(both.select("cell", "filed", "visiting"), similar, kind)
 
 
 def vector_classes(vectors: DataFrame, similar: float = SIMILAR, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
@@ -194,12 +206,13 @@ def vector_classes(vectors: DataFrame, similar: float = SIMILAR, recall: float =
     are compared once and counted as often as they occur; vectors of different lengths have no cosine and do not link.
     Rows with equal vec_id are separate vectors; a null vec_id counts as the largest. An empty table gives none.
     """
-    table = written(_prepared(vectors), "vectors")
+    kind = _kind(vectors)
+    table = written(_prepared(vectors, kind), "vectors")
     distinct = table.where("raw IS NOT NULL").groupBy("raw").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("mult"))
     reps = written(distinct, "distinct-vectors").withColumn("uid", F.col("rep"))
     found = None
     for (size,) in reps.select(F.length("raw")).distinct().collect():
-        part = _found(reps.where(F.length("raw") == size), similar, recall, sample)
+        part = _found(reps.where(F.length("raw") == size), kind, similar, recall, sample)
         found = part if found is None else found.unionAll(part)
     copies = table.join(reps.select("raw", "rep", "mult"), "raw").select("uid", "rep", "mult")
     if found is None:

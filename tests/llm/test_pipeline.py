@@ -110,8 +110,11 @@ def test_token_files_have_row_index_and_skip_by_id(spark, folder):
     assert len(raw) > 0
 
 
-def test_recall_of_planted_links(spark):
+@pytest.mark.parametrize(("kind", "per_cell", "broadcast"), [("double", 200, vectors.BROADCAST_CELLS), ("float", 10, 0)])
+def test_recall_of_planted_links(spark, monkeypatch, kind, per_cell, broadcast):
     """10,000 vectors of 64 components; 600 links at cosines of 0.90 to 0.92, a third of them off in one half only."""
+    monkeypatch.setattr(vectors, "PER_CELL", per_cell)
+    monkeypatch.setattr(vectors, "BROADCAST_CELLS", broadcast)
     rng = np.random.default_rng(7)
     v = rng.standard_normal((10_000, 64))
     v /= np.linalg.norm(v, axis=1)[:, None]
@@ -121,10 +124,12 @@ def test_recall_of_planted_links(spark):
             noise[32:] = 0
         noise -= (noise @ v[k]) * v[k]
         v[9_000 + k] = c * v[k] + np.sqrt(1 - c * c) * noise / np.linalg.norm(noise)
+    v = v.astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+    v_unit = v / np.linalg.norm(v, axis=1)[:, None]
     want = np.zeros(len(v), np.int64)
     for k in range(0, len(v), 1000):
-        want[k : k + 1000] = ((v[k : k + 1000] @ v.T) >= 0.9).sum(axis=1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in vectors.vector_classes(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).select("vec_id", "n_links").collect()}
+        want[k : k + 1000] = ((v_unit[k : k + 1000] @ v_unit.T) >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.vector_classes(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], f"vec_id long, embedding array<{kind}>")).select("vec_id", "n_links").collect()}
     found = np.array([got[k] for k in range(len(v))])
     assert (found <= want).all() and want.sum() >= 1190 and found.sum() / want.sum() >= 0.9
     print("recall", found.sum() / want.sum())
