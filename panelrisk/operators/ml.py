@@ -128,6 +128,12 @@ def _inputs(numeric: list[str], categories: list[str]) -> list:
     ]
 
 
+def preprocessor(numeric: list[str], categories: list[str]) -> Pipeline:
+    """Inputs of a model as one vector, features."""
+    parts = [f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categories]
+    return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error")])
+
+
 def linear_pipeline(numeric: list[str], categories: list[str], label: str = "label", ridge: float = 0.01) -> Pipeline:
     parts = [f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categories]
     return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), LogisticRegression(labelCol=label, regParam=ridge)])

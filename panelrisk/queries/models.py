@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from panelrisk.operators import calibrate, metrics, ml
@@ -56,6 +57,53 @@ def ml11_spline_basis(spark, sf_dir):
     return features(spark, sf_dir).select("loan_id", "observation_age", *[F.round(b[k], 6).alias(f"b{k}") for k in range(3)])
 
 
+_TRAIN = "SELECT * FROM mi WHERE vintage <= 1996"
+_LEVELS = f"""lv AS (SELECT coalesce(property_state, 'Unknown') AS level, row_number() OVER (ORDER BY count(*) DESC, coalesce(property_state, 'Unknown')) - 1 AS k FROM ({_TRAIN}) GROUP BY 1), nl AS (SELECT count(*) AS n FROM lv)"""
+
+
+def _encoded(spark, sf_dir, numeric, categories):
+    """The panel with inputs prepared by stages fitted on the training vintages."""
+    df = features(spark, sf_dir).select("loan_id", "observation_age", "vintage", *numeric, *categories)
+    return ml.preprocessor(numeric, categories).fit(df.where("vintage <= 1996")).transform(df)
+
+
+@query(f"""WITH {_LEVELS}, md AS (SELECT quantile_disc(original_dti, 0.5) AS dti, quantile_disc(original_ltv, 0.5) AS ltv FROM ({_TRAIN}))
+SELECT loan_id, observation_age, coalesce(original_dti, dti)::DOUBLE AS dti_filled, 2 + n + 1 AS width, (coalesce(original_dti, dti) + coalesce(original_ltv, ltv) + 1)::DOUBLE AS total FROM mi, md, nl""")
+def ml1_ml4_ml5_imputed_and_assembled(spark, sf_dir):
+    df = _encoded(spark, sf_dir, ["original_dti", "original_ltv"], ["property_state"])
+    v = vector_to_array("features")
+    return df.select("loan_id", "observation_age", F.col("original_dti_filled").cast("double").alias("dti_filled"), F.size(v).cast("long").alias("width"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH {_LEVELS} SELECT loan_id, observation_age, coalesce(k, n)::DOUBLE AS state_index, coalesce(k, n)::BIGINT + 1 AS hot_slot, n + 1 AS slots FROM mi CROSS JOIN nl LEFT JOIN lv ON level = coalesce(property_state, 'Unknown')""")
+def ml2_ml3_category_slots(spark, sf_dir):
+    df = _encoded(spark, sf_dir, ["original_ltv"], ["property_state"])
+    hot = vector_to_array("property_state_hot")
+    return df.select("loan_id", "observation_age", F.col("property_state_index").alias("state_index"), F.array_position(hot, 1.0).alias("hot_slot"), F.size(hot).cast("long").alias("slots"))
+
+
+@query(f"""WITH q AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q), v AS (SELECT 'original_ltv' AS feature, original_ltv::DOUBLE AS x FROM ({_TRAIN}) UNION ALL SELECT 'delinquency_months_12m', delinquency_months_12m::DOUBLE FROM ({_TRAIN})),
+r AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS r, count(*) OVER (PARTITION BY feature) AS n FROM v WHERE x IS NOT NULL),
+k AS (SELECT DISTINCT feature, x AS knot FROM r, q WHERE r = greatest(1, ceil(round(q * n, 6))))
+SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY knot) - 1 AS k, knot, CASE WHEN count(*) OVER (PARTITION BY feature) > 2 THEN 'spline' ELSE 'linear' END AS kind FROM k""")
+def ml10_spline_knots(spark, sf_dir):
+    model = ml.Splines(inputCols=["original_ltv", "delinquency_months_12m"]).fit(features(spark, sf_dir).where("vintage <= 1996"))
+    knots = model.getOrDefault(model.knots)
+    rows = [(c, k, x, "spline" if len(own) > 2 else "linear") for c, own in knots.items() for k, x in enumerate(own)]
+    return spark.createDataFrame(rows, "feature string, k long, knot double, kind string")
+
+
+@query(f"""WITH {_LEVELS}, x AS (SELECT loan_id, observation_age, coalesce(k, n) AS slot, n + 1 AS slots, greatest(50.0, least(104.0, original_ltv)) AS v FROM mi CROSS JOIN nl LEFT JOIN lv ON level = coalesce(property_state, 'Unknown') WHERE original_ltv IS NOT NULL)
+SELECT loan_id, observation_age, 3 * slots AS width, round((CASE WHEN v < 75 THEN (75 - v) / 25 ELSE 0 END) * (slot + 1) + (CASE WHEN v < 75 THEN (v - 50) / 25 ELSE (104 - v) / 29 END) * (slots + slot + 1) + (CASE WHEN v < 75 THEN 0 ELSE (v - 75) / 29 END) * (2 * slots + slot + 1), 5) AS moment FROM x""")
+def ml12_spline_by_category(spark, sf_dir):
+    """The products of a spline and a category's indicators, as their number and the sum of each times its place."""
+    df = _encoded(spark, sf_dir, ["original_ltv"], ["property_state"]).where("original_ltv IS NOT NULL").withColumn("ltv_basis", array_to_vector(ml.basis(F.col("original_ltv"), [50.0, 75.0, 104.0], degree=1)))
+    v = vector_to_array("crossed")
+    crossed = ml.Crossed(inputCols=["ltv_basis", "property_state_hot"], outputCol="crossed").transform(df)
+    placed = F.aggregate(F.transform(v, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return crossed.select("loan_id", "observation_age", F.size(v).cast("long").alias("width"), F.round(placed, 5).alias("moment"))
+
+
 def _calibrated(df):
     return metrics.point_metrics(df.withColumn("pd", F.col("calibrated")))
 
