@@ -90,6 +90,8 @@ class Encoder:
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         cut[1:-1] |= (_digits_letters[data[:-1]] & _punctuation[data[1:]]) | np.append((data[1:-1] == 0x20) & _visible[data[2:]], False)[: n - 1]
+        last = offsets[1:][offsets[1:] > 0] - 1
+        cut[last[data[last] == 0x20]] = False  # what follows the last space of a row is another row
         raw = data.tobytes()
         for token in self.whole:
             k = raw.find(token)

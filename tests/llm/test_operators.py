@@ -93,6 +93,20 @@ def test_encoder_forgets_without_changing_results(monkeypatch):
     assert all(got[k] == t.encode(x, add_special_tokens=False).ids for k, x in enumerate(given))
 
 
+def test_spaces_at_the_end_of_a_text_stay_together(tmp_path):
+    """A vocabulary with a token of two spaces, whatever the next text begins with."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    import pyarrow as pa
+
+    t = Tokenizer(models.BPE(vocab={"Ġ": 0, "a": 1, "ĠĠ": 2}, merges=[("Ġ", "Ġ")]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "two_spaces.json"))
+    given = ["a  ", "a", "  ", "", " a", " ", "a   ", "a"]
+    ((_, _, counts, ids),) = encode.Encoder(str(tmp_path / "two_spaces.json")).rows(pa.array(given))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in given]
+
+
 def targets(sizes):
     order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weight, total, held, free = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, sum(sizes.values()), {}, set(order)
