@@ -21,10 +21,13 @@ def build_model_input(perf: DataFrame, orig: DataFrame, target: str, ages=pit.AG
 
 
 def train(spark: SparkSession, source: str, target: str, pipeline: Pipeline, vintages: dict[str, list[int]], label: str = "future_90dpd") -> PipelineModel:
-    """Fit on the train vintages of a written model input and save the fitted pipeline."""
+    """Fit on the train vintages of a written model input and save the fitted pipeline with its input contract.
+
+    Raises, and saves nothing, where the train vintages have no rows, a null label or one class only.
+    """
     df = splits.yearly(spark.read.parquet(source).withColumn("label", F.col(label).cast("double")), vintages["train"], vintages["test"], vintages["oot"])
     model = ml.train(pipeline, df.where("split = 'train'"))
-    model.write().overwrite().save(target)
+    ml.save_model(model, target)
     return model
 
 

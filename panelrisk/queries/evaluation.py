@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.operators import calibrate, metrics, ml
 from panelrisk.plans import jobs
-from panelrisk.queries.base import feature_table, query, scored_table
+from panelrisk.queries.base import feature_table, orig, perf, query, scored_table
 from panelrisk.queries.metrics import _GROUPS, _POINT, _RANK, r6
 from panelrisk.sources.scratch import scratch_path, stored
 
@@ -178,3 +178,28 @@ def sc4_interventions_by_vintage(spark, sf_dir):
     path = scratch_path(spark, "interventions")
     files.write_partitioned(jobs.intervene(scored_table(spark, sf_dir), 0.1), path)
     return spark.read.parquet(path).groupBy("vintage").agg(F.count(F.lit(1)).alias("n"), F.sum("intervention_flag").cast("long").alias("flagged"))
+
+
+_VINTAGES = {"train": [1992, 1993, 1994, 1995], "test": [1996], "oot": [1997, 1998]}
+
+
+@query("""SELECT CASE WHEN vintage <= 1995 THEN 'train' WHEN vintage = 1996 THEN 'test' ELSE 'oot' END AS split, count(*) AS n, sum(future_90dpd)::BIGINT AS events, count(*) AS scored
+FROM mi WHERE vintage BETWEEN 1992 AND 1998 GROUP BY 1""")
+def ml9_ml18_ml20_training_job(spark, sf_dir):
+    """The input is built and written, a model fitted on its train vintages and saved, then loaded to score every split."""
+    from panelrisk.operators import splits
+
+    source, target = scratch_path(spark, "model-input"), scratch_path(spark, "model")
+    jobs.build_model_input(perf(spark, sf_dir), orig(spark, sf_dir), source)
+    jobs.train(spark, source, target, ml.linear_pipeline(NUM, CAT), _VINTAGES)
+    df = splits.yearly(spark.read.parquet(source), **_VINTAGES)
+    model, columns = ml.load_model(target, df)
+    rows = ml.score(model, df.select("split", "future_90dpd", *columns))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("future_90dpd").cast("long").alias("events"), F.count_if(F.col("pd").between(0, 1)).alias("scored"))
+
+
+@query("SELECT loan_id, observation_age, mi.vintage, credit_score, pd FROM mi LEFT JOIN (SELECT loan_id, observation_age, pd FROM sc WHERE sc.vintage > 1994) USING (loan_id, observation_age)")
+def jn7_scores_joined_back(spark, sf_dir):
+    """A written score table joined to the population by key; rows that were not scored keep a null."""
+    scores = scored_table(spark, sf_dir).where("vintage > 1994").select(*KEY, "pd")
+    return feature_table(spark, sf_dir, *KEY, "vintage", "credit_score").join(scores, KEY, "left")

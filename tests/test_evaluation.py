@@ -136,3 +136,16 @@ def test_split_dispatch_and_scratch(spark):
     rows = {r["split"]: r for r in splits.with_years(splits.dispatch(df, "yearly", **years), "y", "loan_id", years).collect()}
     assert rows["oot"]["vintages_without_rows"] == 1 and rows["train"]["first_vintage"] == 1990
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_training_job_rejects_one_class_and_saves_nothing(spark, tmp_path):
+    import os
+
+    from panelrisk.plans import jobs
+
+    source, target = str(tmp_path / "input"), str(tmp_path / "model")
+    spark.createDataFrame([(2000, 0, 1.0), (2001, 0, 2.0), (2002, 1, 3.0)], "vintage int, future_90dpd int, x double").write.parquet(source)
+    years = {"train": [2000], "test": [2001], "oot": [2002]}
+    with pytest.raises(ValueError, match="1 classes"):
+        jobs.train(spark, source, target, ml.linear_pipeline(["x"], []), years)
+    assert not os.path.exists(target)
