@@ -37,16 +37,20 @@ def _printable_bytes() -> dict[int, str]:
 
 
 class Encoder:
-    """Token ids of texts, as encode(text, add_special_tokens=False) of the tokenizers library gives them."""
+    """Token ids of texts, as encode(text, add_special_tokens=False) of the tokenizers library gives them.
 
-    def __init__(self, path: str):
+    plain: the strings of special tokens inside a text are plain text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table = _printable_bytes()
         #: Tokens that the library takes out of a text before it splits it; they are never cut.
-        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
         self.forget()
 
     def forget(self) -> None:
@@ -84,20 +88,25 @@ class Encoder:
         self.slot_entry[slots] = np.where(self.keys[slots] == keys, entries, self.slot_entry[slots])
         return entries
 
-    def _entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entry of each chunk and the row that it is in."""
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether a chunk begins at each byte (or ends at the last)."""
         n = len(data)
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         cut[1:-1] |= (_digits_letters[data[:-1]] & _punctuation[data[1:]]) | np.append((data[1:-1] == 0x20) & _visible[data[2:]], False)[: n - 1]
         last = offsets[1:][offsets[1:] > 0] - 1
         cut[last[data[last] == 0x20]] = False  # what follows the last space of a row is another row
-        raw = data.tobytes()
+        raw = data.tobytes() if self.whole else b""
         for token in self.whole:
             k = raw.find(token)
             while k >= 0:
                 cut[k + 1 : k + len(token)] = False
                 k = raw.find(token, k + 1)
+        return cut
+
+    def _entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each chunk and the row that it is in."""
+        cut = self._cuts(data, offsets)
         cut[offsets] = True
         at = np.flatnonzero(cut)
         starts, ends = at[:-1], at[1:]
@@ -107,6 +116,7 @@ class Encoder:
         entries = self.slot_entry[slots]
         unknown = np.flatnonzero(self.keys[slots] != keys)
         if len(unknown):
+            raw = data.tobytes()
             own, first, back = np.unique(keys[unknown], return_index=True, return_inverse=True)
             where = unknown[first]
             entries[unknown] = self._add(own, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])[back]

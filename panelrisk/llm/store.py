@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = 2**63 - 1
+#: Keys that hold a larger part of all rows than one in so many are joined by broadcast: at most so many keys.
+HOT_PARTS = 1024
 #: Removes the shuffle files of an action when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -57,6 +59,30 @@ def bucket_count(spark: SparkSession, size: int, each: int) -> int:
     return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
+def private(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """All columns of docs, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows to the one row that table has for each key; column n of table: the rows that hold the key, total: all rows.
+
+    Keys that hold more than one in HOT_PARTS of all rows, HOT_PARTS at most, are broadcast, so that no key meets
+    in a task more than that part of the rows. Both inputs are read twice: pass written tables. n is left out of the result.
+    """
+    hot = table.where(F.col(n) * HOT_PARTS > total).drop(n)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) * HOT_PARTS <= total).drop(n), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key (id, th) that repeated rows share and that is never null.
 
