@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelrisk.llm import decontam, mixing, neardup, packing, quality, substring, suffix_array, suffix_tree, token_counts, token_files, trie, vectors
+from panelrisk.llm import alignment, decontam, mixing, neardup, packing, quality, substring, suffix_array, suffix_tree, token_counts, token_files, trie, vectors
 from panelrisk.llm.store import shared_path
 
 
@@ -58,9 +58,13 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op5_lm_scoring, op6_suffix_dedup, op7_near_dedup, op8_token_counts, op9_embedding_dedup, op10_decontamination, op11_sharding, op13_prefix_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op2_mixing, op3_quality, op4_substring_dedup, op5_lm_scoring, op6_suffix_dedup, op7_near_dedup, op8_token_counts, op9_embedding_dedup, op10_decontamination, op11_sharding, op12_alignment, op13_prefix_trie)}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.MIX_SQL, "op4_substring_dedup": substring.SUBSTRING_SQL, "op9_embedding_dedup": vectors.VECTORS_SQL, "op13_prefix_trie": trie.TRIE_SQL}
