@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
-from panelrisk.llm.store import keyed
+from panelrisk.llm.store import keyed, without
 
 WINDOW = 10
 #: Windows in one broadcast block of patterns (some 100 bytes each); a larger benchmark is searched block by block.
@@ -195,6 +195,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no window of an item occurs, with their columns as they are."""
-    bad = occurrences(docs, items, window, block).where(F.size("starts") > 0).select(F.col("id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("_bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_bad_th"))
-    return docs.join(bad, key, "left_anti")
+    return without(docs, occurrences(docs, items, window, block).where(F.size("starts") > 0).select("id", "th"))

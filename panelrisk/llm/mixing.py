@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelrisk.llm.store import written
+from panelrisk.llm.store import own_columns, private, written
 
 #: Rows of the table of sources up to which it is broadcast (some 100 bytes a row); beyond it, sources join by a shuffle.
 BROADCAST_SOURCES = 20_000
@@ -48,28 +48,20 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: fl
     return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def _private(docs: DataFrame, name: str) -> str:
-    """A name that no column of docs has."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def _taken(docs: DataFrame, weights: tuple[int, ...], most: float, seed: int) -> tuple[DataFrame, str]:
     """docs with a struct of size, source_size, target, rate and copies, and the struct's name, which docs does not have."""
-    name = _private(docs, "_mix")
+    name = private(docs, "_mix")
     sized = docs.withColumn(name, word_count(F.col("text").cast("string")))
     targets = written(source_targets(sized.select("source", F.col(name).alias("size")), weights, most), "sources")
     few = targets.count() <= BROADCAST_SOURCES
-    own = _private(sized, "_target")
+    own = private(sized, "_target")
     packed = targets.select(F.struct("source", "source_size", "target", "rate").alias(own))
     joined = sized.join(F.broadcast(packed) if few else packed, F.col("source").eqNullSafe(F.col(f"{own}.source")), "left")
     rate = F.col(f"{own}.rate")
     whole = F.floor(rate)
     extra = (uniform(seed, F.col("doc_id"), F.col("text").cast("string")) < rate - whole).cast("long")
     result = F.struct(F.col(name).alias("size"), F.col(f"{own}.source_size").alias("source_size"), F.col(f"{own}.target").alias("target"), rate.alias("rate"), (whole + extra).alias("copies"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(name)), name
+    return joined.select(*own_columns(docs), result.alias(name)), name
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
@@ -87,9 +79,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs, whatever their names."""
     own, name = _taken(docs, weights, most, seed)
-    copy = _private(own, "_copy")
+    copy = private(own, "_copy")
     taken = own.where(F.col(f"{name}.copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies").cast("int"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.select(*own_columns(docs))
 
 
 def mix_digest(docs: DataFrame, **how) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
 from panelrisk.llm.components import components
-from panelrisk.llm.store import NO_ID, keyed, written
+from panelrisk.llm.store import keyed, keyed_rows, own_columns, private, written
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of registers. A pair of similarity 0.8 shares a band but once in 1,500 cases not.
@@ -261,8 +261,9 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Of rows that are equal in doc_id and text, one stays, whichever.
     """
-    gone = near_duplicates(docs, similar).groupBy("id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("kept").alias("_one"))
-    own = docs.withColumn("_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(docs["text"].cast("string")))
-    marked = own.join(gone, ["_id", "_th"], "left")
-    once = marked.where("_one").dropDuplicates(["_id", "_th"])
-    return marked.where("_one IS NULL").unionAll(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, i, t = keyed_rows(docs)
+    one = private(own, "_one")
+    gone = near_duplicates(docs, similar).groupBy("id", "th").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1").select(F.col("id").alias(i), F.col("th").alias(t), F.col("kept").alias(one))
+    marked = own.join(gone, [i, t], "left")
+    once = marked.where(F.col(one)).dropDuplicates([i, t])
+    return marked.where(F.col(one).isNull()).unionAll(once).select(*own_columns(docs))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
-from panelrisk.llm.store import in_fold, keyed
+from panelrisk.llm.store import in_fold, keyed, without
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 6000
@@ -216,6 +216,4 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, accept: fl
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, accept: float = ACCEPT) -> DataFrame:
     """The rows of docs whose score is `accept` or more, with their columns as they are."""
-    bad = scored(docs, labels, sample).where(F.col("score") < accept).select(F.col("id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
-    key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("_bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_bad_th"))
-    return docs.join(bad, key, "left_anti")
+    return without(docs, scored(docs, labels, sample).where(F.col("score") < accept).select("id", "th"))

@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 NO_ID = 2**63 - 1
 #: Keys that hold a larger part of all rows than one in so many are joined by broadcast: at most so many keys.
 HOT_PARTS = 1024
+#: Names the temporary folder of a session that has no spark.checkpoint.dir.
+OWN_DIR = "panelrisk.llm.dir"
 #: Removes the shuffle files of an action when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir. Where that is unset, a temporary folder if all runs in one process, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(OWN_DIR, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -72,6 +74,18 @@ def own_columns(docs: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the key of each row, as `keyed` makes it, and the names of its two columns, which docs does not have."""
+    i, t = private(docs, "_id"), private(docs, "_th")
+    return docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(t, F.xxhash64(F.col("text").cast("string"))), i, t
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose key is not in gone (id, th), with their columns as they are, whatever their names."""
+    own, i, t = keyed_rows(docs)
+    return own.join(gone.select(F.col("id").alias(i), F.col("th").alias(t)).distinct(), [i, t], "left_anti").select(*own_columns(docs))
+
+
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """Inner join of rows to the one row that table has for each key; column n of table: the rows that hold the key, total: all rows.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
-from panelrisk.llm.store import NO_ID, bucket_count, keyed, written
+from panelrisk.llm.store import bucket_count, keyed, keyed_rows, own_columns, private, written
 
 WINDOW = 50
 #: Length of the first level; doubled up to the window.
@@ -347,11 +347,12 @@ def substring_digest(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
 def deduplicated(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
     """docs with the words left as text: joined by single spaces where words were removed, else as they were."""
     marked, removed = _parts(docs, window, base)
-    cut = kept_words(docs, removed, window).where("n_removed > 0").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "kept").dropDuplicates(["_id", "_th"])
-    gone = marked.where(F.col("copy") & (F.col("n_words") >= window)).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.lit("").alias("kept")).distinct()
-    new, columns = cut.unionByName(gone).withColumnRenamed("kept", "_kept"), docs.columns
-    own = docs.withColumn("_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(docs["text"].cast("string"))).join(new, ["_id", "_th"], "left")
-    return own.withColumn("text", F.coalesce("_kept", "text")).select(*[F.col(f"`{c}`") for c in columns])
+    cut = kept_words(docs, removed, window).where("n_removed > 0").select("id", "th", "kept").dropDuplicates(["id", "th"])
+    gone = marked.where(F.col("copy") & (F.col("n_words") >= window)).select("id", "th", F.lit("").alias("kept")).distinct()
+    own, i, t = keyed_rows(docs)
+    new = private(own, "_kept")
+    left = cut.unionByName(gone).select(F.col("id").alias(i), F.col("th").alias(t), F.col("kept").alias(new))
+    return own.join(left, [i, t], "left").withColumn("text", F.coalesce(F.col(new), F.col("text"))).select(*own_columns(docs))
 
 
 SUBSTRING_SQL = r"""

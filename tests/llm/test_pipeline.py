@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelrisk.llm import mixing, quality, token_files, vectors
+from panelrisk.llm import mixing, quality, substring, token_files, vectors
 from panelrisk.llm.store import shared_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, copies long, mix_source string, rate double"
+#: Names that the stages use for columns of their own; each is -7 in every row.
+CLASHES = ["_id", "_th", "_one", "_kept", "_bad_id", "_bad_th", "_mix", "_copy", "_target", "id", "th", "kept", "n", "score", "uid", "starts", "odd.name"]
+SCHEMA += "".join(f", `{c}` long" for c in CLASHES)
 GOOD, BAD = [f"fine{k}" for k in range(400)], [f"junk{k}" for k in range(60)]
 
 
@@ -23,7 +26,7 @@ def corpus():
     near = texts[1].split()
     near[60] = "changed"
     texts |= {300: " ".join(near), 301: texts[2], 302: texts[4] + " " + item.upper(), 303: None, 304: "", 305: prose() + " w" * 3000}
-    rows = [(k, t, "en", f"s{k % 4}" if k % 9 else None, 0, 7, 0.5, 9, "x", 2.0) for k, t in texts.items()]
+    rows = [(k, t, "en", f"s{k % 4}" if k % 9 else None, 0, 7, 0.5, 9, "x", 2.0, *[-7] * len(CLASHES)) for k, t in texts.items()]
     return rows + [rows[5]] * 2, [(k, int(k % 3 > 0)) for k in range(0, 300, 2)], item
 
 
@@ -45,6 +48,7 @@ def test_stages_on_planted_cases(spark, folder):
         stage(spark, docs, folder).write.parquet(path)
         docs = spark.read.parquet(path)
         assert docs.columns == columns, name
+        assert docs.where(" OR ".join(f"`{c}` IS DISTINCT FROM -7" for c in CLASHES)).isEmpty(), name
         kept.append([r["doc_id"] for r in docs.collect()])
     good, one, clean, mixed = (set(x) for x in kept)
     assert {k for k in range(300) if k % 3} | {300, 301, 302, 305} <= good and not good & {k for k in range(300) if not k % 3}
@@ -57,6 +61,15 @@ def test_stages_on_planted_cases(spark, folder):
     assert tokens.count() == len(kept[3]) and corpus_pipeline.run(spark, folder).count() == len(kept[3])
 
 
+def test_words_removed_keep_columns_of_clashing_names(spark):
+    passage = " ".join(GOOD[:70])
+    rows = [(1, f"a {passage} b", *[-7] * len(CLASHES)), (2, f"c {passage} d", *[-7] * len(CLASHES)), (3, f"a {passage} b", *[-7] * len(CLASHES)), (None, None, *[-7] * len(CLASHES))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string" + "".join(f", `{c}` long" for c in CLASHES))
+    out = substring.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {rows[0], (2, "c d", *[-7] * len(CLASHES)), (3, "", *[-7] * len(CLASHES)), rows[3]}
+
+
 def test_pipeline_of_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
