@@ -28,7 +28,7 @@ def numeric_psi(df: DataFrame, is_base: str, columns: list[str], bins: int = 10)
     long = unpivoted(df, [is_base], columns).where("value IS NOT NULL")
     edges = ordered.quantiles(long.where(F.col(is_base) == 1), "value", [k / bins for k in range(bins + 1)], "feature").select("feature", F.array_distinct("quantiles").alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    level = F.size(F.filter(inner, lambda e: e < F.col("value")))
+    level = ordered.edges_below(inner, F.col("value"), bins + 1)
     counted = long.join(F.broadcast(edges), "feature").where("size(edges) >= 3").withColumn("level", level).groupBy("feature", "level").agg(F.count_if(F.col(is_base) == 1).alias("base"), F.count_if(F.col(is_base) == 0).alias("other"))
     return edges.select("feature").join(_psi(counted), "feature", "left")
 
@@ -51,7 +51,7 @@ def average_ranks(df: DataFrame, key: list[str], columns: list[str]) -> DataFram
     """key and each column's rank, equal values sharing their average rank; values are counted before they are ordered."""
     long = unpivoted(df, key, columns).where("value IS NOT NULL")
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    ranks = ordered.running(counts, "value", ["c"], "feature", own_edges=True).select("feature", "value", (F.col("cum_c") - (F.col("c") - 1) / 2).alias("rank"))
+    ranks = ordered.running(counts, "value", ["c"], "feature").select("feature", "value", (F.col("cum_c") - (F.col("c") - 1) / 2).alias("rank"))
     return long.join(ranks, ["feature", "value"]).groupBy(*key).pivot("feature", columns).agg(F.first("rank"))
 
 

@@ -1,7 +1,7 @@
 """Evaluation of scores on any frame with columns label (0, 1) and pd; tied scores are one group.
 
 Rows are summed up by score, and sums along the scores run over ranges of scores (see ordered), so that no task holds all of them.
-Functions that read df more than once say so: give them a table that is written or cached.
+Functions that read df more than once say so: give them a table that is written or cached; `suite` makes all tables from one pass.
 Every function takes group keys, for metrics by vintage or period.
 """
 
@@ -23,7 +23,11 @@ def score_groups(df: DataFrame, *by: str) -> DataFrame:
 
 def rank_metrics(df: DataFrame, *by: str) -> DataFrame:
     """roc_auc, average precision (step sum) and KS; null where a class is missing."""
-    g = score_groups(df, *by)
+    return rank_of(score_groups(df, *by), *by)
+
+
+def rank_of(g: DataFrame, *by: str) -> DataFrame:
+    """rank_metrics from score_groups."""
     better = F.col("cum_pos") - F.col("pos")
     area = F.sum(F.col("neg") * (better + F.col("pos") / 2)) / (F.max("all_pos") * F.max("all_neg"))
     precision = F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))) / F.max("all_pos")
@@ -35,7 +39,10 @@ def rank_metrics(df: DataFrame, *by: str) -> DataFrame:
 
 def curve(df: DataFrame, *by: str) -> DataFrame:
     """One row for each score: tpr, fpr and their gap (points of the ROC and KS curves)."""
-    g = score_groups(df, *by)
+    return curve_of(score_groups(df, *by), *by)
+
+
+def curve_of(g: DataFrame, *by: str) -> DataFrame:
     tpr, fpr = F.col("cum_pos") / F.nullif("all_pos", F.lit(0)), F.col("cum_neg") / F.nullif("all_neg", F.lit(0))
     return g.select(*by, "pd", tpr.alias("tpr"), fpr.alias("fpr"), (tpr - fpr).alias("gap"))
 
@@ -93,7 +100,7 @@ def deciles(df: DataFrame, n: int = 10, from_highest: bool = False) -> DataFrame
     join by broadcast.
     """
     edges = ordered.quantiles(df, "pd", [k / n for k in range(n + 1)]).select(F.array_distinct("quantiles").alias("edges"))
-    at = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("pd"))))
+    at = F.greatest(F.lit(1), ordered.edges_below(F.col("edges"), F.col("pd"), n + 1))
     own = df.crossJoin(F.broadcast(edges)).withColumn("decile", (F.greatest(F.size("edges"), F.lit(2)) - at if from_highest else at).cast("int"))
     g = own.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("events"), F.avg("pd").alias("mean_pd"))
     whole = Window.partitionBy(F.lit(1))
@@ -103,17 +110,8 @@ def deciles(df: DataFrame, n: int = 10, from_highest: bool = False) -> DataFrame
 
 
 def positions(df: DataFrame, *key: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with position (from 1, the highest pd first, ties by key) and n_rows of its group; df is read more than once.
-
-    A window sees the rows of one score; where very many rows share one, give pd more digits.
-    """
-    counts = ordered.running(df.groupBy(*by, "pd").agg(F.count(F.lit(1)).alias("c")), "pd", ["c"], *by, descending=True)
-    before = counts.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("pd").alias("_pd"), (F.col("cum_c") - F.col("c")).alias("_before"), F.col("all_c").alias("n_rows"))
-    same = F.col("pd") == F.col("_pd")
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
-    own = df.withColumn("_inside", F.row_number().over(Window.partitionBy(*by, "pd").orderBy(*key)))
-    return own.join(before, same).withColumn("position", F.col("_before") + F.col("_inside")).select(*df.columns, "position", "n_rows")
+    """df with position (from 1, the highest pd first, ties by key) and n_rows of its group; neither a group nor a score is held by one task."""
+    return ordered.positions(df, [F.col("pd").desc(), *key], *by)
 
 
 def risk_tiles(df: DataFrame, n: int, *key: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -135,19 +133,41 @@ def top_share(df: DataFrame, shares: list[float], *key: str) -> DataFrame:
     return g.select("share", "population", "captured", (F.col("captured") / F.col("all_events")).alias("capture_rate"), precision.alias("precision"), "mean_pd", (precision / (F.col("all_events") / F.col("rows"))).alias("lift"))
 
 
-def threshold_grid(df: DataFrame, lo: float, hi: float, step: float) -> DataFrame:
-    """One row for each threshold in lo, lo + step, ... below hi, with the confusion counts and rates at it.
+def thresholds(lo: float, hi: float, step: float) -> list[float]:
+    """lo, lo + step, ... below hi; raises where they do not lie between 0 and 1."""
+    if not (0 < lo < 1 and lo < hi <= 1 and step > 0):
+        raise ValueError(f"thresholds from {lo} to {hi} by {step} do not lie between 0 and 1")
+    return [round(lo + k * step, 10) for k in range(int(-(-(hi - lo - 1e-12) // step)))]
 
-    Rows are summed up by the number of thresholds that they reach; only these sums, one row for each, meet the grid.
-    """
-    n = int(-(-(hi - lo - 1e-12) // step))
-    grid = [round(lo + k * step, 10) for k in range(n)]
-    reached = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("pd")))
-    bins = df.groupBy(reached.alias("reached")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
-    g = bins.select("reached", "pos", "neg", F.posexplode(F.array(*map(F.lit, grid))).alias("k", "threshold"))
+
+def reached(grid: list[float], step: float) -> Column:
+    """How many thresholds of an even grid pd reaches: by division, and one comparison on either side for what it rounds."""
+    k = F.least(F.lit(len(grid) - 1), F.greatest(F.lit(-1), F.floor((F.col("pd") - grid[0]) / step))).cast("int")
+    at = lambda i: F.round(F.lit(grid[0]) + i * F.lit(step), 10)
+    here = F.when((k + 1 < len(grid)) & (at(k + 1) <= F.col("pd")), k + 2)
+    return here.when((k >= 0) & (at(k) > F.col("pd")), k).otherwise(k + 1)
+
+
+def _of_grid(bins: DataFrame, grid: list[float], *by: str) -> DataFrame:
+    """The threshold table of bins (by, reached, pos, neg): sums of one row for each number of thresholds reached."""
+    g = bins.select(*by, "reached", "pos", "neg", F.posexplode(F.array(*map(F.lit, grid))).alias("k", "threshold"))
     hit = F.col("reached") > F.col("k")
     count = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
-    return _rates(g.groupBy("threshold").agg(count(hit, "pos").alias("tp"), count(hit, "neg").alias("fp"), count(~hit, "pos").alias("fn"), count(~hit, "neg").alias("tn")))
+    counted = g.groupBy(*by, "threshold").agg(count(hit, "pos").alias("tp"), count(hit, "neg").alias("fp"), count(~hit, "pos").alias("fn"), count(~hit, "neg").alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    more = {"flagged": tp + fp, "flagged_share": safe(tp + fp, tp + fp + fn + tn), "event_capture_rate": F.col("recall"), "false_negative_rate": safe(fn, tp + fn), "false_positive_rate": safe(fp, fp + tn)}
+    return _rates(counted).withColumns(more)
+
+
+def threshold_grid(df: DataFrame, lo: float, hi: float, step: float, *by: str) -> DataFrame:
+    """One row for each threshold in lo, lo + step, ... below hi: flagged rows and their share, confusion counts, rates, and rates of errors.
+
+    Rows are summed up by the number of thresholds that they reach; only these sums, one row for each, meet the grid.
+    """
+    grid = thresholds(lo, hi, step)
+    bins = df.groupBy(*by, reached(grid, step).alias("reached")).agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    return _of_grid(bins, grid, *by)
 
 
 def best_threshold(grid: DataFrame, metric: str = "f1") -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelrisk.operators import calibrate, metrics, ml
+from panelrisk.operators import calibrate, metrics, ml, suite
 from panelrisk.plans import jobs
-from panelrisk.queries.base import feature_table, orig, perf, query, scored_table
+from panelrisk.queries.base import feature_table, orig, perf, query, scored, scored_table
 from panelrisk.queries.metrics import _GROUPS, _POINT, _RANK, r6
 from panelrisk.sources.scratch import scratch_path, stored
 
@@ -107,14 +107,72 @@ def wn21_ks_by_vintage(spark, sf_dir):
     return r6(metrics.rank_metrics(scored_table(spark, sf_dir), "vintage").select("vintage", "ks"))
 
 
+_SPLIT = "CASE WHEN vintage <= 1995 THEN 'train' WHEN vintage = 1996 THEN 'test' ELSE 'oot' END"
+_EDGES = [0.0, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
+_SHARES = (0.01, 0.05, 0.1, 0.2)
+
+
+def _rows(table: str, source: str, row: str, **values: str) -> str:
+    """Long rows of a table of the suite."""
+    return f"SELECT '{table}' AS \"table\", split, {row}::DOUBLE AS \"row\", unnest({list(values)}) AS metric, unnest([{', '.join(f'({v})::DOUBLE' for v in values.values())}]) AS value FROM {source}"
+
+
+def _suite_sql(scores: str, threshold: float, grid: str) -> str:
+    """All tables of the suite but the curve, from scores (split, label, pd) by their definitions over rows."""
+    cells = "count(*) FILTER (WHERE pd >= {t} AND label = 1) AS tp, count(*) FILTER (WHERE pd >= {t} AND label = 0) AS fp, count(*) FILTER (WHERE pd < {t} AND label = 1) AS fn, count(*) FILTER (WHERE pd < {t} AND label = 0) AS tn"
+    safe = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0)"
+    rates = {"tp": "tp", "fp": "fp", "fn": "fn", "tn": "tn", "accuracy": safe("(tp + tn)", "(tp + fp + fn + tn)"), "precision": safe("tp", "(tp + fp)"), "recall": safe("tp", "(tp + fn)"), "f1": safe("2 * tp", "(2 * tp + fp + fn)"), "specificity": safe("tn", "(tn + fp)")}
+    errors = {"flagged": "tp + fp", "flagged_share": safe("(tp + fp)", "(tp + fp + fn + tn)"), "event_capture_rate": safe("tp", "(tp + fn)"), "false_negative_rate": safe("fn", "(tp + fn)"), "false_positive_rate": safe("fp", "(fp + tn)")}
+    bins = "CASE " + " ".join(f"WHEN pd <= {e} THEN {k}" for k, e in enumerate(_EDGES) if k) + " END"
+    p = "greatest(1e-15, least(1 - 1e-15, pd))"
+    point = {"observations": "count(*)", "actual_rate": "avg(label)", "mean_pd": "avg(pd)", "observed_expected": "sum(label) / sum(pd)", "log_loss": f"avg(-(label * ln({p}) + (1 - label) * ln(1 - {p})))", "brier": "avg((pd - label) ** 2)"}
+    whole = {"roc_auc": "sum(neg * (cp - pos + pos / 2)) / (max(p) * max(n))", "average_precision": "sum(pos * cp / (cp + cn)) / max(p)", "ks": "max(abs(cp / p - cn / n))"}
+    parts = ", ".join(str(k / 10) for k in range(11))
+    return f"""s AS ({scores}), g AS (SELECT split, pd, sum(label)::BIGINT AS pos, (count(*) - sum(label))::BIGINT AS neg FROM s GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, nullif(sum(pos) OVER (PARTITION BY split), 0) AS p, nullif(sum(neg) OVER (PARTITION BY split), 0) AS n FROM g WINDOW w AS (PARTITION BY split ORDER BY pd DESC ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT split, list_distinct(quantile_cont(pd, [{parts}])) AS edges, count(*) AS rows_all, sum(label) AS events_all FROM s GROUP BY split),
+d AS (SELECT s.*, rows_all, events_all, greatest(1, len(list_filter(edges, lambda x: x < pd))) AS decile FROM s JOIN e USING (split)),
+dd AS (SELECT split, decile, count(*) AS n, sum(label) AS events, avg(pd) AS mean_pd, max(rows_all) AS r, max(events_all) AS a FROM d GROUP BY ALL),
+de AS (SELECT *, sum(events) OVER (PARTITION BY split ORDER BY decile) AS up FROM dd),
+k AS (SELECT split, {bins} AS bin, count(*) AS n, avg(pd) AS mean_pd, avg(label) AS event_rate, abs(avg(label) - avg(pd)) AS gap FROM s GROUP BY ALL),
+f AS (SELECT unnest({list(_SHARES)})::DOUBLE AS share),
+t AS (SELECT c.split, share, ceil(round((p + n) * share, 9)) AS population, greatest(0, least(1, (ceil(round((p + n) * share, 9)) - (cp + cn - pos - neg)) / (pos + neg))) AS part, pos, neg, pd, p AS a, p + n AS r FROM c, f),
+u AS (SELECT split, share, population, sum(part * pos) AS captured, sum(part * (pos + neg) * pd) / sum(part * (pos + neg)) AS mean_pd, max(a) AS a, max(r) AS r FROM t GROUP BY ALL),
+o AS (SELECT split, {cells.format(t=threshold)} FROM s GROUP BY split), h AS (SELECT split, t AS threshold, {cells.format(t="t")} FROM s, ({grid}) GROUP BY ALL),
+""" + "m AS (" + " UNION ALL ".join([
+        _rows("rank", f"(SELECT split, {', '.join(f'{v} AS {c}' for c, v in whole.items())} FROM c GROUP BY split)", "NULL", **{c: c for c in whole}),
+        _rows("point", f"(SELECT split, {', '.join(f'{v} AS {c}' for c, v in point.items())} FROM s GROUP BY split)", "NULL", **{c: c for c in point}),
+        _rows("confusion", "o", "NULL", **rates), _rows("thresholds", "h", "threshold", **rates, **errors),
+        _rows("deciles", "de", "decile", n="n", events="events", mean_pd="mean_pd", event_rate="events / n", cum_event_share="up / a", lift="events / n / (a / r)"),
+        _rows("calibration", "k", "bin", n="n", mean_pd="mean_pd", event_rate="event_rate", gap="gap"),
+        _rows("calibration_errors", "(SELECT split, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM k GROUP BY split)", "NULL", ece="ece", mce="mce"),
+        _rows("top_shares", "u", "share", population="population", captured="captured", capture_rate="captured / a", precision="captured / population", mean_pd="mean_pd", lift="captured / population / (a / r)"),
+    ]) + ")"
+
+
+def _split(df):
+    return df.withColumn("split", F.when(F.col("vintage") <= 1995, "train").when(F.col("vintage") == 1996, "test").otherwise("oot"))
+
+
+@query("WITH " + _suite_sql(f"SELECT {_SPLIT} AS split, label, pd FROM sc", 0.1, "SELECT round(0.01 + 0.01 * i, 10)::DOUBLE AS t FROM range(29) x(i)") + ' SELECT "table", split, "row", metric, round(value, 6) + 0.0 AS value FROM m')
+def ev20_suite_by_split(spark, sf_dir):
+    """All tables of three splits, from one read of the scored rows."""
+    df = _split(scored(spark, sf_dir)).select("split", "label", "pd")
+    tables = suite.suite(df, "split", edges=_EDGES, grid=(0.01, 0.3, 0.01), threshold=0.1, shares=_SHARES)
+    return r6(suite.in_long_form({k: v for k, v in tables.items() if k != "curve"}, "split"))
+
+
 @query()
 def ev21_snk3_evaluation_job(spark, sf_dir):
-    """All tables of the evaluation job in long form, saved as JSON and read again."""
-    split = F.when(F.col("vintage") <= 1995, "train").when(F.col("vintage") == 1996, "test").otherwise("oot")
-    tables = jobs.evaluate(stored(scored_table(spark, sf_dir).withColumn("split", split), "splits"), [0.0, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0])
+    """The tables of the evaluation job, saved and read again: small ones in long form, and the points of both curves summed up."""
     path = scratch_path(spark, "evaluation")
-    jobs.save_tables({k: v for k, v in tables.items() if k != "curve"}, path)
-    return spark.read.schema("table string, row string, metric string, value double").json(path)
+    jobs.save_tables(jobs.evaluate(stored(_split(scored(spark, sf_dir)).select("split", "label", "pd"), "splits"), _EDGES), path)
+    small = spark.read.schema("table string, split string, row double, metric string, value double").json(f"{path}/tables")
+    for name in ("raw_curve", "calibrated_curve"):
+        curve = spark.read.parquet(f"{path}/{name}").groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("points"), F.max("gap").alias("largest_gap"))
+        long = curve.select(F.lit(name).alias("table"), "split", F.lit(None).cast("double").alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("points", "largest_gap")])).alias("m"))
+        small = small.unionByName(long.select("table", "split", "row", "m.metric", "m.value"))
+    return small
 
 
 def _input(spark, sf_dir):
@@ -171,13 +229,17 @@ def sc6_predictions(spark, sf_dir):
     return scored_table(spark, sf_dir).where("vintage > 1996").select(*KEY, "label", "pd", (F.col("pd") >= 0.2).cast("int").alias("predicted"))
 
 
-@query("SELECT vintage, count(*) AS n, count(*) FILTER (WHERE pd >= 0.1) AS flagged FROM sc GROUP BY vintage")
+@query("""SELECT vintage, period, count(*) AS n, count(*) FILTER (WHERE pd >= 0.1) AS flagged, max(r) AS last_rank, sum(r * (loan_id % 97))::BIGINT AS rank_sum
+FROM (SELECT *, CASE WHEN pd >= 0.1 THEN row_number() OVER (PARTITION BY period, pd >= 0.1 ORDER BY pd DESC, current_actual_upb DESC, loan_id) END AS r FROM sc) GROUP BY ALL""")
 def sc4_interventions_by_vintage(spark, sf_dir):
     from panelrisk.sources import files
 
     path = scratch_path(spark, "interventions")
     files.write_partitioned(jobs.intervene(scored_table(spark, sf_dir), 0.1), path)
-    return spark.read.parquet(path).groupBy("vintage").agg(F.count(F.lit(1)).alias("n"), F.sum("intervention_flag").cast("long").alias("flagged"))
+    rank = F.col("intervention_rank").cast("long")
+    return spark.read.parquet(path).groupBy("vintage", "period").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("intervention_flag").cast("long").alias("flagged"), F.max(rank).alias("last_rank"), F.sum(rank * (F.col("loan_id") % 97)).alias("rank_sum"),
+    )
 
 
 _VINTAGES = {"train": [1992, 1993, 1994, 1995], "test": [1996], "oot": [1997, 1998]}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions import scalar
 from panelrisk.operators import drift, metrics
+from panelrisk.plans import jobs
 from panelrisk.queries.base import feature_table, features, query, scored, scored_table
 
 EDGES = [0.0, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
@@ -79,7 +79,10 @@ def ev11_calibration_errors(spark, sf_dir):
 _GRID = f"SELECT t AS threshold, {_CELLS.format(t='t')} FROM sc, (SELECT round(0.01 + 0.01 * i, 10)::DOUBLE AS t FROM range(29) x(i)) GROUP BY t"
 
 
-@query(f"SELECT threshold, tp, fp, fn, tn, {_RATES} FROM ({_GRID})")
+_ERRORS = """tp + fp AS flagged, round((tp + fp) / (tp + fp + fn + tn), 6) AS flagged_share, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS event_capture_rate, round(coalesce(fn / nullif(tp + fn, 0), 0), 6) AS false_negative_rate, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS false_positive_rate"""
+
+
+@query(f"SELECT threshold, tp, fp, fn, tn, {_RATES}, {_ERRORS} FROM ({_GRID})")
 def ev18_threshold_grid(spark, sf_dir):
     return r6(metrics.threshold_grid(scored(spark, sf_dir), 0.01, 0.3, 0.01))
 
@@ -129,9 +132,7 @@ def sc2_flag(spark, sf_dir):
 
 @query("SELECT loan_id, observation_age, period, CASE WHEN pd >= 0.1 THEN row_number() OVER (PARTITION BY period ORDER BY (pd >= 0.1)::INT DESC, pd DESC, current_actual_upb DESC, loan_id) END::INT AS intervention_rank FROM sc")
 def sc3_wn19_rank(spark, sf_dir):
-    hit = (F.col("pd") >= 0.1).cast("int")
-    w = Window.partitionBy("period").orderBy(hit.desc(), F.col("pd").desc(), F.col("current_actual_upb").desc(), "loan_id")
-    return scored(spark, sf_dir).select("loan_id", "observation_age", "period", F.when(hit == 1, F.row_number().over(w)).alias("intervention_rank"))
+    return jobs.intervene(scored_table(spark, sf_dir), 0.1).select("loan_id", "observation_age", "period", "intervention_rank")
 
 
 @query("SELECT period, observation_age, count(*) AS loans, count(*) FILTER (WHERE pd >= 0.1) AS flagged, round(avg((pd >= 0.1)::INT), 6) AS flagged_share, round(coalesce(sum(current_actual_upb) FILTER (WHERE pd >= 0.1), 0), 2) AS flagged_upb FROM sc GROUP BY ALL")
