@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelrisk.operators import ordered
+
 
 def event_rates(df: DataFrame, label: str, key: str, *by: str) -> DataFrame:
     """Observations, distinct keys, events, rate and share of all observations, by any columns."""
@@ -18,22 +20,31 @@ def unpivoted(df: DataFrame, keys: list[str], columns: list[str], kind: str = "d
     return own.unpivot(keys, columns, name, value)
 
 
+def profiled(long: DataFrame, by: list[str], stats: list[Column], shares: dict[str, float], value: str = "value") -> DataFrame:
+    """by, stats over the rows of each group, and exact quantiles of value by name.
+
+    Quantiles run over ranges of the different values, so that no buffer holds those of a column. long is read twice. A group without values has nulls.
+    """
+    q = ordered.quantiles(long, value, list(shares.values()), *by)
+    named = q.select(*[F.col(k).alias(f"_{k}") for k in by], *[F.get("quantiles", F.lit(k)).alias(n) for k, n in enumerate(shares)])
+    own, same = long.groupBy(*by).agg(*stats, F.count(F.lit(1)).alias("_rows")).drop("_rows"), F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(named if by else F.broadcast(named), same, "left").drop(*[f"_{k}" for k in by])
+
+
 def numeric_profile(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
-    """Count, mean, deviation, extremes, exact quantiles and missing values of each column."""
+    """Count, mean, deviation, extremes, exact quantiles and missing values of each column; df is read twice."""
     v = F.col("value")
-    return unpivoted(df, [], columns).groupBy("feature").agg(
-        F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[F.percentile(v, F.lit(q)).alias(f"p{round(100 * q):02d}") for q in quantiles],
-    )
+    stats = [F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+    return profiled(unpivoted(df, [], columns), ["feature"], stats, {f"p{round(100 * q):02d}": q for q in quantiles})
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean, deviation, bias-adjusted skewness and quartiles."""
+    """Mean, deviation, bias-adjusted skewness and quartiles; df is read twice."""
     v, n = F.col("value"), F.count("value")
-    return unpivoted(df, [], columns).groupBy("feature").agg(
-        F.avg(v).alias("mean"), F.stddev(v).alias("std"), (F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
-        F.percentile(v, F.lit(0.25)).alias("p25"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.75)).alias("p75"),
-    )
+    stats = [F.avg(v).alias("mean"), F.stddev(v).alias("std"), (F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew")]
+    return profiled(unpivoted(df, [], columns), ["feature"], stats, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
 
 
 def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:

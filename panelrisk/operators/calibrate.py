@@ -7,10 +7,11 @@ import math
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelrisk.operators import isotonic
+
 EPS = 1e-6
 
 
@@ -39,9 +40,8 @@ def logistic_calibration(fit: DataFrame, df: DataFrame, method: str) -> DataFram
 
 
 def isotonic_calibration(fit: DataFrame, df: DataFrame) -> DataFrame:
-    """df with calibrated, by a monotone fit; constant beyond its range."""
-    model = IsotonicRegression(featuresCol="pd", labelCol="label", predictionCol="calibrated").fit(fit)
-    return model.transform(df)
+    """df with calibrated, by a monotone fit over ranges of scores; constant beyond its range."""
+    return isotonic.isotonic(fit, df)
 
 
 def intercept_calibration(fit: DataFrame, df: DataFrame) -> DataFrame:

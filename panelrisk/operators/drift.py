@@ -40,11 +40,12 @@ def categorical_psi(df: DataFrame, is_base: str, columns: list[str]) -> DataFram
 
 
 def standardized(df: DataFrame, period: str, segment: str, label: str, base: int) -> DataFrame:
-    """period, raw_rate, standard_rate, mix_effect: rates re-weighted by the segment mix of the base period."""
+    """period, raw_rate, standard_rate, mix_effect and its per cent of the raw rate: rates re-weighted by the segment mix of the base period."""
     rates = df.groupBy(period, segment).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("rate"))
     mix = rates.where(F.col(period) == base).select(segment, (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("weight"))
     out = rates.join(mix, segment, "left").groupBy(period).agg((F.sum(F.col("n") * F.col("rate")) / F.sum("n")).alias("raw_rate"), (F.sum(F.col("weight") * F.col("rate")) / F.sum("weight")).alias("standard_rate"))
-    return out.withColumn("mix_effect", F.col("raw_rate") - F.col("standard_rate"))
+    effect = F.col("raw_rate") - F.col("standard_rate")
+    return out.withColumns({"mix_effect": effect, "mix_effect_pct": 100 * effect / F.nullif("raw_rate", F.lit(0.0))})
 
 
 def average_ranks(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

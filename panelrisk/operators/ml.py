@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -11,6 +13,10 @@ from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, Has
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from panelrisk.operators.interactions import Interactions, InteractionsModel
+from panelrisk.sources.scratch import scratch_path
 
 
 def basis(x: Column, knots: list[float], degree: int = 3) -> Column:
@@ -48,6 +54,7 @@ class SplineModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
 
     knots = Param(Params._dummy(), "knots", "knots by column", TypeConverters.identity)
     degree = Param(Params._dummy(), "degree", "degree", TypeConverters.toInt)
+    reasons = Param(Params._dummy(), "reasons", "why a column stays linear, by column", TypeConverters.identity)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         knots, degree = self.getOrDefault(self.knots), self.getOrDefault(self.degree)
@@ -70,8 +77,17 @@ class Splines(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
         n = self.getOrDefault(self.numKnots)
         at = [k / (n - 1) for k in range(n)]
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, 10_000).alias(c) for c in self.getInputCols()]).first()
-        model = SplineModel()
-        model._set(knots={c: sorted({float(x) for x in row[c] or []}) for c in self.getInputCols()}, degree=self.getOrDefault(self.degree), inputCols=self.getInputCols())
+        model, knots, reasons = SplineModel(), {}, {}
+        for c in self.getInputCols():
+            found = sorted({float(x) for x in row[c] or []})
+            if not found:
+                reasons[c] = "no training row has a value"
+            elif not all(map(math.isfinite, found)):
+                found, reasons[c] = [], "quantiles are not finite"
+            elif len(found) < 3:
+                reasons[c] = "fewer than three different quantiles"
+            knots[c] = found
+        model._set(knots=knots, reasons=reasons, degree=self.getOrDefault(self.degree), inputCols=self.getInputCols())
         return model
 
 
@@ -139,31 +155,43 @@ def linear_pipeline(numeric: list[str], categories: list[str], label: str = "lab
     return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), LogisticRegression(labelCol=label, regParam=ridge)])
 
 
-def forest_pipeline(numeric: list[str], categories: list[str], label: str = "label", trees: int = 20, seed: int = 1) -> Pipeline:
+def checkpointed(spark) -> None:
+    """Trees cut their lineage every `every` rounds below spark.checkpoint.dir, so that hundreds of them do not carry one; a folder that is set stays."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "trees"))
+
+
+def forest_pipeline(numeric: list[str], categories: list[str], label: str = "label", trees: int = 20, depth: int = 5, seed: int = 1, every: int = 10) -> Pipeline:
+    """A random forest; node ids are kept by row and checkpointed every `every` rounds (see checkpointed)."""
     parts = [f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categories]
-    return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=5, seed=seed)])
+    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=every)
+    return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), forest])
 
 
-def boosted_pipeline(numeric: list[str], categories: list[str], label: str = "label", validation: str | None = None, rounds: int = 10, seed: int = 1) -> Pipeline:
-    """Boosted trees; with a boolean validation column, they stop when those rows no longer gain."""
+def boosted_pipeline(numeric: list[str], categories: list[str], label: str = "label", validation: str | None = None, rounds: int = 10, depth: int = 4, step: float = 0.1, tolerance: float = 0.01, seed: int = 1, every: int = 10) -> Pipeline:
+    """Boosted trees; with a boolean validation column, they stop when those rows gain less than the tolerance. Checkpointed every `every` rounds."""
     parts = [f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categories]
-    trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=4, seed=seed, **({"validationIndicatorCol": validation} if validation else {}))
+    trees = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, validationTol=tolerance, seed=seed, cacheNodeIds=True, checkpointInterval=every, **({"validationIndicatorCol": validation} if validation else {}))
     return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), trees])
 
 
-def gam_pipeline(numeric: list[str], categories: list[str], pairs: list[tuple[str, str]] = (), group: str | None = None, group_scale: float = 0.5, label: str = "label", ridge: float = 0.01, weight: str | None = None) -> Pipeline:
-    """Splines of numeric columns, products of pairs (numeric or category), and for a group its own intercepts and splines.
+def gam_pipeline(numeric: list[str], categories: list[str], pairs: list[tuple[str, str]] = (), group: str | None = None, group_scale: float = 0.5, label: str = "label", ridge: float = 0.01, weight: str | None = None, linear: list[str] = ()) -> Pipeline:
+    """Splines of numeric columns but those of `linear`, products of pairs (numeric or category), and for a group its own intercepts and splines.
 
+    Numeric factors of products, bases or linear, are centred on their training means; a product of two categories is refused.
     Group columns are scaled and the fit does not standardize, so that a smaller group_scale shrinks group effects.
     """
-    stages = [*_inputs(numeric, categories), Splines(inputCols=[f"{c}_filled" for c in numeric])]
-    name = lambda c: f"{c}_filled_basis" if c in numeric else f"{c}_hot"
+    curved = [c for c in numeric if c not in linear]
+    stages = [*_inputs(numeric, categories), *([Splines(inputCols=[f"{c}_filled" for c in curved])] if curved else [])]
+    name = lambda c: f"{c}_filled_basis" if c in curved else f"{c}_filled" if c in numeric else f"{c}_hot"
     parts = [name(c) for c in [*numeric, *categories] if c != group]
     for a, b in pairs:
         if a in categories and b in categories:
             raise ValueError(f"{a} x {b}: two categories are not crossed")
-        stages.append(Crossed(inputCols=[name(a), name(b)], outputCol=f"{a}_x_{b}"))
-        parts.append(f"{a}_x_{b}")
+    if pairs:
+        crossed = [f"{a}_x_{b}" for a, b in pairs]
+        stages.append(Interactions(pairs=[[name(a), name(b)] for a, b in pairs], outputCols=crossed, plain=[name(c) for c in categories]))
+        parts += crossed
     if group:
         stages.append(Scaled(inputCol=f"{group}_hot", outputCol=f"{group}_own", scale=group_scale))
         parts.append(f"{group}_own")
@@ -183,11 +211,17 @@ def train(pipeline: Pipeline, df: DataFrame, label: str = "label") -> PipelineMo
     n, nulls, classes = df.agg(F.count(F.lit(1)), F.count_if(F.col(label).isNull()), F.count_distinct(label)).first()
     if not n or nulls or classes < 2:
         raise ValueError(f"cannot train on {n} rows with {nulls} null labels and {classes} classes")
+    checkpointed(df.sparkSession)
     return pipeline.fit(df)
 
 
+def horizon_name(months: int) -> str:
+    """The name of a probability of default within so many months."""
+    return f"pd_{months}m"
+
+
 def score(model: PipelineModel, df: DataFrame, name: str = "pd") -> DataFrame:
-    """df with the probability of label 1; all other columns stay in their rows."""
+    """df with the probability of label 1 (see horizon_name); all other columns stay in their rows."""
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
@@ -204,17 +238,37 @@ def permuted(df: DataFrame, key: list[str], column: str, seed: int = 1) -> DataF
     return df.withColumn(column, F.coalesce(F.lead(column).over(w), F.first(column).over(w)))
 
 
-def raw_names(model: PipelineModel, df: DataFrame) -> list[str]:
-    """For each entry of the assembled features, the column of df that it comes from; of products, both, joined by x."""
-    attrs = model.transform(df.limit(0)).schema["features"].metadata["ml_attr"]
-    entries = sorted((a["idx"], a["name"]) for group in attrs["attrs"].values() for a in group)
-    columns = sorted(df.columns, key=len, reverse=True)
+def origins(model: PipelineModel) -> dict[str, str]:
+    """For each column that a stage of the pipeline makes, the input columns that it comes from, joined by x for products."""
+    of: dict[str, str] = {}
+    own = lambda c: of.get(c, c)
+    for s in model.stages:
+        if isinstance(s, SplineModel):
+            of |= {f"{c}_basis": own(c) for c in s.getInputCols()}
+        elif isinstance(s, InteractionsModel):
+            of |= {name: " x ".join(map(own, pair)) for pair, name in zip(s.getOrDefault(s.pairs), s.getOutputCols(), strict=True)}
+        elif isinstance(s, Crossed):
+            of[s.getOutputCol()] = " x ".join(map(own, s.getInputCols()))
+        elif isinstance(s, Scaled):
+            of[s.getOutputCol()] = own(s.getInputCol())
+        elif s.hasParam("outputCols") and s.hasParam("inputCols") and not isinstance(s, VectorAssembler):
+            if s.isSet("outputCols"):
+                of |= {b: own(a) for a, b in zip(s.getInputCols(), s.getOutputCols(), strict=True)}
+    return of
 
-    def raw(name: str) -> str:
-        parts = name.split("_x_") if "_x_" in name else [name]
-        return " x ".join(next((c for c in columns if part.startswith(c)), part) for part in parts)
 
-    return [raw(name) for _, name in entries]
+def raw_names(model: PipelineModel, df: DataFrame) -> list[str]:
+    """For each entry of the assembled features, the column of df that it comes from; of products, both, joined by x.
+
+    Names come from the stages' own columns, and sizes from one row of nulls that passes through the pipeline.
+    """
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    before = PipelineModel(model.stages[: model.stages.index(assembler)])
+    row = before.transform(df.sparkSession.createDataFrame([tuple(None for _ in df.columns)], StructType([StructField(f.name, f.dataType) for f in df.schema.fields])))
+    vectors = {f.name for f in row.schema.fields if f.dataType.typeName() == "vectorudt" or f.dataType.simpleString() == "vector"}
+    sizes = row.select(*[(F.size(vector_to_array(c)) if c in vectors else F.lit(1)).alias(f"n{k}") for k, c in enumerate(assembler.getInputCols())]).first()
+    of = origins(model)
+    return [of.get(c, c) for c, n in zip(assembler.getInputCols(), sizes, strict=True) for _ in range(n)]
 
 
 def feature_group(feature: Column) -> Column:
@@ -239,21 +293,44 @@ def tree_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     return _by_feature(df, raw_names(model, df), model.stages[-1].featureImportances.toArray().tolist(), "importance")
 
 
-def contributions(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """feature, feature_group, mean_abs, position, share, cum_share of the exact linear contributions coefficient * (x - mean x).
+def contribution_rows(x: Column, df: DataFrame, key: list[str], names: list[str], weights: list[float]) -> DataFrame:
+    """key, feature, contribution: weight * (entry - mean entry) of the array x, entries of one feature added up; a row for each key and feature.
 
-    Two passes over the vectors with one summary each; mean_abs of a feature adds up those of its entries.
+    names: the feature of each entry. The means are those of df, which is read for them and again for the rows; nothing is shuffled but the means.
     """
-    from pyspark.ml.functions import array_to_vector as vector
     from pyspark.ml.stat import Summarizer
 
-    x = vector_to_array("features")
-    rows = model.transform(df).select("features")
-    means = rows.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
-    m = F.array(*[F.lit(float(v)) for v in means])
-    off = rows.select(vector(F.zip_with(x, m, lambda a, b: F.abs(a - b))).alias("v"))
-    gaps = off.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
-    return _by_feature(df, raw_names(model, df), (abs(model.stages[-1].coefficients.toArray()) * gaps).tolist(), "mean_abs")
+    m = df.select(Summarizer.mean(array_to_vector(x)).alias("m")).first()["m"]
+    means = F.array(*[F.lit(float(v)) for v in (m if m is not None else [0.0] * len(names))])
+    parts = F.transform(F.arrays_zip(x.alias("x"), means.alias("m"), F.array(*[F.lit(float(w)) for w in weights]).alias("w")), lambda t: (t["x"] - t["m"]) * t["w"])
+    places = {f: [k for k, n in enumerate(names) if n == f] for f in dict.fromkeys(names)}
+    own = df.select(*key, parts.alias("_c"))
+    add = lambda at: F.aggregate(F.transform(F.array(*map(F.lit, at)), lambda k: F.get("_c", k)), F.lit(0.0), lambda a, v: a + v)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), add(at).alias("contribution")) for f, at in places.items()]))
+    return own.select(*key, each.alias("_e")).select(*key, "_e.feature", "_e.contribution")
+
+
+def model_contributions(model: PipelineModel, df: DataFrame, key: list[str]) -> DataFrame:
+    """contribution_rows of a fitted linear pipeline, by the columns of df that its entries come from."""
+    rows = model.transform(df)
+    return contribution_rows(vector_to_array("features"), rows, key, raw_names(model, df), model.stages[-1].coefficients.toArray().tolist())
+
+
+def contribution_summary(rows: DataFrame) -> DataFrame:
+    """feature, feature_group, mean_abs, mean (signed), position, share, cum_share of contribution rows."""
+    from pyspark.sql import Window
+
+    sums = rows.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"))
+    whole = Window.partitionBy(F.lit(1))  # one row a feature
+    order = whole.orderBy(F.col("mean_abs").desc(), "feature")
+    all_ = F.nullif(F.sum("mean_abs").over(whole), F.lit(0.0))
+    down = order.rowsBetween(Window.unboundedPreceding, 0)
+    return sums.select("feature", feature_group(F.col("feature")).alias("feature_group"), "mean_abs", "mean", F.row_number().over(order).alias("position"), (F.col("mean_abs") / all_).alias("share"), (F.sum("mean_abs").over(down) / all_).alias("cum_share"))
+
+
+def contributions(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """contribution_summary of the exact linear contributions coefficient * (x - mean x), by the columns of df."""
+    return contribution_summary(model_contributions(model, df, []))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: list[str], columns: list[str], repeats: int = 5, seed: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelrisk.operators import calibrate, metrics, ml, suite
+from panelrisk.operators import calibrate, metrics, ml, registry, suite
 from panelrisk.plans import jobs
 from panelrisk.queries.base import feature_table, orig, perf, query, scored, scored_table
 from panelrisk.queries.metrics import _GROUPS, _POINT, _RANK, r6
@@ -198,6 +198,29 @@ def im3_ablation(spark, sf_dir):
     return ml.ablation(ml.linear_pipeline, NUM, CAT, {"score": ["credit_score"], "delinquency": ["delinquency_months_12m"], "categories": CAT}, fit, test)
 
 
+_BETA = {"credit_score": -0.004, "original_ltv": 0.02, "delinquency_months_12m": 0.3}
+_DIFF = " UNION ALL ".join(f"SELECT loan_id, observation_age, '{c}' AS feature, {b} * (coalesce({c}, 0) - (SELECT avg(coalesce({c}, 0)) FROM mi)) + {b / 2} * (({c} IS NULL)::INT - (SELECT avg(({c} IS NULL)::INT) FROM mi)) AS contribution FROM mi" for c, b in _BETA.items())
+
+
+def _given(spark, sf_dir):
+    """Contributions under given coefficients: each feature is two entries, its value and whether it is missing."""
+    df = feature_table(spark, sf_dir, *KEY, *_BETA)
+    x = F.array(*[F.coalesce(F.col(c), F.lit(0)).cast("double") for c in _BETA], *[F.col(c).isNull().cast("double") for c in _BETA])
+    return ml.contribution_rows(x, df, KEY, [*_BETA, *_BETA], [*_BETA.values(), *[b / 2 for b in _BETA.values()]])
+
+
+@query(f"SELECT loan_id, observation_age, feature, round(contribution, 6) + 0.0 AS contribution FROM ({_DIFF})")
+def im4_contribution_rows(spark, sf_dir):
+    return r6(_given(spark, sf_dir))
+
+
+@query(f"""WITH c AS ({_DIFF}), s AS (SELECT feature, avg(abs(contribution)) AS a, avg(contribution) AS m FROM c GROUP BY feature)
+SELECT feature, CASE WHEN feature LIKE '%delinq%' THEN 'delinquency' ELSE 'origination' END AS feature_group, round(a, 6) AS mean_abs, round(m, 6) + 0.0 AS mean, row_number() OVER (ORDER BY a DESC, feature)::INT AS position,
+round(a / sum(a) OVER (), 6) AS share, round(sum(a) OVER (ORDER BY a DESC, feature) / sum(a) OVER (), 6) AS cum_share FROM s""")
+def im4_contribution_summary(spark, sf_dir):
+    return r6(ml.contribution_summary(_given(spark, sf_dir)))
+
+
 @query()
 def im4_contributions(spark, sf_dir):
     df, fit, _ = _input(spark, sf_dir)
@@ -245,20 +268,46 @@ def sc4_interventions_by_vintage(spark, sf_dir):
 _VINTAGES = {"train": [1992, 1993, 1994, 1995], "test": [1996], "oot": [1997, 1998]}
 
 
-@query("""SELECT CASE WHEN vintage <= 1995 THEN 'train' WHEN vintage = 1996 THEN 'test' ELSE 'oot' END AS split, count(*) AS n, sum(future_90dpd)::BIGINT AS events, count(*) AS scored
+@query("""SELECT CASE WHEN vintage <= 1995 THEN 'train' WHEN vintage = 1996 THEN 'test' ELSE 'oot' END AS split, count(*) AS n, sum(future_90dpd)::BIGINT AS events, count(*) AS scored, count(*) AS equal_scores
 FROM mi WHERE vintage BETWEEN 1992 AND 1998 GROUP BY 1""")
 def ml9_ml18_ml20_training_job(spark, sf_dir):
-    """The input is built and written, a model fitted on its train vintages and saved, then loaded to score every split."""
+    """The input is built and written, a model fitted on its train vintages and saved, then loaded to score every split as the fitted one does."""
     from panelrisk.operators import splits
 
     source, target = scratch_path(spark, "model-input"), scratch_path(spark, "model")
     jobs.build_model_input(perf(spark, sf_dir), orig(spark, sf_dir), source)
-    jobs.train(spark, source, target, ml.linear_pipeline(NUM, CAT), _VINTAGES)
+    fitted = jobs.train(spark, source, target, ml.linear_pipeline(NUM, CAT), _VINTAGES)
     df = splits.yearly(spark.read.parquet(source), **_VINTAGES)
     model, columns = ml.load_model(target, df)
-    rows = ml.score(model, df.select("split", "future_90dpd", *columns))
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("future_90dpd").cast("long").alias("events"), F.count_if(F.col("pd").between(0, 1)).alias("scored"))
-
+    rows = ml.score(fitted, ml.score(model, df.select("split", "future_90dpd", *columns)), "own")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("future_90dpd").cast("long").alias("events"), F.count_if(F.col("pd").between(0, 1)).alias("scored"), F.count_if(F.col("pd") == F.col("own")).alias("equal_scores"))
+
+
+@query("""SELECT v AS version, (SELECT count(*) FROM mi WHERE vintage <= y) AS train_rows, (SELECT sum(future_90dpd)::BIGINT FROM mi WHERE vintage <= y) AS train_events, count(*) AS scored, count(*) AS equal_scores FROM mi, (VALUES ('a', 1995), ('b', 1996)) t(v, y) GROUP BY v, y""")
+def ml18_two_versions(spark, sf_dir):
+    """Two versions are saved with their training populations, one more is cut off before its manifest; each complete one scores as it did when it was fitted."""
+    df, root, out = _input(spark, sf_dir)[0], scratch_path(spark, "models"), None
+    for version, last in (("a", 1995), ("b", 1996)):
+        fit = df.where(F.col("vintage") <= last)
+        fitted = ml.train(ml.linear_pipeline(NUM, CAT), fit)
+        registry.save_version(fitted, root, version, {"train": registry.population(fit)}, {"pipeline": "linear", "last": last})
+        fitted.write().overwrite().save(f"{root}/{version}-cut/model")
+        model, manifest = registry.load_version(spark, root, version, df.columns)
+        rows = ml.score(fitted, ml.score(model, df), "own").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("pd") == F.col("own")).alias("equal_scores"))
+        row = rows.select(F.lit(version).alias("version"), F.lit(int(manifest["metadata"]["train"]["rows"])).cast("long").alias("train_rows"), F.lit(int(manifest["metadata"]["train"]["events"])).cast("long").alias("train_events"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out.where(F.col("version").isin([r["version"] for r in registry.versions(spark, root).collect()]))
+
+
+@query("SELECT unnest(['credit_score', 'original_ltv', 'property_state', 'original_ltv x property_state', 'credit_score x original_ltv']) AS feature, unnest([1, 3, (SELECT count(DISTINCT coalesce(property_state, 'Unknown')) + 1 FROM mi WHERE vintage <= 1996), 3 * (SELECT count(DISTINCT coalesce(property_state, 'Unknown')) + 1 FROM mi WHERE vintage <= 1996), 3]) AS entries")
+def prj22_raw_names(spark, sf_dir):
+    """The entries of a GAM's features by the raw columns that they come from, with names that hold others and the mark of a product."""
+    df = feature_table(spark, sf_dir, "vintage", "credit_score", "original_ltv", "property_state", F.lit(1.0).alias("original_ltv_x_property"), F.col("future_90dpd").cast("double").alias("label"))
+    pipeline = ml.gam_pipeline(["credit_score", "original_ltv"], ["property_state"], pairs=[("original_ltv", "property_state"), ("credit_score", "original_ltv")], linear=["credit_score"])
+    stages = [s if not isinstance(s, ml.Splines) else ml.Splines(inputCols=["original_ltv_filled"], numKnots=3, degree=1) for s in pipeline.getStages()[:-1]]
+    model = ml.Pipeline(stages=stages).fit(df.where("vintage <= 1996"))
+    names = ml.raw_names(model, df)
+    return spark.createDataFrame([(f, names.count(f)) for f in dict.fromkeys(names)], "feature string, entries long")
 
 @query("SELECT loan_id, observation_age, mi.vintage, credit_score, pd FROM mi LEFT JOIN (SELECT loan_id, observation_age, pd FROM sc WHERE sc.vintage > 1994) USING (loan_id, observation_age)")
 def jn7_scores_joined_back(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelrisk.functions import scalar
-from panelrisk.operators import drift, metrics
+from panelrisk.operators import drift, metrics, ordered
 from panelrisk.plans import jobs
 from panelrisk.queries.base import feature_table, features, query, scored, scored_table
 
@@ -108,7 +108,8 @@ def wn20_risk_tiles(spark, sf_dir):
 
 @query("SELECT vintage, " + ", ".join(f"round(quantile_cont(pd, {q}), 6) AS p{round(100 * q)}" for q in (0.1, 0.5, 0.9, 0.99)) + " FROM sc GROUP BY vintage")
 def ev25_pd_distribution(spark, sf_dir):
-    return r6(scored(spark, sf_dir).groupBy("vintage").agg(*[F.percentile("pd", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9, 0.99)]))
+    q = ordered.quantiles(scored(spark, sf_dir), "pd", [0.1, 0.5, 0.9, 0.99], "vintage")
+    return r6(q.select("vintage", *[F.get("quantiles", F.lit(k)).alias(f"p{p}") for k, p in enumerate((10, 50, 90, 99))]))
 
 
 @query("SELECT loan_id, observation_age, round(ln(p), 6) + 0.0 AS ln_p, round(ln(1 - p), 6) + 0.0 AS ln_q, round(ln(p / (1 - p)), 6) + 0.0 AS logit FROM (SELECT *, least(greatest(pd, 1e-6), 1 - 1e-6) AS p FROM sc)")
@@ -178,7 +179,7 @@ def dr3_wilson(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT vintage, property_state, count(*) AS n, avg(future_90dpd) AS rate FROM mi GROUP BY ALL), b AS (SELECT property_state, n / sum(n) OVER () AS weight FROM r WHERE vintage = 1995)
-SELECT vintage, round(raw, 6) + 0.0 AS raw_rate, round(std, 6) + 0.0 AS standard_rate, round(raw - std, 6) + 0.0 AS mix_effect FROM (SELECT vintage, sum(n * rate) / sum(n) AS raw, sum(weight * rate) / sum(weight) AS std FROM r LEFT JOIN b USING (property_state) GROUP BY vintage)""")
+SELECT vintage, round(raw, 6) + 0.0 AS raw_rate, round(std, 6) + 0.0 AS standard_rate, round(raw - std, 6) + 0.0 AS mix_effect, round(100 * (raw - std) / nullif(raw, 0), 6) + 0.0 AS mix_effect_pct FROM (SELECT vintage, sum(n * rate) / sum(n) AS raw, sum(weight * rate) / sum(weight) AS std FROM r LEFT JOIN b USING (property_state) GROUP BY vintage)""")
 def dr4_standardized(spark, sf_dir):
     return r6(drift.standardized(features(spark, sf_dir), "vintage", "property_state", "future_90dpd", 1995))
 

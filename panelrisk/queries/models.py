@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from panelrisk.operators import calibrate, metrics, ml
+from panelrisk.operators import calibrate, isotonic, metrics, ml, pit
+from panelrisk.operators.interactions import Interactions
 from panelrisk.queries.base import features, query, scored
+from panelrisk.sources.scratch import stored
 
 NUM, CAT = ["credit_score", "original_ltv", "delinquency_months_12m", "current_actual_upb"], ["occupancy_status", "property_state"]
 
@@ -27,7 +29,10 @@ def _scores(spark, sf_dir, pipeline):
 
 @query()
 def ml6_sc1_logistic(spark, sf_dir):
-    return _scores(spark, sf_dir, ml.linear_pipeline(NUM, CAT))
+    """Probabilities named by their horizon."""
+    df, model = _fit(spark, sf_dir, ml.linear_pipeline(NUM, CAT))
+    name = ml.horizon_name(pit.HORIZON)
+    return ml.score(model, df, name).select("loan_id", "observation_age", "label", name)
 
 
 @query()
@@ -82,15 +87,16 @@ def ml2_ml3_category_slots(spark, sf_dir):
     return df.select("loan_id", "observation_age", F.col("property_state_index").alias("state_index"), F.array_position(hot, 1.0).alias("hot_slot"), F.size(hot).cast("long").alias("slots"))
 
 
-@query(f"""WITH q AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q), v AS (SELECT 'original_ltv' AS feature, original_ltv::DOUBLE AS x FROM ({_TRAIN}) UNION ALL SELECT 'delinquency_months_12m', delinquency_months_12m::DOUBLE FROM ({_TRAIN})),
+@query(f"""WITH q AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q), v AS (SELECT 'original_ltv' AS feature, original_ltv::DOUBLE AS x FROM ({_TRAIN}) UNION ALL SELECT 'delinquency_months_12m', delinquency_months_12m::DOUBLE FROM ({_TRAIN}) UNION ALL SELECT 'max_dpd_3m', max_dpd_3m::DOUBLE FROM ({_TRAIN})),
 r AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS r, count(*) OVER (PARTITION BY feature) AS n FROM v WHERE x IS NOT NULL),
 k AS (SELECT DISTINCT feature, x AS knot FROM r, q WHERE r = greatest(1, ceil(round(q * n, 6))))
-SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY knot) - 1 AS k, knot, CASE WHEN count(*) OVER (PARTITION BY feature) > 2 THEN 'spline' ELSE 'linear' END AS kind FROM k""")
+SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY knot) - 1 AS k, knot, CASE WHEN count(*) OVER (PARTITION BY feature) > 2 THEN 'spline' ELSE 'linear' END AS kind, CASE WHEN count(*) OVER (PARTITION BY feature) <= 2 THEN 'fewer than three different quantiles' END AS reason FROM k""")
 def ml10_spline_knots(spark, sf_dir):
-    model = ml.Splines(inputCols=["original_ltv", "delinquency_months_12m"]).fit(features(spark, sf_dir).where("vintage <= 1996"))
+    model = ml.Splines(inputCols=["original_ltv", "delinquency_months_12m", "max_dpd_3m"]).fit(features(spark, sf_dir).where("vintage <= 1996"))
     knots = model.getOrDefault(model.knots)
-    rows = [(c, k, x, "spline" if len(own) > 2 else "linear") for c, own in knots.items() for k, x in enumerate(own)]
-    return spark.createDataFrame(rows, "feature string, k long, knot double, kind string")
+    reasons = model.getOrDefault(model.reasons)
+    rows = [(c, k, x, "linear" if c in reasons else "spline", reasons.get(c)) for c, own in knots.items() for k, x in enumerate(own)]
+    return spark.createDataFrame(rows, "feature string, k long, knot double, kind string, reason string")
 
 
 @query(f"""WITH {_LEVELS}, x AS (SELECT loan_id, observation_age, coalesce(k, n) AS slot, n + 1 AS slots, greatest(50.0, least(104.0, original_ltv)) AS v FROM mi CROSS JOIN nl LEFT JOIN lv ON level = coalesce(property_state, 'Unknown') WHERE original_ltv IS NOT NULL)
@@ -104,14 +110,58 @@ def ml12_spline_by_category(spark, sf_dir):
     return crossed.select("loan_id", "observation_age", F.size(v).cast("long").alias("width"), F.round(placed, 5).alias("moment"))
 
 
+_BASES = """x AS (SELECT loan_id, observation_age, vintage, original_ltv::DOUBLE AS l, delinquency_months_12m::DOUBLE AS d, coalesce(property_state, 'Unknown') AS level, greatest(50.0, least(104.0, original_ltv)) AS v, greatest(0.0, least(12.0, delinquency_months_12m)) AS u FROM mi),
+f AS (SELECT loan_id, observation_age, vintage, l, d, level, [CASE WHEN v < 75 THEN (75 - v) / 25 ELSE 0 END, CASE WHEN v < 75 THEN (v - 50) / 25 ELSE (104 - v) / 29 END, CASE WHEN v < 75 THEN 0 ELSE (v - 75) / 29 END]::DOUBLE[] AS b,
+  [CASE WHEN u < 2 THEN (2 - u) / 2 ELSE 0 END, CASE WHEN u < 2 THEN u / 2 ELSE (12 - u) / 10 END, CASE WHEN u < 2 THEN 0 ELSE (u - 2) / 10 END]::DOUBLE[] AS t FROM x),
+m AS (SELECT avg(l) AS l, avg(d) AS d, [avg(b[1]), avg(b[2]), avg(b[3])] AS b, [avg(t[1]), avg(t[2]), avg(t[3])] AS t FROM f WHERE vintage <= 1996),
+c AS (SELECT loan_id, observation_age, level, f.l - m.l AS l, f.d - m.d AS d, [f.b[1] - m.b[1], f.b[2] - m.b[2], f.b[3] - m.b[3]] AS b, [f.t[1] - m.t[1], f.t[2] - m.t[2], f.t[3] - m.t[3]] AS t FROM f, m)"""
+
+
+@query(f"""WITH {_LEVELS}, {_BASES}
+SELECT loan_id, observation_age, round(l * d, 5) + 0.0 AS linear_linear, round(d * (b[1] + 2 * b[2] + 3 * b[3]), 5) + 0.0 AS spline_linear,
+round(b[1] * (t[1] + 2 * t[2] + 3 * t[3]) + b[2] * (4 * t[1] + 5 * t[2] + 6 * t[3]) + b[3] * (7 * t[1] + 8 * t[2] + 9 * t[3]), 5) + 0.0 AS spline_spline, round(l * (coalesce(k, n) + 1), 5) + 0.0 AS linear_category,
+[1, 3, 9, n + 1]::BIGINT[]::VARCHAR AS widths FROM c CROSS JOIN nl LEFT JOIN lv USING (level)""")
+def ml12_centred_interactions(spark, sf_dir):
+    """Products of centred factors of each kind, as the sum of each times its place; all vintages are scored with the means of the training ones."""
+    df = stored(features(spark, sf_dir).select("loan_id", "observation_age", "vintage", "original_ltv", "delinquency_months_12m", "property_state"), "interactions")
+    fit = df.where("vintage <= 1996")
+    shown = lambda d: ml.preprocessor(["original_ltv", "delinquency_months_12m"], ["property_state"]).fit(fit).transform(d).withColumns({
+        "ltv_basis": array_to_vector(ml.basis(F.col("original_ltv"), [50.0, 75.0, 104.0], degree=1)), "dq_basis": array_to_vector(ml.basis(F.col("delinquency_months_12m"), [0.0, 2.0, 12.0], degree=1)),
+    })
+    pairs = {"linear_linear": ("original_ltv_filled", "delinquency_months_12m_filled"), "spline_linear": ("ltv_basis", "delinquency_months_12m_filled"), "spline_spline": ("ltv_basis", "dq_basis"), "linear_category": ("original_ltv_filled", "property_state_hot")}
+    model = Interactions(pairs=[list(p) for p in pairs.values()], outputCols=list(pairs), plain=["property_state_hot"]).fit(shown(fit))
+    out = model.transform(shown(df))
+    moment = lambda c: F.round(F.aggregate(F.transform(vector_to_array(c), lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x), 5) + 0.0
+    widths = F.concat(F.lit("["), F.concat_ws(", ", *[F.size(vector_to_array(c)).cast("string") for c in pairs]), F.lit("]"))
+    return out.select("loan_id", "observation_age", *[moment(c).alias(c) for c in pairs], widths.alias("widths"))
+
+
 def _calibrated(df):
     return metrics.point_metrics(df.withColumn("pd", F.col("calibrated")))
 
 
-@query()
+#: Isotonic values by the min-max formula: of all runs of scores around a score, the greatest over starts of the least mean over ends.
+_ISOTONIC = """WITH g AS (SELECT pd, count(*) AS n, sum(label) AS s FROM sc WHERE vintage <= 1996 GROUP BY pd),
+k AS (SELECT pd, n, s, row_number() OVER (ORDER BY pd) AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM g WINDOW w AS (ORDER BY pd ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM k a JOIN k b ON b.i >= a.i),
+l AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM a), y AS (SELECT k.pd, max(least) AS y FROM l JOIN k ON k.i = l.b GROUP BY k.pd),
+o AS (SELECT loan_id, observation_age, label, sc.pd, p.pd AS x0, p.y AS y0, q.pd AS x1, q.y AS y1 FROM sc ASOF LEFT JOIN y p ON sc.pd >= p.pd ASOF LEFT JOIN y q ON sc.pd <= q.pd),
+i AS (SELECT loan_id, observation_age, label, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (pd - x0) / (x1 - x0) * (y1 - y0) END AS pd FROM o)"""
+_POINT_OF_I = """count(*) AS observations, round(avg(label), 6) + 0.0 AS actual_rate, round(avg(pd), 6) + 0.0 AS mean_pd, round(sum(label) / sum(pd), 6) + 0.0 AS observed_expected,
+round(avg(-(label * ln(greatest(1e-15, least(1 - 1e-15, pd))) + (1 - label) * ln(1 - greatest(1e-15, least(1 - 1e-15, pd))))), 6) + 0.0 AS log_loss, round(avg((pd - label) ** 2), 6) + 0.0 AS brier"""
+
+
+@query(_ISOTONIC + " SELECT loan_id, observation_age, round(pd, 6) + 0.0 AS calibrated FROM i")
+def ev12_isotonic_rows(spark, sf_dir):
+    df = stored(scored(spark, sf_dir), "scored")
+    return isotonic.isotonic(df.where("vintage <= 1996"), df).select("loan_id", "observation_age", (F.round("calibrated", 6) + 0.0).alias("calibrated"))
+
+
+@query(_ISOTONIC + f" SELECT {_POINT_OF_I} FROM i")
 def ev12_isotonic(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    return _calibrated(calibrate.isotonic_calibration(df.where("vintage <= 1996"), df))
+    df = stored(scored(spark, sf_dir), "scored")
+    point = _calibrated(isotonic.isotonic(df.where("vintage <= 1996"), df))
+    return point.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in point.dtypes])
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelrisk.operators import panel, pit, quality, validate
+from panelrisk.operators import panel, pit, quality, rules, validate
 from panelrisk.queries.base import clock, features, master, orig, perf, query, read
 
 R6 = lambda df: df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -95,10 +95,56 @@ def dq13_identities(spark, sf_dir):
     return validate.rules(df, {"max_below_current": ("error", F.col("max_dpd_to_date") < F.col("dpd")), "count_above_width": ("error", F.col("delinquency_months_3m") > 3), "streak_without_flag": ("error", (F.col("delinquent") == 0) & (F.col("current_delinquency_streak") > 0))})
 
 
-@query("SELECT vintage, estimated_ltv = 999 AS unknown, count(*) AS bad_rows FROM pf WHERE period < 300 AND estimated_ltv IS NOT NULL GROUP BY ALL")
+_SCOPED = """d AS (SELECT ms.*, CASE WHEN loan_id % 7 = 0 THEN 'y ' END AS harp_indicator, (loan_id % 62)::INT AS mi_percentage, (CASE WHEN loan_id % 31 = 0 THEN 999 ELSE original_ltv + loan_id % 13 - 2 END)::INT AS original_cltv FROM ms)"""
+_KNOWN = {
+    "original_dti": ("true", "NOT original_dti BETWEEN 0 AND 65"), "mi_percentage": ("true", "NOT mi_percentage BETWEEN 0 AND 55 AND mi_percentage <> 999"),
+    "estimated_ltv": ("true", "NOT estimated_ltv BETWEEN 1 AND 998 AND estimated_ltv <> 999"), "credit_score": ("true", "NOT credit_score BETWEEN 300 AND 850"),
+    "ltv_narrow": ("vintage <= 1995 AND coalesce(upper(trim(harp_indicator)) <> 'Y', true)", "NOT original_ltv BETWEEN 6 AND 105 AND original_ltv <> 999"),
+    "ltv_relief": ("vintage <= 1995 AND upper(trim(harp_indicator)) = 'Y'", "NOT original_ltv BETWEEN 1 AND 998 AND original_ltv <> 999"), "ltv_wide": ("vintage > 1995", "NOT original_ltv BETWEEN 1 AND 998 AND original_ltv <> 999"),
+    "cltv_narrow": ("vintage <= 1995 AND coalesce(upper(trim(harp_indicator)) <> 'Y', true)", "NOT original_cltv BETWEEN 6 AND 200 AND original_cltv <> 999"),
+    "cltv_relief": ("vintage <= 1995 AND upper(trim(harp_indicator)) = 'Y'", "NOT original_cltv BETWEEN 1 AND 998 AND original_cltv <> 999"), "cltv_wide": ("vintage > 1995", "NOT original_cltv BETWEEN 1 AND 998 AND original_cltv <> 999"),
+    "cltv_not_below_ltv": ("original_cltv <> 999 AND original_ltv <> 999", "original_cltv < original_ltv"),
+    **{f"{c}_not_negative": ("true", f"{c} < 0") for c in ("original_upb", "current_actual_upb", "current_interest_rate", "original_interest_rate")},
+}
+
+
+def _counted(known: dict[str, tuple[str, str]], skipped: tuple[str, ...] = ()) -> str:
+    parts = [f"SELECT '{k}' AS \"check\", count(*) FILTER (WHERE {scope} AND ({bad}) IS NOT NULL) AS in_scope, count(*) FILTER (WHERE {scope} AND {bad}) AS bad_rows, CASE WHEN count(*) FILTER (WHERE {scope} AND {bad}) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM d" for k, (scope, bad) in known.items()]
+    return " UNION ALL ".join([*parts, *[f"SELECT '{k}', 0, 0, 'SKIPPED'" for k in skipped]])
+
+
+@query(f"WITH {_SCOPED} {_counted(_KNOWN, ('delinquency_months_to_date_not_negative', 'max_dpd_to_date_not_negative'))}")
+def dq11_scoped_domains(spark, sf_dir):
+    """Domains by vintage and programme, and a combined ratio not below the first; rows of every kind break one."""
+    k = F.col("loan_id")
+    df = panel.master(perf(spark, sf_dir), panel.normalized(orig(spark, sf_dir))).withColumns({
+        "harp_indicator": F.when(k % 7 == 0, "y "), "mi_percentage": (k % 62).cast("int"), "original_cltv": F.when(k % 31 == 0, 999).otherwise(F.col("original_ltv") + k % 13 - 2).cast("int"),
+    })
+    return rules.checked(df, rules.loan_domains(last_narrow_vintage=1995)).select("check", "in_scope", "bad_rows", "status")
+
+
+_DERIVED = """d AS (SELECT *, current_actual_upb - original_upb + CASE WHEN loan_id % 11 = 3 AND age = 5 THEN 1 ELSE 0 END AS upb_change, (current_actual_upb - original_upb) / nullif(original_upb, 0) AS upb_pct_change,
+  360 AS original_loan_term, 360 - age + 1 + CASE WHEN loan_id % 17 = 0 THEN 1 ELSE 0 END AS remaining, age AS calculated_loan_age FROM fu)"""
+_DERIVED_KNOWN = {
+    "upb_change": ("true", "abs(upb_change - (current_actual_upb - original_upb)) > 1e-6"), "upb_pct_change": ("original_upb <> 0", "abs(upb_pct_change - upb_change / original_upb) > 1e-6"),
+    "max_not_below_current": ("true", "max_dpd_to_date < dpd"), "term": ("true", "original_loan_term <> calculated_loan_age + remaining - 1"),
+}
+
+
+@query(f"WITH {_DERIVED} {_counted(_DERIVED_KNOWN)}")
+def dq13_derived_identities(spark, sf_dir):
+    """Balance changes, lifetime maximum and term against what they are derived from, with rows altered so that identities break."""
+    f = pit.Frames()
+    df = panel.composition(pit.lifetime_history(pit.current_state(master(spark, sf_dir).where("calculated_loan_age <= 15")), f))
+    k, age = F.col("loan_id"), F.col("calculated_loan_age")
+    odd = df.withColumns({"upb_change": F.col("upb_change") + F.when((k % 11 == 3) & (age == 5), 1).otherwise(0), "original_loan_term": F.lit(360), "remaining_months_to_legal_maturity": 360 - age + 1 + F.when(k % 17 == 0, 1).otherwise(0)})
+    return rules.checked(odd, rules.loan_identities()).select("check", "in_scope", "bad_rows", "status")
+
+
+@query("SELECT 'estimated_ltv_from' AS \"check\", vintage, zero_balance_code, count(*) AS bad_rows FROM pf WHERE period < 330 AND estimated_ltv <> 999 GROUP BY ALL")
 def dq14_dq15_availability(spark, sf_dir):
-    ltv = F.col("estimated_ltv")
-    return quality.violations(perf(spark, sf_dir).withColumn("unknown", ltv == 999), (F.col("period") < 300) & ltv.isNotNull(), "vintage", "unknown")
+    """Ratios that are filled before the month from which they are collected, by vintage and code."""
+    return rules.broken(perf(spark, sf_dir), [rules.available_from("estimated_ltv_from", "estimated_ltv", 330, 999)], "vintage", "zero_balance_code")
 
 
 @query("SELECT 'loan_id' AS feature, 'bigint' AS type, count(loan_id) AS filled FROM og UNION ALL SELECT 'credit_score', 'int', count(credit_score) FROM og UNION ALL SELECT 'original_dti', 'int', count(original_dti) FROM og UNION ALL SELECT 'original_ltv', 'int', count(original_ltv) FROM og UNION ALL SELECT 'property_state', 'string', count(property_state) FROM og UNION ALL SELECT 'occupancy_status', 'string', count(occupancy_status) FROM og")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelrisk.operators import panel, pit, quality, splits
 from panelrisk.queries.base import clock, features, master, orig, perf, query, read
 from panelrisk.queries.tables import BUCKET
-from panelrisk.sources import files
+from panelrisk.sources import files, ingest
 from panelrisk.sources.scratch import scratch_path, stored
 from panelrisk.sources.spec import Field, TableSpec
 
@@ -37,6 +37,24 @@ def snk2_ingest(spark, sf_dir):
     return files.ingest(spark, _raw_orders(spark, sf_dir), ORDERS, scratch_path(spark, "orders"))
 
 
+@query(f"""SELECT *, rows AS published FROM (SELECT year(o_orderdate) AS vintage, quarter(o_orderdate) AS quarter, count(*) FILTER (WHERE o_orderkey % 500 NOT IN (7, 8)) AS rows, count(*) FILTER (WHERE o_orderkey % 500 IN (7, 8)) AS bad_rows FROM orders GROUP BY ALL)""")
+def snk2_staged_quarters(spark, sf_dir):
+    """Quarters by file name, with lines cut short and blank keys set apart; a second ingest that allows none is refused and changes nothing."""
+    path, target = scratch_path(spark, "raw-quarters"), scratch_path(spark, "ingested")
+    o = read(spark, sf_dir, "orders")
+    odd = F.col("o_orderkey") % 500
+    line = F.when(odd == 7, F.concat_ws("|", "o_orderkey", "o_custkey")).otherwise(F.concat_ws("|", F.when(odd == 8, "").otherwise(F.col("o_orderkey").cast("string")), "o_custkey", F.col("o_totalprice").cast("string"), "o_orderstatus", F.date_format("o_orderdate", "yyyyMM")))
+    o.select(line.alias("value"), F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate")).alias("quarter")).write.partitionBy("quarter").text(path)
+    done = ingest.staged_ingest(spark, f"{path}/*", ORDERS, target, f"{target}-bad", ingest.Limits(bad_share=0.5))
+    try:
+        ingest.staged_ingest(spark, f"{path}/*", ORDERS, target, f"{target}-bad")
+        raise AssertionError("bad rows were let through")
+    except ingest.IngestError:
+        pass
+    there = ingest.read_ingested(spark, target, ORDERS).groupBy("vintage", "quarter").agg(F.count(F.lit(1)).alias("published"))
+    return done.join(there, ["vintage", "quarter"])
+
+
 @query("SELECT vintage, count(*) AS n, round(sum(current_actual_upb), 2) AS upb FROM pf GROUP BY vintage")
 def snk1_partitioned(spark, sf_dir):
     path = scratch_path(spark, "performance")

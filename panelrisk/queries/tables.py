@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelrisk.functions import scalar
-from panelrisk.operators import aggregates, ml, panel, splits, validate
-from panelrisk.queries.base import clock, features, master, orig, perf, query, read
+from panelrisk.operators import aggregates, ml, ordered, panel, splits, validate
+from panelrisk.queries.base import clock, feature_table, features, master, orig, perf, query, read
 from panelrisk.sources import files
 
 
@@ -213,6 +213,10 @@ def _each(sql: str, columns=NUM, table="no") -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, " + sql.replace("{c}", c) + f" FROM {table}" for c in columns)
 
 
+def rounded6(df):
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def rounded(df, *keep):
     return df.select(*[F.round(c, 4).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
@@ -257,19 +261,21 @@ def ag11_target_summary(spark, sf_dir):
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, future_90dpd, count({c}) AS n, round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM mi GROUP BY future_90dpd" for c in NUM))
 def ag12_target_profile(spark, sf_dir):
     v = F.col("value")
-    long = aggregates.unpivoted(features(spark, sf_dir), ["future_90dpd"], NUM)
-    return rounded(long.groupBy("feature", "future_90dpd").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max")))
+    long = aggregates.unpivoted(feature_table(spark, sf_dir, "future_90dpd", *NUM), ["future_90dpd"], NUM)
+    return rounded(aggregates.profiled(long, ["feature", "future_90dpd"], [F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")], {"median": 0.5}))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, vintage, min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.5), 4) AS median, max({c})::DOUBLE AS max FROM mi GROUP BY vintage" for c in NUM))
 def ag13_by_vintage(spark, sf_dir):
     v = F.col("value")
-    return rounded(aggregates.unpivoted(features(spark, sf_dir), ["vintage"], NUM).groupBy("feature", "vintage").agg(F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("median"), F.max(v).alias("max")))
+    long = aggregates.unpivoted(feature_table(spark, sf_dir, "vintage", *NUM), ["vintage"], NUM)
+    return rounded(aggregates.profiled(long, ["feature", "vintage"], [F.min(v).alias("min"), F.max(v).alias("max")], {"median": 0.5}))
 
 
 @query("SELECT " + ", ".join(f"round(quantile_cont(current_actual_upb, {q}), 2) AS q{round(q * 100)}" for q in (0.05, 0.35, 0.65, 0.95)) + " FROM mi")
 def ag14_quantiles(spark, sf_dir):
-    return features(spark, sf_dir).agg(*[F.round(F.percentile("current_actual_upb", F.lit(q)), 2).alias(f"q{round(q * 100)}") for q in (0.05, 0.35, 0.65, 0.95)])
+    q = ordered.quantiles(features(spark, sf_dir), "current_actual_upb", [0.05, 0.35, 0.65, 0.95])
+    return q.select(*[F.round(F.get("quantiles", F.lit(k)), 2).alias(f"q{p}") for k, p in enumerate((5, 35, 65, 95))])
 
 
 @query("SELECT vintage, (1970 + first_period // 12)::INT AS event_year, count(*) AS loans FROM (SELECT loan_id, min(vintage) AS vintage, min(period) AS first_period FROM pf WHERE coalesce(try_cast(current_loan_delinquency_status AS DOUBLE) >= 3, false) OR current_loan_delinquency_status = 'RA' GROUP BY loan_id) GROUP BY ALL")
@@ -284,6 +290,17 @@ def ag16_observation_counts(spark, sf_dir):
     return one.groupBy("observations").agg(rows_as("loans"), F.min("first_period").alias("first_period"), F.max("last_period").alias("last_period"))
 
 
+@query("""SELECT CASE WHEN a <= 1 THEN '1' WHEN a <= 5 THEN '2-5' WHEN a <= 12 THEN '6-12' WHEN a <= 24 THEN '13-24' ELSE '25+' END AS start_group, count(*) AS loans, sum(s)::BIGINT AS events, round(avg(s), 6) AS event_rate
+FROM (SELECT loan_id, min(age) AS a, max((coalesce(try_cast(current_loan_delinquency_status AS DOUBLE) >= 3, false) OR current_loan_delinquency_status = 'RA')::INT) AS s FROM pf WHERE period >= 312 GROUP BY loan_id) GROUP BY 1""")
+def ag16_start_age_groups(spark, sf_dir):
+    """Loans by the age at which a file that begins in January 1996 first shows them, and how many turn seriously delinquent after it."""
+    rows = clock(spark, sf_dir).where("period >= 312")
+    first = rows.groupBy("loan_id").agg(F.min("calculated_loan_age").alias("first_age"), F.max(scalar.is_serious(F.col("current_loan_delinquency_status")).cast("int")).alias("serious"))
+    inf = float("inf")
+    group = scalar.band(F.col("first_age"), [-inf, 2, 6, 13, 25, inf], ["1", "2-5", "6-12", "13-24", "25+"])
+    return rounded6(first.groupBy(group.alias("start_group")).agg(rows_as("loans"), F.sum("serious").cast("long").alias("events"), F.avg("serious").alias("event_rate")))
+
+
 @query("SELECT zbc, count(*) AS loans FROM (SELECT loan_id, arg_max(coalesce(zero_balance_code, 'none'), period) AS zbc FROM pf GROUP BY loan_id) GROUP BY zbc")
 def ag17_last_code(spark, sf_dir):
     last = perf(spark, sf_dir).groupBy("loan_id").agg(F.max_by(F.coalesce("zero_balance_code", F.lit("none")), "period").alias("zbc"))

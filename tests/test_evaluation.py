@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from panelrisk.operators import calibrate, metrics, ml, ordered, splits
+from panelrisk.operators import calibrate, isotonic, metrics, ml, ordered, registry, splits
 from panelrisk.sources.scratch import scratch_path
 
 
@@ -81,6 +82,96 @@ def test_isotonic_is_monotone_and_unbiased(frame):
     assert (np.diff(out["calibrated"]) >= -1e-12).all() and abs(out["calibrated"].mean() - out["label"].mean()) < 1e-6
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_isotonic_is_the_min_max_formula(spark, partitions):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(260), 2)
+    y = (rng.random(260) < 0.2 + 0.5 * p).astype(int)
+    fit = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "pd double, label int").repartition(partitions)
+    xs = np.unique(p)
+    n, s = np.array([(p == x).sum() for x in xs]), np.array([y[p == x].sum() for x in xs])
+    mean = lambda a, b: s[a : b + 1].sum() / n[a : b + 1].sum()
+    want = np.array([max(min(mean(a, b) for b in range(k, len(xs))) for a in range(k + 1)) for k in range(len(xs))])
+    new = np.concatenate([xs, rng.random(40), [-1.0, 0.0, 1.0, 2.0]])
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(new)] + [(-1, None)], "key int, pd double").repartition(5)
+    got = {r["key"]: r["calibrated"] for r in isotonic.isotonic(fit, df).collect()}
+    assert got.pop(-1) is None
+    assert np.allclose([got[k] for k in range(len(new))], np.interp(new, xs, want))
+    own = isotonic.blocks(fit).orderBy("lo").collect()
+    assert len(own) < len(xs) / 2 and all(a["hi"] < b["lo"] and a["value"] < b["value"] for a, b in zip(own, own[1:], strict=False))
+    assert isotonic.isotonic(fit.limit(0), df).where("calibrated IS NOT NULL").count() == 0
+
+
+def test_interactions_keep_training_means(spark, tmp_path):
+    from panelrisk.operators.interactions import Interactions, InteractionsModel
+
+    rows = [(float(k), float(k * k % 7), k % 2) for k in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double, g int").withColumn("v", array_to_vector(F.array("a", F.lit(1.0)))).withColumn("hot", array_to_vector(F.array(F.col("g").cast("double"), 1.0 - F.col("g"))))
+    model = Interactions(pairs=[["a", "b"], ["v", "b"], ["v", "hot"]], outputCols=["ab", "vb", "vh"], plain=["hot"]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "i"))
+    ma, mb = np.mean([r[0] for r in rows]), np.mean([r[1] for r in rows])
+    new = df.limit(3).withColumn("a", F.col("a") + 100)
+    for m in (model, InteractionsModel.load(str(tmp_path / "i"))):
+        for r in m.transform(new).collect():
+            assert np.allclose(r["ab"], [(r["a"] - ma) * (r["b"] - mb)]) and np.allclose(r["vb"], [(r["v"][0] - ma) * (r["b"] - mb), 0.0])
+            assert np.allclose(r["vh"], [(r["v"][0] - ma) * r["g"], (r["v"][0] - ma) * (1 - r["g"]), 0, 0])
+    with pytest.raises(ValueError, match="two categories"):
+        ml.gam_pipeline(["a"], ["c", "d"], pairs=[("c", "d")])
+
+
+def test_gam_with_interactions_scores_alike_after_saving(spark, tmp_path):
+    df = model_rows(spark)
+    pipeline = ml.gam_pipeline(["credit_score", "dpd"], ["occupancy"], pairs=[("credit_score", "dpd"), ("dpd", "occupancy")], linear=["dpd"])
+    model = ml.train(pipeline, df)
+    names = ml.raw_names(model, df)
+    assert set(names) == {"credit_score", "dpd", "occupancy", "credit_score x dpd", "dpd x occupancy"} and len(names) == model.stages[-1].numFeatures
+    registry.save_version(model, str(tmp_path / "models"), "one")
+    again, _ = registry.load_version(spark, str(tmp_path / "models"))
+    a, b = ({r["key"]: r["pd"] for r in ml.score(m, df, ml.horizon_name(12)).withColumnRenamed("pd_12m", "pd").collect()} for m in (model, again))
+    assert a == b
+
+
+def test_versions_without_manifest_are_not_there(spark, tmp_path):
+    df, root = model_rows(spark), str(tmp_path / "models")
+    assert registry.versions(spark, root).count() == 0
+    with pytest.raises(ValueError, match="no complete version"):
+        registry.load_version(spark, root)
+    model = ml.train(ml.linear_pipeline(["credit_score"], ["occupancy"]), df)
+    model.write().overwrite().save(f"{root}/cut/model")  # interrupted before the manifest
+    with pytest.raises(ValueError, match="no complete version cut"):
+        registry.load_version(spark, root, "cut")
+    registry.save_version(model, root, "1", {"train": registry.population(df.withColumn("vintage", F.col("key") % 3))}, {"ridge": 0.01})
+    registry.save_version(model, root, "cut", {}, {})  # what was cut off can be written again
+    with pytest.raises(ValueError, match="there already"):
+        registry.save_version(model, root, "1")
+    _, found = registry.load_version(spark, root, "1", df.columns)
+    assert found["metadata"]["train"] == {"rows": 400, "events": df.where("label = 1").count(), "first_period": 0, "last_period": 2}
+    assert found["config"] == {"ridge": 0.01} and found["numeric"] == ["credit_score"] and found["algorithm"] == "LogisticRegressionModel"
+    assert {r["version"] for r in registry.versions(spark, root).collect()} == {"1", "cut"}
+    with pytest.raises(ValueError, match="columns missing"):
+        registry.load_version(spark, root, "1", ["key"])
+
+
+def test_boosting_stops_early_and_is_checkpointed(spark):
+    """Labels without a signal on the validation rows: boosting ends long before its last round; its lineage is cut on the way."""
+    rows = [(k, float((k * 7919) % 11 < 4), float(k % 13), float((k * 31) % 17), "ab"[k % 2], k % 4 == 0) for k in range(600)]
+    df = spark.createDataFrame(rows, "key int, label double, x double, z double, c string, later boolean")
+    model = ml.train(ml.boosted_pipeline(["x", "z"], ["c"], validation="later", rounds=60, depth=3, tolerance=0.02, every=2), df)
+    assert 1 <= len(model.stages[-1].trees) < 60
+    assert spark.sparkContext.getCheckpointDir()
+    full = ml.train(ml.boosted_pipeline(["x", "z"], ["c"], rounds=12, depth=2, every=3), df)
+    assert len(full.stages[-1].trees) == 12
+    again = ml.train(ml.boosted_pipeline(["x", "z"], ["c"], rounds=12, depth=2, every=100), df)  # checkpoints change nothing
+    a, b = ({r["key"]: r["pd"] for r in ml.score(m, df).collect()} for m in (full, again))
+    assert a == b
+    # boosting adds trees to the log odds: the score is that of their weighted sum
+    t = full.stages[-1]
+    x = full.transform(df).select("key", "features").collect()
+    for r in x[:40]:
+        margin = sum(w * tree.predict(r["features"]) for w, tree in zip(t.treeWeights, t.trees, strict=True))
+        assert abs(a[r["key"]] - 1 / (1 + np.exp(-2 * margin))) < 1e-9
+
+
 def test_methods_in_long_form(frame):
     long = calibrate.methods(frame, frame)
     assert {r["method"]: r["count"] for r in long.groupBy("method").count().collect()} == dict.fromkeys(calibrate.METHODS, 1500)
@@ -122,10 +213,22 @@ def test_importance_contract_and_ablation(spark, tmp_path):
 def test_contributions_are_exact(spark):
     df = model_rows(spark)
     model = ml.train(ml.linear_pipeline(["credit_score", "dpd"], ["occupancy"]), df)
-    x = np.array([r["features"].toArray() for r in model.transform(df).select("features").collect()])
-    want = np.abs(model.stages[-1].coefficients.toArray() * (x - x.mean(axis=0))).mean(axis=0)
-    got = {r["feature"]: r["mean_abs"] for r in ml.contributions(model, df).collect()}
-    assert np.isclose(got["credit_score"], want[0]) and np.isclose(got["dpd"], want[1]) and np.isclose(got["occupancy"], want[2:].sum())
+    x = np.array([r["features"].toArray() for r in model.transform(df).orderBy("key").select("features").collect()])
+    parts = model.stages[-1].coefficients.toArray() * (x - x.mean(axis=0))
+    want = {"credit_score": parts[:, 0], "dpd": parts[:, 1], "occupancy": parts[:, 2:].sum(axis=1)}
+    rows = ml.model_contributions(model, df, ["key"]).collect()
+    assert len(rows) == 1200
+    for r in rows:
+        assert np.isclose(r["contribution"], want[r["feature"]][r["key"]])
+    # they add up to what the score of a row is above that of mean inputs
+    total = {r["key"]: r["s"] for r in ml.model_contributions(model, df, ["key"]).groupBy("key").agg(F.sum("contribution").alias("s")).collect()}
+    p = {r["key"]: r["pd"] for r in ml.score(model, df).collect()}
+    base = model.stages[-1].intercept + model.stages[-1].coefficients.toArray() @ x.mean(axis=0)
+    assert all(np.isclose(np.log(p[k] / (1 - p[k])), base + total[k]) for k in p)
+    got = {r["feature"]: r for r in ml.contributions(model, df).collect()}
+    for f, v in want.items():
+        assert np.isclose(got[f]["mean_abs"], np.abs(v).mean()) and abs(got[f]["mean"]) < 1e-9
+    assert abs(sum(r["share"] for r in got.values()) - 1) < 1e-9
 
 
 def test_split_dispatch_and_scratch(spark):
