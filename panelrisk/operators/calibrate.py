@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.operators import isotonic
+from panelrisk.sources.scratch import stored
 
 EPS = 1e-6
 
@@ -19,19 +18,44 @@ def _clipped():
     return F.least(F.greatest("pd", F.lit(EPS)), F.lit(1 - EPS))
 
 
-def _design(df: DataFrame, method: str) -> DataFrame:
+def _terms(method: str) -> list[Column]:
+    """What the logit of a calibrated score is linear in: the logit (platt), or ln p and ln (1 - p) (beta)."""
     p = _clipped()
-    parts = {"platt": {"_x0": F.log(p / (1 - p))}, "beta": {"_x0": F.log(p), "_x1": F.log(1 - p)}}[method]
-    return VectorAssembler(inputCols=list(parts), outputCol="_x").transform(df.withColumns(parts)).drop(*parts)
+    return {"platt": [F.log(p / (1 - p))], "beta": [F.log(p), F.log(1 - p)]}[method]
 
 
-def logistic_fit(fit: DataFrame, method: str) -> LogisticRegressionModel:
-    """The logistic model of the label on the logit (platt) or on ln p and ln (1 - p) (beta)."""
-    return LogisticRegression(featuresCol="_x", labelCol="label", standardization=False, predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r").fit(_design(fit, method))
+def logistic_fit(fit: DataFrame, method: str, rounds: int = 50) -> list[float]:
+    """Intercept and slopes of the logistic fit of the label on the terms of pd, by Newton's method to the last digits.
 
-
-def _applied(model: LogisticRegressionModel, df: DataFrame, method: str) -> DataFrame:
-    return model.transform(_design(df, method)).withColumn("calibrated", vector_to_array("_q")[1]).drop("_x", "_p", "_q", "_r")
+    Rows are summed up by pd once; each round is one aggregate of at most nine sums over these. A fit of one class, or of one pd,
+    has no finite optimum: rounds end where the curvature does.
+    """
+    terms = _terms(method)
+    counts = stored(fit.where("pd IS NOT NULL AND label IS NOT NULL").groupBy("pd").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").cast("double").alias("e")), "score-counts")
+    x = [F.lit(1.0), *terms]
+    at = np.zeros(len(x))
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    for _ in range(rounds):
+        q = 1 / (1 + F.exp(-sum((F.lit(float(w)) * v for w, v in zip(at, x, strict=True)), F.lit(0.0))))
+        off, weight = F.col("e") - F.col("n") * q, F.col("n") * q * (1 - q)
+        row = counts.agg(*[F.sum(off * v).alias(f"g{i}") for i, v in enumerate(x)], *[F.sum(weight * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        if row["g0"] is None:
+            break
+        h = np.zeros((len(x), len(x)))
+        for i, j in pairs:
+            h[i, j] = h[j, i] = row[f"h{i}_{j}"]
+        if np.linalg.cond(h) > 1e14:
+            break
+        step = np.linalg.solve(h, [row[f"g{i}"] for i in range(len(x))])
+        at = at + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-11:
+            break
+    return [float(v) for v in at]
+
+
+def _applied(weights: list[float], df: DataFrame, method: str) -> DataFrame:
+    z = sum((F.lit(w) * v for w, v in zip(weights[1:], _terms(method), strict=True)), F.lit(weights[0]))
+    return df.withColumn("calibrated", 1 / (1 + F.exp(-z)))
 
 
 def logistic_calibration(fit: DataFrame, df: DataFrame, method: str) -> DataFrame:
@@ -68,9 +92,9 @@ def metadata(fit: DataFrame, name: str) -> DataFrame:
     """One row on a calibration of fit: method, population, events, rates, mean pd and log loss before and after, parameters."""
     parameters: dict[str, float] = {}
     if name in ("platt", "beta"):
-        model = logistic_fit(fit, name)
-        out = _applied(model, fit, name)
-        parameters = {"intercept": float(model.intercept)} | {f"slope_{k}": float(c) for k, c in enumerate(model.coefficients)}
+        weights = logistic_fit(fit, name)
+        out = _applied(weights, fit, name)
+        parameters = {"intercept": weights[0]} | {f"slope_{k}": w for k, w in enumerate(weights[1:])}
     elif name == "intercept":
         out = intercept_calibration(fit, fit)
     else:

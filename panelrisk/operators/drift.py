@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelrisk.operators import ordered
 from panelrisk.operators.aggregates import unpivoted
+from panelrisk.sources.scratch import stored
 
 EPS = 1e-6
 
@@ -49,11 +50,19 @@ def standardized(df: DataFrame, period: str, segment: str, label: str, base: int
 
 
 def average_ranks(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """key and each column's rank, equal values sharing their average rank; values are counted before they are ordered."""
-    long = unpivoted(df, key, columns).where("value IS NOT NULL")
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    ranks = ordered.running(counts, "value", ["c"], "feature").select("feature", "value", (F.col("cum_c") - (F.col("c") - 1) / 2).alias("rank"))
-    return long.join(ranks, ["feature", "value"]).groupBy(*key).pivot("feature", columns).agg(F.first("rank"))
+    """key and each column's rank, equal values sharing their average rank; values are counted before they are ordered.
+
+    Ranks go back to the rows column by column, by their value: broadcast for columns of up to ordered.FEW different values, so that
+    rows are shuffled only for columns of more. df is read twice and must have no nulls in columns.
+    """
+    counts = unpivoted(df, [], columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    ranks = stored(ordered.running(counts, "value", ["c"], "feature").select("feature", "value", (F.col("cum_c") - (F.col("c") - 1) / 2).alias("rank")), "ranks")
+    many = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}  # one row for each column
+    out = df.select(*key, *[F.col(c).cast("double").alias(c) for c in columns])
+    for k, c in enumerate(columns):
+        own = ranks.where(F.col("feature") == c).select(F.col("value").alias(f"_v{k}"), F.col("rank").alias(f"_r{k}"))
+        out = out.join(F.broadcast(own) if many.get(c, 0) <= ordered.FEW else own, F.col(c) == F.col(f"_v{k}"))
+    return out.select(*key, *[F.col(f"_r{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def spearman(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

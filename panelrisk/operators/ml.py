@@ -367,7 +367,7 @@ def ablation(build, numeric: list[str], categories: list[str], groups: dict[str,
         row = rank_metrics(score(model, test)).select(F.lit(name).alias("left_out"), "roc_auc", "average_precision")
         out = row if out is None else out.unionByName(row)
     full = out.where("left_out = 'nothing'").select(F.col("roc_auc").alias("_full"))
-    return out.crossJoin(full).select("left_out", "roc_auc", "average_precision", (F.col("roc_auc") - F.col("_full")).alias("auc_change"))
+    return out.crossJoin(F.broadcast(full)).select("left_out", "roc_auc", "average_precision", (F.col("roc_auc") - F.col("_full")).alias("auc_change"))
 
 
 def check_features(df: DataFrame, numeric: list[str], categories: list[str]) -> None:

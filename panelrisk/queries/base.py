@@ -145,4 +145,7 @@ def with_tables(sql: str) -> str:
     if not own:
         return sql
     head = "WITH " + ",\n".join(own)
+    recursive = re.match(r"\s*WITH\s+RECURSIVE\b", sql)
+    if recursive:
+        return head.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + sql.strip()[recursive.end() - (len(sql) - len(sql.lstrip())) :]
     return f"{head},\n{sql.strip()[5:]}" if re.match(r"\s*WITH\b", sql) else f"{head}\n{sql}"

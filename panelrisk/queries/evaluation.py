@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelrisk.operators import calibrate, metrics, ml, registry, suite
 from panelrisk.plans import jobs
 from panelrisk.queries.base import feature_table, orig, perf, query, scored, scored_table
+from panelrisk.queries.models import _CLIP, _TERMS, newton_sql
 from panelrisk.queries.metrics import _GROUPS, _POINT, _RANK, r6
 from panelrisk.sources.scratch import scratch_path, stored
 
@@ -70,18 +71,45 @@ def ev22_decay(spark, sf_dir):
     return r6(rows.select("vintage", "roc_auc", change("roc_auc").alias("auc_change"), change("ks").alias("ks_change"), (F.col("average_precision") / F.nullif("rate", F.lit(0.0))).alias("pr_ratio")))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT vintage, ln(least(greatest(pd, 1e-6), 1 - 1e-6) / (1 - least(greatest(pd, 1e-6), 1 - 1e-6))) AS x, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS e FROM sc GROUP BY ALL),
+v AS (SELECT vintage, sum(n)::BIGINT AS n, sum(e)::BIGINT AS events, min(x) < max(x) AS several FROM f GROUP BY vintage),
+w(vintage, k, a, b) AS (SELECT vintage, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM v WHERE events > 0 AND events < n AND several UNION ALL
+  SELECT vintage, k + 1, CASE WHEN h0 * h2 - h1 * h1 > 1e-12 THEN a + greatest(-5, least(5, (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1))) ELSE a END, CASE WHEN h0 * h2 - h1 * h1 > 1e-12 THEN b + greatest(-5, least(5, (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1))) ELSE b END
+  FROM (SELECT vintage, k, a, b, sum(e - n * q) AS g0, sum((e - n * q) * x) AS g1, sum(n * q * (1 - q)) AS h0, sum(n * q * (1 - q) * x) AS h1, sum(n * q * (1 - q) * x * x) AS h2
+    FROM (SELECT w.*, f.x, f.n, f.e, 1 / (1 + exp(-(a + b * f.x))) AS q FROM w JOIN f USING (vintage) WHERE k < 25) GROUP BY ALL))
+SELECT v.vintage, v.n, v.events, round(a, 6) + 0.0 AS intercept, round(b, 6) + 0.0 AS slope FROM v LEFT JOIN w ON w.vintage = v.vintage AND k = 25""")
 def ev16_slope_by_period(spark, sf_dir):
     return r6(calibrate.slopes(scored_table(spark, sf_dir), "vintage"))
 
 
-@query()
+def _metadata_sql() -> str:
+    """One row for each method: populations, rates and losses before and after, and parameters."""
+    p = _CLIP
+    loss = lambda c: f"avg(-(label * ln({c}) + (1 - label) * ln(1 - {c})))"
+    clip = lambda c: f"least(greatest({c}, 1e-6), 1 - 1e-6)"
+    tables, rows = [], []
+    for name, terms in _TERMS.items():
+        tables.append(newton_sql(terms, "t").replace("f AS (", f"f_{name} AS (", 1).replace("FROM w, f WHERE", f"FROM w_{name} w, f_{name} f WHERE").replace("\nw(k", f"\nw_{name}(k"))
+    odds = f"{p} / (1 - {p}) * (r / (1 - r)) / (m / (1 - m))"
+    given = {"raw": ("pd", "t", ["NULL"] * 3), "intercept": (f"({odds}) / (1 + {odds})", f"t, (SELECT avg(label) AS r, avg({p}) AS m FROM t)", ["NULL"] * 3)}
+    for name, terms in _TERMS.items():
+        z = " + ".join(["b0", *[f"b{k + 1} * {t}" for k, t in enumerate(terms)]])
+        given[name] = (f"1 / (1 + exp(-({z})))", f"t, (SELECT * FROM w_{name} ORDER BY k DESC LIMIT 1)", ["max(b0)", "max(b1)", "max(b2)" if name == "beta" else "NULL"])
+    for name, (value, source, weights) in given.items():
+        kept = ", ".join(w[4:-1] for w in weights if w != "NULL")
+        rows.append(f"""SELECT '{name}' AS method, count(*) AS n, sum(label)::BIGINT AS events, avg(label) AS event_rate, avg(pd) AS mean_raw, avg(c) AS mean_calibrated, {loss(clip('pd'))} AS log_loss_raw, {loss(clip('c'))} AS log_loss_calibrated,
+        {weights[0]}::DOUBLE AS intercept, {weights[1]}::DOUBLE AS slope_0, {weights[2]}::DOUBLE AS slope_1 FROM (SELECT label, pd, {value} AS c{', ' + kept if kept else ''} FROM {source})""")
+    names = "event_rate mean_raw mean_calibrated log_loss_raw log_loss_calibrated intercept slope_0 slope_1".split()
+    return f"WITH RECURSIVE t AS (SELECT pd, label FROM sc WHERE vintage <= 1996), {', '.join(tables)} SELECT method, n, events, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in names)} FROM ({' UNION ALL '.join(rows)})"
+
+
+@query(_metadata_sql())
 def ev17_calibration_metadata(spark, sf_dir):
     fit, out = scored_table(spark, sf_dir).where("vintage <= 1996"), None
     for name in calibrate.METHODS:
         row = calibrate.metadata(fit, name)
         out = row if out is None else out.unionByName(row)
-    return out.select("*", F.element_at("parameters", "intercept").alias("intercept"), F.element_at("parameters", "slope_0").alias("slope_0"), F.element_at("parameters", "slope_1").alias("slope_1")).drop("parameters")
+    return r6(out.select("*", F.element_at("parameters", "intercept").alias("intercept"), F.element_at("parameters", "slope_0").alias("slope_0"), F.element_at("parameters", "slope_1").alias("slope_1")).drop("parameters"))
 
 
 # Bounds of the change of ROC-AUC and KS within which discrimination is stable, and of observed over expected.

@@ -160,20 +160,62 @@ def ev12_isotonic_rows(spark, sf_dir):
 @query(_ISOTONIC + f" SELECT {_POINT_OF_I} FROM i")
 def ev12_isotonic(spark, sf_dir):
     df = stored(scored(spark, sf_dir), "scored")
-    point = _calibrated(isotonic.isotonic(df.where("vintage <= 1996"), df))
+    return _rounded_point(isotonic.isotonic(df.where("vintage <= 1996"), df))
+
+
+_CLIP = "least(greatest(pd, 1e-6), 1 - 1e-6)"
+
+
+def newton_sql(terms: list[str], source: str, rounds: int = 30) -> str:
+    """Tables f (x1.., n, e) and w (round k, weights b0..) of Newton's method for a logistic fit of up to two terms, by Cramer's rule; the last round holds the fit."""
+    m = len(terms) + 1
+    x = ["1", *[f"x{i}" for i in range(1, m)]]
+    z = " + ".join(f"b{i} * {v}" for i, v in enumerate(x))
+    sums = [f"sum((e - n * q) * {v}) AS g{i}" for i, v in enumerate(x)] + [f"sum(n * q * (1 - q) * {x[i]} * {x[j]}) AS h{i}{j}" for i in range(m) for j in range(i, m)]
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+
+    def det(cell) -> str:
+        if m == 2:
+            return f"({cell(0, 0)} * {cell(1, 1)} - {cell(0, 1)} * {cell(1, 0)})"
+        minor = lambda j: " ".join(["(", cell(1, (j + 1) % 3), "*", cell(2, (j + 2) % 3), "-", cell(1, (j + 2) % 3), "*", cell(2, (j + 1) % 3), ")"])
+        return "(" + " + ".join(f"{cell(0, j)} * {minor(j)}" for j in range(3)) + ")"
+
+    steps = ", ".join(f"b{k} + greatest(-5, least(5, {det(lambda i, j, k=k: f'g{i}' if j == k else h(i, j))} / {det(h)}))" for k in range(m))
+    b = ", ".join(f"b{k}" for k in range(m))
+    return f"""f AS (SELECT {', '.join(f'{t} AS x{i + 1}' for i, t in enumerate(terms))}, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS e FROM {source} GROUP BY ALL),
+w(k, {b}) AS (SELECT 0, {', '.join(['0.0::DOUBLE'] * m)} UNION ALL SELECT k + 1, {steps} FROM (SELECT k, {b}, {', '.join(sums)} FROM (SELECT w.*, f.*, 1 / (1 + exp(-({z}))) AS q FROM w, f WHERE k < {rounds}) GROUP BY ALL))"""
+
+
+_TERMS = {"platt": [f"ln({_CLIP} / (1 - {_CLIP}))"], "beta": [f"ln({_CLIP})", f"ln(1 - {_CLIP})"]}
+
+
+def _fit_sql(method: str) -> str:
+    terms = _TERMS[method]
+    z = " + ".join(["b0", *[f"b{k + 1} * {t}" for k, t in enumerate(terms)]])
+    return f"""WITH RECURSIVE {newton_sql(terms, '(SELECT pd, label FROM sc WHERE vintage <= 1996)')}, i AS (SELECT loan_id, observation_age, label, 1 / (1 + exp(-({z}))) AS pd FROM sc, w WHERE k = (SELECT max(k) FROM w))"""
+
+
+def _rounded_point(df):
+    point = _calibrated(df)
     return point.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in point.dtypes])
 
 
-@query()
+@query(_fit_sql("platt") + f" SELECT {_POINT_OF_I} FROM i")
 def ev13_platt(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    return _calibrated(calibrate.logistic_calibration(df.where("vintage <= 1996"), df, "platt"))
+    df = stored(scored(spark, sf_dir), "scored")
+    return _rounded_point(calibrate.logistic_calibration(df.where("vintage <= 1996"), df, "platt"))
 
 
-@query()
+@query(_fit_sql("beta") + f" SELECT {_POINT_OF_I} FROM i")
 def ev14_beta(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    return _calibrated(calibrate.logistic_calibration(df.where("vintage <= 1996"), df, "beta"))
+    df = stored(scored(spark, sf_dir), "scored")
+    return _rounded_point(calibrate.logistic_calibration(df.where("vintage <= 1996"), df, "beta"))
+
+
+@query(_fit_sql("beta") + " SELECT loan_id, observation_age, round(pd, 6) + 0.0 AS calibrated FROM i")
+def ev14_beta_rows(spark, sf_dir):
+    df = stored(scored(spark, sf_dir), "scored")
+    return calibrate.logistic_calibration(df.where("vintage <= 1996"), df, "beta").select("loan_id", "observation_age", (F.round("calibrated", 6) + 0.0).alias("calibrated"))
 
 
 @query("""WITH r AS (SELECT avg(label) AS r, avg(least(greatest(pd, 1e-6), 1 - 1e-6)) AS m FROM sc WHERE vintage <= 1996), o AS (SELECT loan_id, observation_age, p / (1 - p) * (r / (1 - r)) / (m / (1 - m)) AS o FROM (SELECT *, least(greatest(pd, 1e-6), 1 - 1e-6) AS p FROM sc), r)

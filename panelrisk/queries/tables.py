@@ -129,7 +129,7 @@ def jn3_macro(spark, sf_dir):
 
 @query("SELECT a.loan_id, a.observation_age, a.credit_score, b.future_90dpd FROM mi a JOIN mi b USING (loan_id, observation_age)")
 def jn4_features_target(spark, sf_dir):
-    df = features(spark, sf_dir)
+    df = feature_table(spark, sf_dir, "loan_id", "observation_age", "credit_score", "future_90dpd")
     return df.select("loan_id", "observation_age", "credit_score").join(df.select("loan_id", "observation_age", "future_90dpd"), ["loan_id", "observation_age"])
 
 

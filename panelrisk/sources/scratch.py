@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names the temporary folder of a session that has no spark.checkpoint.dir.
+OWN_DIR = "panelrisk.scratch.dir"
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir. Where that is unset, a temporary folder if all runs in one process, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(OWN_DIR, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
