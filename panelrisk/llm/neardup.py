@@ -210,10 +210,16 @@ def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
     own = texts.join(placed.select("uid").distinct(), "uid").select("uid", "text").mapInArrow(sketched, "uid long, registers binary, hashes binary, counts binary")
-    parts = placed.withColumn("part", F.pmod(F.xxhash64("uid"), F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS))))
-    blocks = parts.join(own, "uid").groupBy("key", "band", "part").agg(F.collect_list(F.struct("uid", "component", "registers", "hashes", "counts")).alias("x"))
-    both = blocks.join(blocks.select("key", F.col("part").alias("other"), F.col("x").alias("y")), "key").where("part <= other").select("band", "x", "y")
-    return both.mapInArrow(compare, "a long, b long")
+    parts = placed.withColumn("parts", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("long")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    filled = lambda p: p.join(own, "uid").groupBy("key", "band", "part").agg(F.collect_list(F.struct("uid", "component", "registers", "hashes", "counts")).alias("x"))
+    # a bucket of one block meets itself; of several, each pair of blocks is a row of its own, dealt by the second block, so that no task holds all pairs of a bucket
+    alone = filled(parts.where("parts = 1")).select("band", "x", F.col("x").alias("y"))
+    several = parts.where("parts > 1")
+    of = several.groupBy("key").agg(F.max("parts").alias("parts")).select("key", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = of.select("key", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
+    blocks = filled(several)
+    both = pairs.join(blocks, ["key", "part"]).join(blocks.select("key", F.col("part").alias("other"), F.col("x").alias("y")), ["key", "other"]).select("band", "x", "y")
+    return alone.unionAll(both).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
