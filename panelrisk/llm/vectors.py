@@ -190,12 +190,16 @@ def _found(reps: DataFrame, kind: type, similar: float, recall: float, sample: i
     filed = filed.withColumn("cell", F.col("home"))
 
     def blocks(rows: DataFrame, size: int, name: str, *columns: str) -> DataFrame:
-        """Rows of a cell in blocks of about `size`; one row counts a cell."""
-        parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-        dealt = rows.join(F.broadcast(parts) if codes**2 <= BROADCAST_CELLS else parts, "cell").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
-        return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
-
-    both = blocks(filed, FILED, "filed", "uid", "raw", "mult", "cells").join(blocks(visiting, VISITING, "visiting", "uid", "raw", "mult", "home"), "cell")
+        """Rows of a cell in blocks of about `size`, numbered from 0; of visiting rows, also the number of blocks filed in the cell. One row counts a cell."""
+        counted = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+        counted = counted.join(cells_filed, "cell")
+        dealt = rows.join(F.broadcast(counted) if codes**2 <= BROADCAST_CELLS else counted, "cell").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+        return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct(*columns)).alias(name), F.max("filed_parts").alias("filed_parts"))
+
+    cells_filed = filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / FILED).alias("filed_parts"))
+    # each pair of a filed and a visiting block is a row of its own, dealt by cell and filed block, so that no task holds all pairs of a full cell
+    visits = blocks(visiting, VISITING, "visiting", "uid", "raw", "mult", "home").drop("part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("filed_parts") - 1)))
+    both = blocks(filed, FILED, "filed", "uid", "raw", "mult", "cells").drop("filed_parts").join(visits, ["cell", "part"])
     return _compared(both.select("cell", "filed", "visiting"), similar, kind)
 
 

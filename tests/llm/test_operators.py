@@ -412,6 +412,19 @@ def test_vectors(spark):
     assert sum(r["n_links"] for r in again) == sum(r["n_links"] for r in got.values())
 
 
+def test_a_full_cell_is_compared_in_blocks(spark, monkeypatch):
+    """One cell holds all vectors; blocks of a few make the same links as all pairs."""
+    monkeypatch.setattr(vectors, "FILED", 7)
+    monkeypatch.setattr(vectors, "VISITING", 5)
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((90, 6))
+    v[40:80] = v[40] + 0.3 * rng.standard_normal((40, 6))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = ((unit @ unit.T) >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.vector_classes(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[k] for k in range(90)] == want.tolist() and want.max() > 20
+
+
 def test_traversal_visits_the_nearest_cells():
     rng = np.random.default_rng(0)
     books, v = (rng.standard_normal((9, 3)), rng.standard_normal((9, 4))), rng.standard_normal((40, 7))
