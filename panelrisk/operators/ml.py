@@ -136,9 +136,12 @@ class Crossed(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, De
 
 def _inputs(numeric: list[str], categories: list[str]) -> list:
     """Unknown categories, medians, indexes and indicators, unseen ones kept."""
+    filled = Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_filled" for c in numeric])
+    if not categories:
+        return [filled]
     return [
         Prepared(inputCols=categories),
-        Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_filled" for c in numeric]),
+        filled,
         StringIndexer(inputCols=categories, outputCols=[f"{c}_index" for c in categories], handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"{c}_index" for c in categories], outputCols=[f"{c}_hot" for c in categories], handleInvalid="keep"),
     ]
@@ -150,9 +153,10 @@ def preprocessor(numeric: list[str], categories: list[str]) -> Pipeline:
     return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error")])
 
 
-def linear_pipeline(numeric: list[str], categories: list[str], label: str = "label", ridge: float = 0.01) -> Pipeline:
+def linear_pipeline(numeric: list[str], categories: list[str], label: str = "label", ridge: float = 0.01, tolerance: float = 1e-6, rounds: int = 100) -> Pipeline:
+    """Logistic regression; without a ridge, a small tolerance gives the maximum of the likelihood to as many digits."""
     parts = [f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categories]
-    return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), LogisticRegression(labelCol=label, regParam=ridge)])
+    return Pipeline(stages=[*_inputs(numeric, categories), VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), LogisticRegression(labelCol=label, regParam=ridge, tol=tolerance, maxIter=rounds)])
 
 
 def checkpointed(spark) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelrisk.operators import calibrate, metrics, ml, registry, suite
 from panelrisk.plans import jobs
 from panelrisk.queries.base import feature_table, orig, perf, query, scored, scored_table
-from panelrisk.queries.models import _CLIP, _TERMS, newton_sql
+from panelrisk.queries.models import _CLIP, _TERMS, applied_sql, named_newton
 from panelrisk.queries.metrics import _GROUPS, _POINT, _RANK, r6
 from panelrisk.sources.scratch import scratch_path, stored
 
@@ -42,9 +42,14 @@ def ev23_intercept_by_period(spark, sf_dir):
     return _compared(_long(spark, sf_dir))
 
 
-@query()
+_FITTED = ", ".join(named_newton(name, name, "(SELECT pd, label FROM sc WHERE vintage <= 1996)") for name in _TERMS)
+_ALL = _LONG.rstrip()[:-1] + "".join(f" UNION ALL SELECT loan_id, observation_age, vintage, label, '{name}', {applied_sql(name, name)} FROM sc, (SELECT * FROM w_{name} ORDER BY k DESC LIMIT 1)" for name in _TERMS) + ")"
+
+
+@query(f"""WITH RECURSIVE {_FITTED}, {_ALL}, {_BY}, r AS (SELECT method, vintage, {_RANK} FROM c GROUP BY ALL), q AS (SELECT method, vintage, {_POINT} FROM m GROUP BY ALL)
+SELECT q.*, round(roc_auc, 6) + 0.0 AS roc_auc, round(average_precision, 6) + 0.0 AS average_precision, round(ks, 6) + 0.0 AS ks FROM q JOIN r USING (method, vintage)""")
 def ev23_method_comparison(spark, sf_dir):
-    """Raw, intercept, Platt and beta by period, all fitted on vintages up to 1996; held against a fit outside Spark in tests."""
+    """Raw, intercept, Platt and beta by period, all fitted on vintages up to 1996."""
     return _compared(_long(spark, sf_dir, calibrate.METHODS))
 
 
@@ -88,13 +93,12 @@ def _metadata_sql() -> str:
     loss = lambda c: f"avg(-(label * ln({c}) + (1 - label) * ln(1 - {c})))"
     clip = lambda c: f"least(greatest({c}, 1e-6), 1 - 1e-6)"
     tables, rows = [], []
-    for name, terms in _TERMS.items():
-        tables.append(newton_sql(terms, "t").replace("f AS (", f"f_{name} AS (", 1).replace("FROM w, f WHERE", f"FROM w_{name} w, f_{name} f WHERE").replace("\nw(k", f"\nw_{name}(k"))
+    for name in _TERMS:
+        tables.append(named_newton(name, name, "t"))
     odds = f"{p} / (1 - {p}) * (r / (1 - r)) / (m / (1 - m))"
     given = {"raw": ("pd", "t", ["NULL"] * 3), "intercept": (f"({odds}) / (1 + {odds})", f"t, (SELECT avg(label) AS r, avg({p}) AS m FROM t)", ["NULL"] * 3)}
-    for name, terms in _TERMS.items():
-        z = " + ".join(["b0", *[f"b{k + 1} * {t}" for k, t in enumerate(terms)]])
-        given[name] = (f"1 / (1 + exp(-({z})))", f"t, (SELECT * FROM w_{name} ORDER BY k DESC LIMIT 1)", ["max(b0)", "max(b1)", "max(b2)" if name == "beta" else "NULL"])
+    for name in _TERMS:
+        given[name] = (applied_sql(name, name), f"t, (SELECT * FROM w_{name} ORDER BY k DESC LIMIT 1)", ["max(b0)", "max(b1)", "max(b2)" if name == "beta" else "NULL"])
     for name, (value, source, weights) in given.items():
         kept = ", ".join(w[4:-1] for w in weights if w != "NULL")
         rows.append(f"""SELECT '{name}' AS method, count(*) AS n, sum(label)::BIGINT AS events, avg(label) AS event_rate, avg(pd) AS mean_raw, avg(c) AS mean_calibrated, {loss(clip('pd'))} AS log_loss_raw, {loss(clip('c'))} AS log_loss_calibrated,
@@ -190,7 +194,26 @@ def ev20_suite_by_split(spark, sf_dir):
     return r6(suite.in_long_form({k: v for k, v in tables.items() if k != "curve"}, "split"))
 
 
-@query()
+def _job_sql() -> str:
+    """The evaluation job by definition: beta calibration on the test split, the threshold with the best F1 of it, all tables of both scores, and the sizes of both curves."""
+    grid = "SELECT round(0.01 + 0.01 * i, 10)::DOUBLE AS t FROM range(98) x(i)"
+    cells = "count(*) FILTER (WHERE pd >= t AND label = 1) AS tp, count(*) FILTER (WHERE pd >= t AND label = 0) AS fp, count(*) FILTER (WHERE pd < t AND label = 1) AS fn, count(*) FILTER (WHERE pd < t AND label = 0) AS tn"
+    rates = {"tp": "tp", "fp": "fp", "fn": "fn", "tn": "tn", "accuracy": "(tp + tn) / (tp + fp + fn + tn)", "precision": "p", "recall": "r", "f1": "f", "specificity": "coalesce(tn / nullif(tn + fp, 0), 0)", "flagged": "tp + fp", "flagged_share": "(tp + fp) / (tp + fp + fn + tn)",
+             "event_capture_rate": "r", "false_negative_rate": "coalesce(fn / nullif(tp + fn, 0), 0)", "false_positive_rate": "coalesce(fp / nullif(fp + tn, 0), 0)"}
+    suites, curves = [], []
+    for kind, scores in (("raw", "sp"), ("calibrated", "cal")):
+        suites.append(f"""SELECT '{kind}_' || "table" AS "table", split, "row", metric, value FROM (WITH {_suite_sql(f'SELECT split, label, pd FROM {scores}', '(SELECT t FROM best)', grid)} SELECT * FROM m)""")
+        g = f"""(SELECT split, count(*) AS points, max(cp / p - cn / n) AS largest_gap FROM (SELECT split, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER (PARTITION BY split) AS p, sum(neg) OVER (PARTITION BY split) AS n
+        FROM (SELECT split, pd, sum(label) AS pos, count(*) - sum(label) AS neg FROM {scores} GROUP BY ALL) WINDOW w AS (PARTITION BY split ORDER BY pd DESC ROWS UNBOUNDED PRECEDING)) GROUP BY split)"""
+        curves.append(_rows(f"{kind}_curve", g, "NULL", points="points", largest_gap="largest_gap"))
+    chosen = _rows("threshold", "(SELECT NULL::VARCHAR AS split, * FROM best)", "NULL", threshold="t", **rates)
+    return f"""WITH RECURSIVE sp AS (SELECT {_SPLIT} AS split, label, pd FROM sc), {named_newton('beta', 'beta', "(SELECT pd, label FROM sp WHERE split = 'test')")},
+cal AS (SELECT split, label, {applied_sql('beta', 'beta')} AS pd FROM sp, (SELECT * FROM w_beta ORDER BY k DESC LIMIT 1)),
+best AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM (SELECT t, {cells} FROM cal, ({grid}) WHERE split = 'test' GROUP BY t) ORDER BY f DESC, p DESC, r DESC, t LIMIT 1)
+SELECT "table", split, "row", metric, round(value, 6) + 0.0 AS value FROM ({' UNION ALL '.join([*suites, *curves, chosen])})"""
+
+
+@query(_job_sql())
 def ev21_snk3_evaluation_job(spark, sf_dir):
     """The tables of the evaluation job, saved and read again: small ones in long form, and the points of both curves summed up."""
     path = scratch_path(spark, "evaluation")
@@ -200,7 +223,7 @@ def ev21_snk3_evaluation_job(spark, sf_dir):
         curve = spark.read.parquet(f"{path}/{name}").groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("points"), F.max("gap").alias("largest_gap"))
         long = curve.select(F.lit(name).alias("table"), "split", F.lit(None).cast("double").alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("points", "largest_gap")])).alias("m"))
         small = small.unionByName(long.select("table", "split", "row", "m.metric", "m.value"))
-    return small
+    return r6(small)
 
 
 def _input(spark, sf_dir):

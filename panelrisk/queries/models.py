@@ -189,12 +189,37 @@ w(k, {b}) AS (SELECT 0, {', '.join(['0.0::DOUBLE'] * m)} UNION ALL SELECT k + 1,
 _TERMS = {"platt": [f"ln({_CLIP} / (1 - {_CLIP}))"], "beta": [f"ln({_CLIP})", f"ln(1 - {_CLIP})"]}
 
 
+def named_newton(name: str, method: str, source: str) -> str:
+    """newton_sql with tables f_<name> and w_<name>."""
+    sql = newton_sql(_TERMS[method], source)
+    return sql.replace("f AS (", f"f_{name} AS (", 1).replace("FROM w, f WHERE", f"FROM w_{name} w, f_{name} f WHERE").replace("\nw(k", f"\nw_{name}(k")
+
+
+def applied_sql(name: str, method: str) -> str:
+    """The calibrated score as a scalar over pd and the last row of w_<name>, which joins as (SELECT * FROM w_<name> ORDER BY k DESC LIMIT 1)."""
+    z = " + ".join(["b0", *[f"b{k + 1} * {t}" for k, t in enumerate(_TERMS[method])]])
+    return f"1 / (1 + exp(-({z})))"
+
+
 def _fit_sql(method: str) -> str:
     terms = _TERMS[method]
     z = " + ".join(["b0", *[f"b{k + 1} * {t}" for k, t in enumerate(terms)]])
     return f"""WITH RECURSIVE {newton_sql(terms, '(SELECT pd, label FROM sc WHERE vintage <= 1996)')}, i AS (SELECT loan_id, observation_age, label, 1 / (1 + exp(-({z}))) AS pd FROM sc, w WHERE k = (SELECT max(k) FROM w))"""
 
 
+_TWO = ["original_ltv::DOUBLE", "delinquency_months_12m::DOUBLE"]
+
+
+@query(f"""WITH RECURSIVE {newton_sql(_TWO, '(SELECT original_ltv, delinquency_months_12m, future_90dpd AS label FROM mi WHERE vintage <= 1996)')}
+SELECT loan_id, observation_age, future_90dpd AS label, round(1 / (1 + exp(-(b0 + b1 * original_ltv + b2 * delinquency_months_12m))), 5) + 0.0 AS pd_3m FROM mi, (SELECT * FROM w ORDER BY k DESC LIMIT 1)""")
+def ml6_sc1_two_inputs(spark, sf_dir):
+    """A logistic regression without ridge is the maximum of the likelihood, which SQL finds by Newton's method; scores are named by their horizon."""
+    df = stored(features(spark, sf_dir).select("loan_id", "observation_age", "vintage", F.col("future_90dpd").cast("double").alias("label"), "original_ltv", "delinquency_months_12m"), "two-inputs")
+    model = ml.train(ml.linear_pipeline(["original_ltv", "delinquency_months_12m"], [], ridge=0.0, tolerance=1e-13, rounds=500), df.where("vintage <= 1996"))
+    name = ml.horizon_name(pit.HORIZON)
+    return ml.score(model, df, name).select("loan_id", "observation_age", F.col("label").cast("int").alias("label"), (F.round(name, 5) + 0.0).alias(name))
+
+
 def _rounded_point(df):
     point = _calibrated(df)
     return point.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in point.dtypes])
