@@ -78,24 +78,67 @@ def violations(df: DataFrame, bad: Column, *by: str) -> DataFrame:
     return df.where(bad).groupBy(*by).agg(F.count(F.lit(1)).alias("bad_rows"))
 
 
+def summary(df: DataFrame, name: str, key: str) -> DataFrame:
+    """dataset, rows, columns, loans, missing_ids, duplicate_rows (equal in every column)."""
+    one = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("loans"), F.count_if(F.col(key).isNull()).alias("missing_ids"))
+    distinct = df.distinct().agg(F.count(F.lit(1)).alias("_d"))
+    return one.crossJoin(F.broadcast(distinct)).select(F.lit(name).alias("dataset"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"), "loans", "missing_ids", (F.col("rows") - F.col("_d")).alias("duplicate_rows"))
+
+
+def indicators(df: DataFrame, suffix: str = "_missing") -> DataFrame:
+    """feature, bad_rows, status: rows in which <feature>_missing is not 1 where the feature is null and 0 elsewhere. One aggregate; no row where there is no indicator."""
+    pairs = [(c.removesuffix(suffix), c) for c in df.columns if c.endswith(suffix) and c.removesuffix(suffix) in df.columns]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "feature string, bad_rows long, status string")
+    one = df.agg(*[F.count_if(~F.col(m).cast("int").eqNullSafe(F.col(c).isNull().cast("int"))).alias(c) for c, m in pairs])
+    rows = one.unpivot([], [c for c, _ in pairs], "feature", "bad_rows")
+    return rows.withColumn("status", F.when(F.col("bad_rows") > 0, "FAIL").otherwise("PASS"))
+
+
+def target_features(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """feature, label, n, mean, median, min, max of numeric columns by the value of the label."""
+    from panelrisk.operators import aggregates
+
+    v = F.col("value")
+    stats = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")]
+    return aggregates.profiled(aggregates.unpivoted(df.withColumnRenamed(label, "label"), ["label"], columns), ["feature", "label"], stats, {"median": 0.5})
+
+
+def issues(tables: dict[str, DataFrame]) -> DataFrame:
+    """report, item, status of all rows of the tables whose status is WARN, REVIEW or FAIL; the item is a row's first text column."""
+    out = None
+    for name, t in tables.items():
+        if "status" in t.columns:
+            item = next(c for c, kind in t.dtypes if kind == "string" and c != "status")
+            part = t.where(F.col("status").isin("WARN", "REVIEW", "FAIL")).select(F.lit(name).alias("report"), F.col(item).alias("item"), "status")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def report(orig: DataFrame, perf: DataFrame, rows: DataFrame, label: str, numeric: list[str], categories: list[str], leaks: list[str], sentinels: dict[str, object]) -> dict[str, DataFrame]:
-    """All tables of the report by name; the three frames are read several times, so give written ones."""
+    """All tables of the report by name, the issues of the others last; the three frames are read several times, so give written ones."""
     from panelrisk.operators import aggregates
 
     key, grain_ = ["loan_id"], ["loan_id", "observation_age"]
-    return {
+    y = F.col(label)
+    tables = {
+        "summary": summary(orig, "origination", "loan_id").unionByName(summary(perf, "performance", "loan_id")).unionByName(summary(rows, "input", "loan_id")),
         "reconciliation": reconciliation({"origination": orig, "performance": perf, "input": rows}, "loan_id"),
         "grain": grain(orig, "origination", *key).unionByName(grain(perf, "performance", "loan_id", "period")).unionByName(grain(rows, "input", *grain_)),
-        "target": rows.groupBy("vintage").agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("event_rate")),
-        "numeric_values": value_checks(rows, numeric),
+        "funnel": funnel([("origination", orig), ("performance", perf), ("input", rows)], "loan_id"),
+        "target": rows.groupBy("vintage").agg(F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("events"), F.count_if(y == 0).alias("non_events"), F.count_if(y.isNull()).alias("missing"), F.avg(label).alias("event_rate")),
+        "missing": aggregates.missingness(rows, [*numeric, *categories]),
+        "numeric": aggregates.numeric_profile(rows, numeric),
         "categories": categorical_profile(rows, categories),
-        "missing": aggregates.unpivoted(rows, [], numeric).groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("missing")),
-        "sentinels": surviving(orig, sentinels),
+        "numeric_values": value_checks(rows, numeric),
+        "sentinels": gate(surviving(orig, sentinels)),
         "constant": constant(rows, [*numeric, *categories]),
         "leakage": forbidden(rows, leaks),
+        "indicators": indicators(rows),
+        "target_features": target_features(rows, label, numeric),
         "inventory": inventory(rows),
-        "funnel": funnel([("origination", orig), ("performance", perf), ("input", rows)], "loan_id"),
-    }
+    }
+    return tables | {"issues": issues(tables)}
 
 
 def long_report(tables: dict[str, DataFrame]) -> DataFrame:

@@ -143,8 +143,23 @@ def tk2_existence(spark, sf_dir):
 @query()
 def dq10_report(spark, sf_dir):
     """All tables of the data-quality report in long form, over frames that are written once."""
+    return quality.long_report(_report(spark, sf_dir))
+
+
+def _report(spark, sf_dir):
     p, o = stored(perf(spark, sf_dir), "performance"), stored(orig(spark, sf_dir), "origination")
     m = stored(features(spark, sf_dir), "input")
-    return quality.long_report(quality.report(o, p, m, "future_90dpd", ["credit_score", "original_ltv", "current_actual_upb", "estimated_ltv"], ["occupancy_status", "property_state"], ["recovery_amount"], {"credit_score": 9999, "original_dti": 999}))
+    return quality.report(o, p, m, "future_90dpd", ["credit_score", "original_ltv", "current_actual_upb", "estimated_ltv"], ["occupancy_status", "property_state"], ["recovery_amount", "has_prior_serious"], {"credit_score": 9999, "original_dti": 999, "original_ltv": 999})
+
+
+@query("""WITH k AS (SELECT 'occupancy_status' AS item, occupancy_status::VARCHAR AS v FROM mi UNION ALL SELECT 'property_state', property_state::VARCHAR FROM mi UNION ALL SELECT 'credit_score', credit_score::VARCHAR FROM mi UNION ALL SELECT 'original_ltv', original_ltv::VARCHAR FROM mi
+  UNION ALL SELECT 'current_actual_upb', current_actual_upb::VARCHAR FROM mi UNION ALL SELECT 'estimated_ltv', estimated_ltv::VARCHAR FROM mi),
+t AS (SELECT item, count(*) AS levels, max(n) / sum(n) AS share FROM (SELECT item, v, count(*) AS n FROM k WHERE v IS NOT NULL GROUP BY ALL) GROUP BY item)
+SELECT 'sentinels' AS report, item, 'REVIEW' AS status FROM (SELECT 'credit_score' AS item, count(*) FILTER (WHERE credit_score = 9999) AS n FROM og UNION ALL SELECT 'original_dti', count(*) FILTER (WHERE original_dti = 999) FROM og UNION ALL SELECT 'original_ltv', count(*) FILTER (WHERE original_ltv = 999) FROM og) WHERE n > 0
+UNION ALL SELECT 'constant', item, CASE WHEN levels <= 1 THEN 'FAIL' ELSE 'WARN' END FROM t WHERE levels <= 1 OR share >= 0.99
+UNION ALL SELECT 'leakage', 'has_prior_serious', 'FAIL'""")
+def dq10_issues(spark, sf_dir):
+    """What the tables of the full report flag."""
+    return _report(spark, sf_dir)["issues"]
 
 

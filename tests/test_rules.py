@@ -44,15 +44,20 @@ def test_availability_and_where_rows_break_rules(spark):
 def test_full_report_by_value(spark):
     orig = spark.createDataFrame([(1, 700, "CA"), (2, 9999, None), (3, 650, "TX"), (3, 650, "TX")], "loan_id int, credit_score int, state string")
     perf = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (9, 5)], "loan_id int, period int")
-    rows = spark.createDataFrame([(1, 3, 1999, 1, 700.0, "CA"), (1, 6, 1999, 0, None, "CA"), (2, 3, 2000, 0, -5.0, None)], "loan_id int, observation_age int, vintage int, y int, credit_score double, state string")
+    rows = spark.createDataFrame([(1, 3, 1999, 1, 700.0, "CA", 0), (1, 6, 1999, 0, None, "CA", 1), (2, 3, 2000, 0, -5.0, None, 1)], "loan_id int, observation_age int, vintage int, y int, credit_score double, state string, credit_score_missing int")
     got = {k: [r.asDict() for r in t.collect()] for k, t in quality.report(orig, perf, rows, "y", ["credit_score"], ["state"], ["y", "future_loss"], {"credit_score": 9999}).items()}
-    assert len(got) == 11
+    assert len(got) == 16
+    assert {r["dataset"]: (r["rows"], r["columns"], r["loans"], r["missing_ids"], r["duplicate_rows"]) for r in got["summary"]} == {"origination": (4, 3, 3, 0, 1), "performance": (4, 2, 3, 0, 0), "input": (3, 7, 2, 0, 0)}
+    assert [(r["feature"], r["bad_rows"], r["status"]) for r in got["indicators"]] == [("credit_score", 1, "FAIL")]
+    assert {(r["feature"], r["label"]): (r["n"], r["median"], r["min"]) for r in got["target_features"]} == {("credit_score", 1): (1, 700.0, 700.0), ("credit_score", 0): (1, -5.0, -5.0)}
+    assert [(r["n"], r["p50"], r["missing"]) for r in got["numeric"]] == [(2, 347.5, 1)]
+    assert {(r["report"], r["item"], r["status"]) for r in got["issues"]} == {("grain", "origination", "FAIL"), ("sentinels", "credit_score", "REVIEW"), ("constant", "state", "FAIL"), ("leakage", "y", "FAIL"), ("indicators", "credit_score", "FAIL")}
     assert {r["stage"]: (r["loans"], r["missing"], r["extra"]) for r in got["reconciliation"]} == {"origination": (3, 0, 0), "performance": (3, 1, 1), "input": (2, 1, 0)}
     assert {r["dataset"]: (r["duplicate_rows"], r["status"]) for r in got["grain"]} == {"origination": (1, "FAIL"), "performance": (0, "PASS"), "input": (0, "PASS")}
     assert {r["vintage"]: (r["n"], r["event_rate"]) for r in got["target"]} == {1999: (2, 0.5), 2000: (1, 0.0)}
     assert [(r["negative"], r["zero"], r["min"], r["max"]) for r in got["numeric_values"]] == [(1, 0, -5.0, 700.0)]
     assert [(r["distinct_values"], r["missing"], r["top_value"], r["top_count"], r["top_share"]) for r in got["categories"]] == [(1, 1, "CA", 2, 1.0)]
-    assert [r["missing"] for r in got["missing"]] == [1] and [r["bad_rows"] for r in got["sentinels"]] == [1]
+    assert {r["feature"]: r["missing"] for r in got["missing"]} == {"credit_score": 1, "state": 1} and [r["bad_rows"] for r in got["sentinels"]] == [1]
     assert {r["feature"]: r["status"] for r in got["constant"]} == {"credit_score": "PASS", "state": "FAIL"}
     assert {r["feature"]: (r["present"], r["status"]) for r in got["leakage"]} == {"y": (True, "FAIL"), "future_loss": (False, "PASS")}
     assert {r["feature"]: r["filled"] for r in got["inventory"]}["credit_score"] == 2
