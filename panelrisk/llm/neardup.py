@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ FEW = 32
 TOGETHER = 8192
 #: Texts and words of a bucket in one block on average, and how much lower than the similarity the share of equal registers may be (3.6 standard deviations).
 BLOCK, BLOCK_WORDS, SLACK = 256, 262_144, 0.12
+#: Counters of how frequent shingles are, whatever their number.
+COUNTERS = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,12 +174,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return with_b.mapInArrow(verify, "a long, b long")
 
 
-def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """a, b: texts of one bucket and different components with similarity `similar` or more.
-
-    Texts are compared block by block, first by their sketches and then exactly, so that only links become rows, and of two
-    blocks one link for any two components. A pair is compared in the bucket of the first band that it shares, and in no other.
-    """
+def _with_sketches(texts: DataFrame) -> DataFrame:
+    """uid, registers, hashes and counts of different shingles of uid, text."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,42 +185,137 @@ def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataF
                 cells = [[x.tobytes() for x in own]] + [[v[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for v in (h, weights.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, pa.binary()) for c in cells)], names=["uid", "registers", "hashes", "counts"])
 
+    return texts.select("uid", "text").mapInArrow(sketched, "uid long, registers binary, hashes binary, counts binary")
+
+
+def _frequencies(own: DataFrame) -> np.ndarray:
+    """COUNTERS numbers of occurrences of shingles in different texts, by the last bits of their hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            found += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        slots = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(found[slots])], names=["slot", "n"])
+
+    summed = own.select("hashes").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+    return often
+
+
+def by_rarity(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Order of shingles from rare to frequent, the same in every text."""
+    return np.lexsort((hashes, often[(hashes % np.uint64(COUNTERS)).astype(np.int64)]))
+
+
+def rare_shingles(hashes: np.ndarray, counts: np.ndarray, often: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
+    """The rarest shingles of a text, with 1 - similar of its weight and one more.
+
+    Shingles that two texts share hold at least their similarity of the weight of each. Those that are rarer than
+    the rarest shared one hold the rest at most, so that both texts have it among their rarest.
+    """
+    order = by_rarity(hashes, often)
+    before = np.cumsum(counts[order]) - counts[order]
+    return hashes[order[: np.searchsorted(before, (1 - similar + 1e-9) * counts.sum(), side="right")]]
+
+
+def _before(hashes: np.ndarray, key: np.uint64, often: np.ndarray) -> set[int]:
+    """The shingles that are rarer than key, or as rare and of a smaller hash."""
+    n = often[(hashes % np.uint64(COUNTERS)).astype(np.int64)]
+    own = often[int(key) % COUNTERS]
+    return set(hashes[(n < own) | ((n == own) & (hashes < key))].tolist())
+
+
+def _split(own: DataFrame, often: Broadcast, similar: float) -> DataFrame:
+    """key, uid, component, size, words: texts that have one of their rarest shingles in common, where they are in different components."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            hashes, counts = ([np.frombuffer(v, kind) for v in batch.column(c).to_pylist()] for c, kind in ((2, np.uint64), (3, np.int64)))
+            keys = [rare_shingles(h, n, often.value, similar) for h, n in zip(hashes, counts, strict=True)]
+            of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            words = np.array([len(h) for h in hashes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(words[of])], names=["key", "uid", "component", "words"])
+
+    rows = own.select("uid", "component", "hashes", "counts").mapInArrow(rarest, "key long, uid long, component long, words long")
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("words").alias("words"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    return rows.drop("words").join(groups.where("c0 < c1").select("key", "size", "words"), "key")
+
+
+def _compared(parts: DataFrame, own: DataFrame, similar: float, often: Broadcast | None = None) -> DataFrame:
+    """a, b: links between texts of one bucket and different components, by the blocks (part of parts) of the buckets.
+
+    Of two blocks one link is kept for any two components. A pair is compared in the bucket of the first band that it
+    shares, or, where buckets are those of rare shingles (often is given), of the rarest shingle; and in no other.
+    """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list[int], list[int]] = ([], [])
             for k in range(batch.num_rows):
-                band, sides = batch.column(0)[k].as_py(), [batch.column(c)[k].values for c in (1, 2)]
+                band, key = batch.column(0)[k].as_py(), np.int64(batch.column(1)[k].as_py()).view(np.uint64)
+                sides = [batch.column(c)[k].values for c in (2, 3)]
                 registers = [np.frombuffer(b"".join(v.field("registers").to_pylist()), np.uint64).reshape(-1, REGISTERS) for v in sides]
                 component, uid = ([v.field(c).to_numpy() for v in sides] for c in ("component", "uid"))
                 equal = np.zeros((len(uid[0]), len(uid[1])), np.int16)
                 for p, q in zip(registers[0].T, registers[1].T, strict=True):
                     equal += p[:, None] == q[None, :]
                 r, c = np.nonzero((equal >= (similar - SLACK) * REGISTERS) & (component[0][:, None] != component[1][None, :]))
-                shared = (registers[0][r] == registers[1][c])[:, : BANDS * ROWS].reshape(len(r), BANDS, ROWS).all(axis=2)
-                first = shared.argmax(axis=1) == band
+                if often is None:
+                    shared = (registers[0][r] == registers[1][c])[:, : BANDS * ROWS].reshape(len(r), BANDS, ROWS).all(axis=2)
+                    own_ = shared.argmax(axis=1) == band
+                    r, c = r[own_], c[own_]
                 texts_ = [[(np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)) for h, n in zip(v.field("hashes").to_pylist(), v.field("counts").to_pylist(), strict=True)] for v in sides]
+                if often is not None and len(r):
+                    rarer = [[_before(h, key, often.value) for h, _ in side] for side in texts_]
                 met: set[tuple[int, int]] = set()
-                for i, j in zip(r[first].tolist(), c[first].tolist(), strict=True):
+                for i, j in zip(r.tolist(), c.tolist(), strict=True):
                     two = int(component[0][i]), int(component[1][j])
-                    if two not in met and probability_jaccard(texts_[0][i], texts_[1][j]) >= similar - 1e-12:
+                    if two in met:
+                        continue
+                    if often is not None and not rarer[0][i].isdisjoint(rarer[1][j]):
+                        continue
+                    if probability_jaccard(texts_[0][i], texts_[1][j]) >= similar - 1e-12:
                         met.add(two)
                         out[0].append(int(uid[0][i]))
                         out[1].append(int(uid[1][j]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    own = texts.join(placed.select("uid").distinct(), "uid").select("uid", "text").mapInArrow(sketched, "uid long, registers binary, hashes binary, counts binary")
-    parts = placed.withColumn("parts", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("long")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
     filled = lambda p: p.join(own, "uid").groupBy("key", "band", "part").agg(F.collect_list(F.struct("uid", "component", "registers", "hashes", "counts")).alias("x"))
     # a bucket of one block meets itself; of several, each pair of blocks is a row of its own, dealt by the second block, so that no task holds all pairs of a bucket
-    alone = filled(parts.where("parts = 1")).select("band", "x", F.col("x").alias("y"))
+    alone = filled(parts.where("parts = 1")).select("band", "key", "x", F.col("x").alias("y"))
+    if often is None:
+        return alone.mapInArrow(compare, "a long, b long")
     several = parts.where("parts > 1")
     of = several.groupBy("key").agg(F.max("parts").alias("parts")).select("key", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     pairs = of.select("key", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
     blocks = filled(several)
-    both = pairs.join(blocks, ["key", "part"]).join(blocks.select("key", F.col("part").alias("other"), F.col("x").alias("y")), ["key", "other"]).select("band", "x", "y")
+    both = pairs.join(blocks, ["key", "part"]).join(blocks.select("key", F.col("part").alias("other"), F.col("x").alias("y")), ["key", "other"]).select("band", "key", "x", "y")
     return alone.unionAll(both).mapInArrow(compare, "a long, b long")
 
 
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("parts", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("long")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+
+
+def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """a, b: texts of one bucket and different components with similarity `similar` or more.
+
+    Texts are compared block by block, first by their sketches and then exactly, so that only links become rows. Texts of buckets
+    of more than one block meet by their rarest shingles instead: what most texts of such a bucket hold brings none of them together.
+    """
+    parts = _in_blocks(placed)
+    small = parts.where("parts = 1")
+    links = _compared(small, _with_sketches(texts.join(small.select("uid").distinct(), "uid")), similar)
+    crowded = parts.where("parts > 1").select("uid", "component").distinct()
+    own = written(_with_sketches(texts.join(crowded.select("uid"), "uid")).join(crowded, "uid"), "crowded-texts")
+    often = placed.sparkSession.sparkContext.broadcast(_frequencies(own))
+    split = written(_split(own, often, similar), "rare-shingles")
+    return links.unionAll(_compared(_in_blocks(split).withColumn("band", F.lit(-1)), own.drop("component"), similar, often))
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, id, th, class_id, class_size, kept of every row of docs.
 
@@ -231,7 +325,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     In every bucket of a band all texts are compared to one of them first, the one that shares most buckets with others.
     Where that leaves more than one component, all texts of the bucket that are in different ones are compared in blocks, by sketches
-    and, where these are close, exactly. A large group of copies so makes about a row for each copy.
+    and, where these are close, exactly; in buckets of more than one block, only texts that have one of their rarest shingles in common,
+    which any two of that similarity have. A large group of copies so makes about a row for each copy.
     """
     table = written(_sketched(keyed(docs)), "sketches")
     same = table.where("n_words > 0").groupBy("whole", "n_words").agg(F.min("uid").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")

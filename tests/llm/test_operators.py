@@ -338,6 +338,48 @@ def test_near_dedup(spark, docs, rows, empty, monkeypatch, block, words):
     assert neardup.neardup_digest(empty).count() == 0
 
 
+def test_similar_texts_share_their_rarest_shingle():
+    rng = np.random.default_rng(4)
+    often = rng.integers(0, 50, neardup.COUNTERS)
+    met = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        h = np.unique(rng.integers(1, 2**63, n + 20, dtype=np.uint64))
+        a, b = (np.sort(rng.permutation(h)[: max(1, len(h) - int(rng.integers(0, 5)))]) for _ in range(2))
+        wa, wb = ((v % np.uint64(3)).astype(np.int64) + 1 + (rng.random(len(v)) < 0.02) for v in (a, b))
+        first, second = neardup.rare_shingles(a, wa, often), neardup.rare_shingles(b, wb, often)
+        assert len(first) < len(a) or len(a) < 5
+        if neardup.probability_jaccard((a, wa), (b, wb)) >= 0.8:
+            both = np.intersect1d(a, b)
+            rarest = both[neardup.by_rarity(both, often)[0]]
+            assert rarest in first and rarest in second
+            met += 1
+    assert met > 30
+
+
+def test_a_common_passage_brings_no_texts_together(spark, monkeypatch, tmp_path):
+    """Texts of which three quarters are one passage: crowded buckets, no copies but the planted ones, and few rows to compare."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(90)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(300)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:20]]
+    made = {}
+
+    def kept(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    written = neardup.written
+    monkeypatch.setattr(neardup, "written", kept)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.neardup_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: k if k < 300 else k - 300 for k in range(320)}
+    assert made["open-buckets"].groupBy("key").count().where("count > 40").count()
+    assert made["crowded-texts"].count() > 200
+    crowd = made["rare-shingles"].groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert crowd is None or crowd <= 3
+
+
 def test_probability_jaccard():
     rng = random.Random(0)
     for _ in range(50):
