@@ -51,11 +51,12 @@ def interpolated(xs: DataFrame, points: DataFrame) -> DataFrame:
     both = xs.select(F.col("x").cast("double").alias("x"), F.lit(None).cast("double").alias("y")).where("x IS NOT NULL").unionByName(points.select("x", "y"))
     rows = ordered._dealt(both.groupBy("x").agg(F.max("y").alias("y")), ["x"])
     point = F.when(F.col("y").isNotNull(), F.struct("x", "y"))
-    inside = Window.partitionBy("_task").orderBy("_at")
-    near = rows.withColumns({"_p": F.last(point, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first(point, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))})
+    # both sides by a frame that grows: one that ends in UNBOUNDED FOLLOWING is read anew for each row
+    upto = lambda *order: Window.partitionBy("_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumns({"_p": F.last(point, ignorenulls=True).over(upto("_at")), "_q": F.last(point, ignorenulls=True).over(upto(F.desc("_at")))})
     ranges = rows.groupBy("_task").agg(F.max(point).alias("_last"), F.min(point).alias("_first"))
-    order = Window.partitionBy(F.lit(1)).orderBy("_task")
-    carried = ranges.select(F.col("_task"), F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    others = lambda *order: Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(F.col("_task"), F.max("_last").over(others("_task")).alias("_before"), F.min("_first").over(others(F.desc("_task"))).alias("_behind"))
     met = near.join(F.broadcast(carried), "_task").select("x", F.coalesce("_p", "_before").alias("p"), F.coalesce("_q", "_behind").alias("q"))
     p, q = F.coalesce("p", "q"), F.coalesce("q", "p")
     share = F.when(q["x"] > p["x"], (F.greatest(F.least(F.col("x"), q["x"]), p["x"]) - p["x"]) / (q["x"] - p["x"])).otherwise(F.lit(0.0))

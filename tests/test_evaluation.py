@@ -102,6 +102,22 @@ def test_isotonic_is_the_min_max_formula(spark, partitions):
     assert isotonic.isotonic(fit.limit(0), df).where("calibrated IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_interpolation_reads_each_range_once(spark, partitions):
+    """No frame ends in UNBOUNDED FOLLOWING, which reads the rest of a range for each row: 120,000 rows of one range took minutes."""
+    at = np.arange(0, 60_000, 7)
+    points = spark.createDataFrame([(float(x) + 0.25, float(x % 91)) for x in at], "x double, y double")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = isotonic.interpolated(spark.range(120_000).select((F.col("id") / 2).alias("x")), points)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        got = out.toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(got) == 120_000
+    assert np.allclose(got["y"], np.interp(got["x"], at + 0.25, at % 91))
+
+
 def test_interactions_keep_training_means(spark, tmp_path):
     from panelrisk.operators.interactions import Interactions, InteractionsModel
 
