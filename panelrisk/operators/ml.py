@@ -7,11 +7,11 @@ import math
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -49,6 +49,75 @@ def basis(x: Column, knots: list[float], degree: int = 3) -> Column:
     return F.when(x.isNotNull(), level)
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], near: float = 2e-4) -> dict[str, list[float]]:
+    """For each column its values at the shares, each the least one that at least that share of the values does not exceed; [] for a column without values.
+
+    Two passes over df, for all columns at once: approximate quantiles on either side of a share bound its value, then values inside the bounds are counted
+    one by one, and those between bounds together. Some 4 * near of the rows are inside; a column whose bounds miss a value is counted whole. Null and NaN are no values.
+    """
+    x = {c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns}
+    around = [min(1.0, max(0.0, q + d)) for q in shares for d in (-near, near)]
+    row = df.agg(*[f for k, c in enumerate(columns) for f in (F.count(x[c]).alias(f"n{k}"), F.percentile_approx(x[c], around, 10_000).alias(f"b{k}"))]).first()
+    n = {c: row[f"n{k}"] for k, c in enumerate(columns)}
+    places = {c: [max(1, math.ceil(round(q * n[c], 6))) for q in shares] for c in columns}
+
+    def counted(bounds: dict[str, list[tuple[float, float]] | None]) -> dict[str, dict[int, float]]:
+        """Values by column and place; without those that lie outside the bounds (None: none are set)."""
+        parts = []
+        for c, own in bounds.items():
+            inside, below = F.lit(True), F.lit(None).cast("double")
+            if own is not None:
+                inside = F.lit(False)
+                for lo, hi in own:
+                    inside = inside | x[c].between(lo, hi)
+                below = F.greatest(below, *[F.when(x[c] > hi, hi) for _, hi in own])
+            parts.append(F.struct(F.lit(c).alias("c"), F.when(inside, x[c]).otherwise(below).alias("v"), (~inside).cast("int").alias("between"), x[c].isNotNull().alias("has")))
+        rows = df.select(F.explode(F.array(*parts)).alias("_q")).select("_q.*").where("has").groupBy("c", "v", "between").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("c").orderBy(F.col("v").asc_nulls_first(), "between"))
+        wanted = F.create_map(*[y for c in bounds for y in (F.lit(c), F.array(*[F.lit(k) for k in sorted(set(places[c]))]))])
+        hits = rows.withColumn("upto", upto).withColumn("k", F.explode(F.filter(wanted[F.col("c")], lambda k: (k <= F.col("upto")) & (k > F.col("upto") - F.col("n"))))).where("between = 0")
+        found: dict[str, dict[int, float]] = {c: {} for c in bounds}
+        for r in hits.select("c", "k", "v").collect():  # a row for each column and share
+            found[r["c"]][r["k"]] = r["v"]
+        return found
+
+    filled = [c for c in columns if n[c]]
+    if not filled:
+        return {c: [] for c in columns}
+    found = counted({c: list(zip(row[f"b{k}"][::2], row[f"b{k}"][1::2], strict=True)) for k, c in enumerate(columns) if n[c]})
+    if missed := [c for c in filled if any(k not in found[c] for k in places[c])]:
+        found |= counted(dict.fromkeys(missed))
+    return {c: [found[c][k] for k in places[c]] if n[c] else [] for c in columns}
+
+
+class MedianModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Columns with null and NaN replaced by a number, in the type of the column."""
+
+    medians = Param(Params._dummy(), "medians", "median by column", TypeConverters.identity)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        medians, types = self.getOrDefault(self.medians), {f.name: f.dataType for f in df.schema.fields}
+        filled = lambda c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))), F.lit(float(medians[c]))).cast(types[c])
+        return df.withColumns({out: filled(c) for c, out in zip(self.getInputCols(), self.getOutputCols(), strict=True)})
+
+
+class Medians(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Exact medians of the training rows, the lower of two middle values; raises where a column has no value."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame) -> MedianModel:
+        found = exact_quantiles(df, self.getInputCols(), [0.5])
+        if empty := [c for c, v in found.items() if not v]:
+            raise ValueError(f"no training row has a value of {empty}")
+        model = MedianModel()
+        model._set(medians={c: v for c, (v,) in found.items()}, inputCols=self.getInputCols(), outputCols=self.getOutputCols())
+        return model
+
+
 class SplineModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Adds <column>_basis, a vector, for every input column; a column without enough knots stays linear."""
 
@@ -62,7 +131,7 @@ class SplineModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
 
 
 class Splines(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Knots at quantiles of the training rows, all columns in one aggregate."""
+    """Knots at exact quantiles of the training rows, all columns together."""
 
     numKnots = Param(Params._dummy(), "numKnots", "knots, bounds included", TypeConverters.toInt)
     degree = Param(Params._dummy(), "degree", "degree", TypeConverters.toInt)
@@ -76,10 +145,10 @@ class Splines(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
     def _fit(self, df: DataFrame) -> SplineModel:
         n = self.getOrDefault(self.numKnots)
         at = [k / (n - 1) for k in range(n)]
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, 10_000).alias(c) for c in self.getInputCols()]).first()
+        quantiles = exact_quantiles(df, self.getInputCols(), at)
         model, knots, reasons = SplineModel(), {}, {}
         for c in self.getInputCols():
-            found = sorted({float(x) for x in row[c] or []})
+            found = sorted(set(quantiles[c]))
             if not found:
                 reasons[c] = "no training row has a value"
             elif not all(map(math.isfinite, found)):
@@ -136,7 +205,7 @@ class Crossed(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, De
 
 def _inputs(numeric: list[str], categories: list[str]) -> list:
     """Unknown categories, medians, indexes and indicators, unseen ones kept."""
-    filled = Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_filled" for c in numeric])
+    filled = Medians(inputCols=numeric, outputCols=[f"{c}_filled" for c in numeric])
     if not categories:
         return [filled]
     return [
@@ -234,8 +303,6 @@ def permuted(df: DataFrame, key: list[str], column: str, seed: int = 1) -> DataF
 
     There are 16 blocks for each shuffle partition, so that blocks grow in number with the cluster.
     """
-    from pyspark.sql import Window
-
     blocks = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = F.xxhash64(*key, F.lit(seed))
     w = Window.partitionBy(F.pmod(h, F.lit(blocks))).orderBy(h, *key)
@@ -283,8 +350,6 @@ def feature_group(feature: Column) -> Column:
 
 
 def _by_feature(df: DataFrame, names: list[str], values: list[float], total: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = df.sparkSession.createDataFrame(list(zip(names, map(float, values), strict=True)), "feature string, v double")  # one row for each entry of the model
     sums = rows.groupBy("feature").agg(F.sum("v").alias(total))
     whole, down = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy(F.col(total).desc(), "feature").rowsBetween(Window.unboundedPreceding, 0)
@@ -322,8 +387,6 @@ def model_contributions(model: PipelineModel, df: DataFrame, key: list[str]) ->
 
 def contribution_summary(rows: DataFrame) -> DataFrame:
     """feature, feature_group, mean_abs, mean (signed), position, share, cum_share of contribution rows."""
-    from pyspark.sql import Window
-
     sums = rows.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"))
     whole = Window.partitionBy(F.lit(1))  # one row a feature
     order = whole.orderBy(F.col("mean_abs").desc(), "feature")
@@ -388,7 +451,7 @@ def check_features(df: DataFrame, numeric: list[str], categories: list[str]) ->
 
 def input_contract(model: PipelineModel) -> dict[str, list[str]]:
     """The columns that a fitted pipeline reads, and those that its features are assembled from, as they were frozen by the fit."""
-    filled = [c for s in model.stages if s.hasParam("strategy") for c in s.getInputCols()]
+    filled = [c for s in model.stages if isinstance(s, MedianModel) for c in s.getInputCols()]
     categories = [c for s in model.stages if isinstance(s, Prepared) for c in s.getInputCols()]
     assembled = [c for s in model.stages if isinstance(s, VectorAssembler) for c in s.getInputCols()]
     return {"numeric": filled, "categories": categories, "assembled": assembled}

@@ -118,6 +118,23 @@ def test_interpolation_reads_each_range_once(spark, partitions):
     assert np.allclose(got["y"], np.interp(got["x"], at + 0.25, at % 91))
 
 
+def test_medians_and_knots_are_exact(spark):
+    """Of 60,000 values in any order, the middle one itself, where an approximate one is off by places; null and NaN do not count, nor do bounds that miss."""
+    n = 60_000
+    mixed = (F.col("id") * 7919 % n).cast("double")
+    df = spark.range(n).select((mixed * mixed).alias("a"), F.when(F.col("id") % 3 == 0, float("nan")).when(F.col("id") % 3 == 1, F.col("id").cast("double")).alias("b"), (F.col("id") % 5).cast("int").alias("c"), F.lit(None).cast("double").alias("d"))
+    pick = lambda v, q: float(np.sort(v)[max(1, int(np.ceil(round(q * len(v), 6)))) - 1])
+    shares = [0.0, 0.2, 0.5, 0.777, 1.0]
+    want = {"a": [pick(np.arange(n) ** 2.0, q) for q in shares], "b": [pick(np.arange(1, n, 3.0), q) for q in shares], "c": [pick(np.arange(n) % 5, q) for q in shares], "d": []}
+    assert ml.exact_quantiles(df, list("abcd"), shares) == want
+    assert ml.exact_quantiles(df.repartition(7), list("abcd"), shares, near=-1e-3) == want  # bounds in the wrong order hold nothing
+    model = ml.Medians(inputCols=["a", "c"], outputCols=["x", "y"]).fit(df)
+    row = model.transform(spark.createDataFrame([(None, None)], "a double, c int")).select("x", "y")
+    assert row.dtypes == [("x", "double"), ("y", "int")] and tuple(row.first()) == (want["a"][2], 2)
+    with pytest.raises(ValueError):
+        ml.Medians(inputCols=["d"], outputCols=["x"]).fit(df)
+
+
 def test_interactions_keep_training_means(spark, tmp_path):
     from panelrisk.operators.interactions import Interactions, InteractionsModel
 
