@@ -22,12 +22,24 @@ def monthly_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
-def performance(orders: DataFrame, lineitem: DataFrame, dense: bool = True) -> DataFrame:
-    """The monthly performance table. dense: every month from the first to the last, else months with orders alone."""
-    months = monthly_orders(orders, lineitem)
-    bounds = months.groupBy("loan_id").agg(F.min("period").alias("p0"), F.max("period").alias("p1"))
-    grid = bounds.select("loan_id", "p0", "p1", F.explode(F.sequence("p0", "p1")).alias("period"))
-    rows = grid.join(months, ["loan_id", "period"], "left" if dense else "inner")
+def performance(orders: DataFrame, lineitem: DataFrame, dense: bool = True, last_age: int | None = None) -> DataFrame:
+    """The monthly performance table. dense: every month from the first to the last, else months with orders alone.
+
+    A month with orders makes those up to the next one, so that orders and lines are read once and the table is not joined with itself.
+    With last_age, rows up to that age alone: all columns look back, but for the last month, which the loan's rows tell before they are dealt.
+    """
+    months = monthly_orders(orders, lineitem).where("period IS NOT NULL")
+    own = Window.partitionBy("loan_id").orderBy("period")
+    known = months.withColumns({"p0": F.first("period").over(own), "p1": F.max("period").over(Window.partitionBy("loan_id")), "_next": F.lead("period").over(own)})
+    end = F.lit(None).cast("long") if last_age is None else F.col("p0") + last_age - 1
+    known = known.where(F.coalesce(F.col("period") <= end, F.lit(True)))
+    real = F.col("loan_id").isNotNull()  # orders without a loan have months, but no activity
+    if dense:
+        activity = [F.when((F.col("_month") == F.col("period")) & real, F.col(c)).alias(c) for c in months.columns if c not in ("loan_id", "period")]
+        upto = F.least(F.coalesce(F.col("_next") - 1, F.col("period")), end)
+        rows = known.withColumn("_month", F.explode(F.sequence(F.col("period").cast("long"), upto.cast("long")))).select("loan_id", "p0", "p1", F.col("_month").cast(known.schema["period"].dataType).alias("period"), *activity)
+    else:
+        rows = known.where(real).drop("_next")
     w = Window.partitionBy("loan_id").orderBy("period")
     to_date, flag = w.rowsBetween(Window.unboundedPreceding, 0), lambda c: F.when(c, "Y")
     r = F.coalesce("r", F.lit(0))

@@ -30,16 +30,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def perf(spark: SparkSession, sf_dir: str, dense: bool = True) -> DataFrame:
-    return panel.performance(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"), dense)
+def perf(spark: SparkSession, sf_dir: str, dense: bool = True, last_age: int | None = None) -> DataFrame:
+    return panel.performance(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"), dense, last_age)
 
 
 def orig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.origination(read(spark, sf_dir, "customer"))
 
 
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.master(perf(spark, sf_dir), panel.missing_indicators(panel.normalized(orig(spark, sf_dir))))
+def master(spark: SparkSession, sf_dir: str, last_age: int | None = None) -> DataFrame:
+    return panel.master(perf(spark, sf_dir, last_age=last_age), panel.missing_indicators(panel.normalized(orig(spark, sf_dir))))
 
 
 def clock(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
@@ -49,7 +49,8 @@ def clock(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFram
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pit.model_input(master(spark, sf_dir))
+    """The model input, from the ages that it looks at."""
+    return pit.model_input(master(spark, sf_dir, max(pit.AGES) + pit.HORIZON))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

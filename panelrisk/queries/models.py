@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from panelrisk.operators import calibrate, isotonic, metrics, ml, pit
 from panelrisk.operators.interactions import Interactions
-from panelrisk.queries.base import features, query, scored
+from panelrisk.queries.base import feature_table, features, query, scored, scored_table
 from panelrisk.sources.scratch import stored
 
 NUM, CAT = ["credit_score", "original_ltv", "delinquency_months_12m", "current_actual_upb"], ["occupancy_status", "property_state"]
 
 
 def _input(spark, sf_dir):
-    return features(spark, sf_dir).withColumn("label", F.col("future_90dpd").cast("double")).select("loan_id", "observation_age", "vintage", "label", *NUM, *CAT)
+    """The inputs of a model, written once: a fit reads them for its checks, medians, categories and rows, and scoring once more."""
+    return feature_table(spark, sf_dir, "loan_id", "observation_age", "vintage", F.col("future_90dpd").cast("double").alias("label"), *NUM, *CAT)
 
 
 def _fit(spark, sf_dir, pipeline):
@@ -68,7 +69,7 @@ _LEVELS = f"""lv AS (SELECT coalesce(property_state, 'Unknown') AS level, row_nu
 
 def _encoded(spark, sf_dir, numeric, categories):
     """The panel with inputs prepared by stages fitted on the training vintages."""
-    df = features(spark, sf_dir).select("loan_id", "observation_age", "vintage", *numeric, *categories)
+    df = feature_table(spark, sf_dir, "loan_id", "observation_age", "vintage", *numeric, *categories)
     return ml.preprocessor(numeric, categories).fit(df.where("vintage <= 1996")).transform(df)
 
 
@@ -92,7 +93,8 @@ r AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS
 k AS (SELECT DISTINCT feature, x AS knot FROM r, q WHERE r = greatest(1, ceil(round(q * n, 6))))
 SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY knot) - 1 AS k, knot, CASE WHEN count(*) OVER (PARTITION BY feature) > 2 THEN 'spline' ELSE 'linear' END AS kind, CASE WHEN count(*) OVER (PARTITION BY feature) <= 2 THEN 'fewer than three different quantiles' END AS reason FROM k""")
 def ml10_spline_knots(spark, sf_dir):
-    model = ml.Splines(inputCols=["original_ltv", "delinquency_months_12m", "max_dpd_3m"]).fit(features(spark, sf_dir).where("vintage <= 1996"))
+    columns = ["original_ltv", "delinquency_months_12m", "max_dpd_3m"]
+    model = ml.Splines(inputCols=columns).fit(feature_table(spark, sf_dir, "vintage", *columns).where("vintage <= 1996"))
     knots = model.getOrDefault(model.knots)
     reasons = model.getOrDefault(model.reasons)
     rows = [(c, k, x, "linear" if c in reasons else "spline", reasons.get(c)) for c, own in knots.items() for k, x in enumerate(own)]
@@ -246,5 +248,5 @@ def ev14_beta_rows(spark, sf_dir):
 @query("""WITH r AS (SELECT avg(label) AS r, avg(least(greatest(pd, 1e-6), 1 - 1e-6)) AS m FROM sc WHERE vintage <= 1996), o AS (SELECT loan_id, observation_age, p / (1 - p) * (r / (1 - r)) / (m / (1 - m)) AS o FROM (SELECT *, least(greatest(pd, 1e-6), 1 - 1e-6) AS p FROM sc), r)
 SELECT loan_id, observation_age, round(o / (1 + o), 6) AS calibrated FROM o""")
 def ev15_intercept(spark, sf_dir):
-    df = scored(spark, sf_dir)
+    df = scored_table(spark, sf_dir)
     return calibrate.intercept_calibration(df.where("vintage <= 1996"), df).select("loan_id", "observation_age", F.round("calibrated", 6).alias("calibrated"))

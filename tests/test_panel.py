@@ -111,3 +111,21 @@ def test_stream_of_files(spark, tmp_path):
         (tmp_path / "in" / f"{k}.txt").write_text(f"L{k}|{k}\n")
         ingest_stream(spark, str(tmp_path / "in"), small, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("L0", 0), ("L1", 1)]
+
+
+def test_months_are_made_without_joins_of_the_table_with_itself(spark):
+    """Months between orders, first and last ones, ids and dates that are null; up to an age, the same rows as of the whole table."""
+    from datetime import date
+
+    rows = [(1, 1, date(1995, 1, 5), 10.0, "1-URGENT", "F"), (2, 1, date(1995, 1, 9), 5.0, "5-LOW", "O"), (3, 1, date(1996, 6, 1), 7.0, "5-LOW", "F"), (4, 2, date(1995, 3, 3), 1.0, "2-HIGH", "P"), (5, 3, None, 2.0, "5-LOW", "O"), (6, None, date(1995, 1, 1), 3.0, "5-LOW", "O"), (7, None, date(1995, 3, 1), 4.0, "5-LOW", "O")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string, o_orderstatus string")
+    lines = spark.createDataFrame([(1, "R", 0.1, 10.0, 50.0, 0.08), (3, "N", 0.2, 5.0, 1.0, 0.0)], "l_orderkey long, l_returnflag string, l_discount double, l_extendedprice double, l_quantity double, l_tax double")
+    df = panel.performance(orders, lines)
+    assert {tuple(r) for r in df.groupBy("loan_id").count().collect()} == {(1, 18), (2, 1), (None, 3)}
+    assert [r["current_actual_upb"] for r in df.where("loan_id = 1").orderBy("period").collect()] == [15.0] * 17 + [22.0]
+    assert df.where("loan_id IS NULL AND current_actual_upb = 0").count() == 3
+    assert [r["zero_balance_code"] for r in df.where("zero_balance_code IS NOT NULL").orderBy("loan_id").collect()] == ["01", "03"]
+    assert panel.performance(orders, lines, dense=False).count() == 3
+    for last in (1, 3, 17, 18, 40):
+        assert sorted(map(str, panel.performance(orders, lines, last_age=last).collect())) == sorted(map(str, df.where(f"period - first_payment_date < {last}").collect()))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
