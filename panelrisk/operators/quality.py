@@ -115,26 +115,31 @@ def issues(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def flagged(orig: DataFrame, perf: DataFrame, rows: DataFrame, numeric: list[str], categories: list[str], leaks: list[str], sentinels: dict[str, object]) -> dict[str, DataFrame]:
+    """The tables of the report that have a status, by name: all that its issues come from."""
+    return {
+        "grain": grain(orig, "origination", "loan_id").unionByName(grain(perf, "performance", "loan_id", "period")).unionByName(grain(rows, "input", "loan_id", "observation_age")),
+        "sentinels": gate(surviving(orig, sentinels)),
+        "constant": constant(rows, [*numeric, *categories]),
+        "leakage": forbidden(rows, leaks),
+        "indicators": indicators(rows),
+    }
+
+
 def report(orig: DataFrame, perf: DataFrame, rows: DataFrame, label: str, numeric: list[str], categories: list[str], leaks: list[str], sentinels: dict[str, object]) -> dict[str, DataFrame]:
     """All tables of the report by name, the issues of the others last; the three frames are read several times, so give written ones."""
     from panelrisk.operators import aggregates
 
-    key, grain_ = ["loan_id"], ["loan_id", "observation_age"]
     y = F.col(label)
-    tables = {
+    tables = flagged(orig, perf, rows, numeric, categories, leaks, sentinels) | {
         "summary": summary(orig, "origination", "loan_id").unionByName(summary(perf, "performance", "loan_id")).unionByName(summary(rows, "input", "loan_id")),
         "reconciliation": reconciliation({"origination": orig, "performance": perf, "input": rows}, "loan_id"),
-        "grain": grain(orig, "origination", *key).unionByName(grain(perf, "performance", "loan_id", "period")).unionByName(grain(rows, "input", *grain_)),
         "funnel": funnel([("origination", orig), ("performance", perf), ("input", rows)], "loan_id"),
         "target": rows.groupBy("vintage").agg(F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("events"), F.count_if(y == 0).alias("non_events"), F.count_if(y.isNull()).alias("missing"), F.avg(label).alias("event_rate")),
         "missing": aggregates.missingness(rows, [*numeric, *categories]),
         "numeric": aggregates.numeric_profile(rows, numeric),
         "categories": categorical_profile(rows, categories),
         "numeric_values": value_checks(rows, numeric),
-        "sentinels": gate(surviving(orig, sentinels)),
-        "constant": constant(rows, [*numeric, *categories]),
-        "leakage": forbidden(rows, leaks),
-        "indicators": indicators(rows),
         "target_features": target_features(rows, label, numeric),
         "inventory": inventory(rows),
     }

@@ -146,10 +146,17 @@ def dq10_report(spark, sf_dir):
     return quality.long_report(_report(spark, sf_dir))
 
 
-def _report(spark, sf_dir):
+def _frames(spark, sf_dir):
+    """Origination, performance and model input, each written once; the input is made from the written performance."""
     p, o = stored(perf(spark, sf_dir), "performance"), stored(orig(spark, sf_dir), "origination")
-    m = stored(features(spark, sf_dir), "input")
-    return quality.report(o, p, m, "future_90dpd", ["credit_score", "original_ltv", "current_actual_upb", "estimated_ltv"], ["occupancy_status", "property_state"], ["recovery_amount", "has_prior_serious"], {"credit_score": 9999, "original_dti": 999, "original_ltv": 999})
+    return o, p, stored(pit.model_input(panel.master(p, panel.missing_indicators(panel.normalized(o)))), "input")
+
+
+_REPORTED = {"numeric": ["credit_score", "original_ltv", "current_actual_upb", "estimated_ltv"], "categories": ["occupancy_status", "property_state"], "leaks": ["recovery_amount", "has_prior_serious"], "sentinels": {"credit_score": 9999, "original_dti": 999, "original_ltv": 999}}
+
+
+def _report(spark, sf_dir):
+    return quality.report(*_frames(spark, sf_dir), "future_90dpd", **_REPORTED)
 
 
 @query("""WITH k AS (SELECT 'occupancy_status' AS item, occupancy_status::VARCHAR AS v FROM mi UNION ALL SELECT 'property_state', property_state::VARCHAR FROM mi UNION ALL SELECT 'credit_score', credit_score::VARCHAR FROM mi UNION ALL SELECT 'original_ltv', original_ltv::VARCHAR FROM mi
@@ -159,7 +166,7 @@ SELECT 'sentinels' AS report, item, 'REVIEW' AS status FROM (SELECT 'credit_scor
 UNION ALL SELECT 'constant', item, CASE WHEN levels <= 1 THEN 'FAIL' ELSE 'WARN' END FROM t WHERE levels <= 1 OR share >= 0.99
 UNION ALL SELECT 'leakage', 'has_prior_serious', 'FAIL'""")
 def dq10_issues(spark, sf_dir):
-    """What the tables of the full report flag."""
-    return _report(spark, sf_dir)["issues"]
+    """What the tables of the full report flag; of them only those with a status are made."""
+    return quality.issues(quality.flagged(*_frames(spark, sf_dir), **_REPORTED))
 
 

@@ -147,3 +147,16 @@ def test_evaluation_job_by_value(frame, rows, tmp_path):
     assert {r["table"] for r in saved} == {n for n in tables if not n.endswith("curve")}
     assert next(r["value"] for r in saved if r["table"] == "threshold" and r["metric"] == "f1") == pytest.approx(best["f1"])
     assert frame.sparkSession.read.parquet(str(tmp_path / "out" / "raw_curve")).count() == sum(len(set(p[split == s])) for s in ("train", "test", "oot"))
+
+
+def test_issues_make_only_tables_with_a_status(spark, monkeypatch):
+    """The issues of flagged tables are those of the whole report, and no quantiles are sorted for them."""
+    from panelrisk.operators import quality
+    from panelrisk.queries import storage
+
+    frames = storage._frames(spark, "/root/testdata/sf0.001")
+    whole = quality.report(*frames, "future_90dpd", **storage._REPORTED)
+    want = sorted(map(tuple, whole["issues"].collect()))
+    assert {n for n, t in whole.items() if "status" in t.columns} - {"issues"} == set(quality.flagged(*frames, **storage._REPORTED))
+    monkeypatch.setattr(ordered, "_dealt", None)
+    assert sorted(map(tuple, quality.issues(quality.flagged(*frames, **storage._REPORTED)).collect())) == want
