@@ -7,8 +7,9 @@ import math
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
@@ -23,30 +24,34 @@ def basis(x: Column, knots: list[float], degree: int = 3) -> Column:
     """B-spline basis values of x as an array, by Cox-de Boor on clamped knots; x outside is clamped to the bounds.
 
     knots are the distinct boundary and inner knots in order. The last interval is closed, so that the values add up to 1 everywhere.
-    Levels are bound one after the other inside a lambda, so that the expression grows with the number of bases, not
-    with two to the degree.
+    The value and the levels are bound one after the other inside lambdas, so that the value is clamped once a row and the
+    expression grows with the number of bases, not with two to the degree.
     """
     t = [knots[0]] * degree + list(knots) + [knots[-1]] * degree
     last = max(k for k in range(len(t) - 1) if t[k] < t[k + 1])
-    clamped = F.greatest(F.lit(t[0]), F.least(F.lit(t[-1]), x.cast("double")))
-    level = F.array(*[((clamped >= t[k]) & ((clamped < t[k + 1]) | F.lit(k == last))).cast("double") if t[k] < t[k + 1] else F.lit(0.0) for k in range(len(t) - 1)])
 
-    def raised(d: int):
-        """From the bases of degree d - 1 to those of degree d."""
+    def values(u: Column) -> Column:
+        level = F.array(*[((u >= t[k]) & ((u < t[k + 1]) | F.lit(k == last))).cast("double") if t[k] < t[k + 1] else F.lit(0.0) for k in range(len(t) - 1)])
+
+        def raised(d: int):
+            """From the bases of degree d - 1 to those of degree d."""
 
-        def step(v: Column) -> Column:
-            out = []
-            for k in range(len(t) - 1 - d):
-                left = (clamped - t[k]) / (t[k + d] - t[k]) * v[k] if t[k + d] > t[k] else F.lit(0.0)
-                right = (t[k + d + 1] - clamped) / (t[k + d + 1] - t[k + 1]) * v[k + 1] if t[k + d + 1] > t[k + 1] else F.lit(0.0)
-                out.append(left + right)
-            return F.array(*out)
+            def step(v: Column) -> Column:
+                out = []
+                for k in range(len(t) - 1 - d):
+                    left = (u - t[k]) / (t[k + d] - t[k]) * v[k] if t[k + d] > t[k] else F.lit(0.0)
+                    right = (t[k + d + 1] - u) / (t[k + d + 1] - t[k + 1]) * v[k + 1] if t[k + d + 1] > t[k + 1] else F.lit(0.0)
+                    out.append(left + right)
+                return F.array(*out)
 
-        return step
+            return step
 
-    for d in range(1, degree + 1):
-        level = F.transform(F.array(level), raised(d))[0]
-    return F.when(x.isNotNull(), level)
+        for d in range(1, degree + 1):
+            level = F.transform(F.array(level), raised(d))[0]
+        return level
+
+    clamped = F.greatest(F.lit(t[0]), F.least(F.lit(t[-1]), x.cast("double")))
+    return F.when(x.isNotNull(), F.transform(F.array(clamped), values)[0])
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], near: float = 2e-4) -> dict[str, list[float]]:
@@ -118,6 +123,11 @@ class Medians(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, Def
         return model
 
 
+def numbered(n: int) -> dict:
+    """Metadata of a vector column with n numeric entries, as Spark ML's own stages write it: what reads the column need not look at a row for its size."""
+    return {"ml_attr": {"attrs": {"numeric": [{"idx": k} for k in range(n)]}, "num_attrs": n}}
+
+
 class SplineModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Adds <column>_basis, a vector, for every input column; a column without enough knots stays linear."""
 
@@ -127,7 +137,10 @@ class SplineModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
 
     def _transform(self, df: DataFrame) -> DataFrame:
         knots, degree = self.getOrDefault(self.knots), self.getOrDefault(self.degree)
-        return df.withColumns({f"{c}_basis": array_to_vector(basis(F.col(c), k, degree) if len(k) > 2 else F.array(F.col(c).cast("double"))) for c, k in knots.items()})
+        out = df.withColumns({f"{c}_basis": array_to_vector(basis(F.col(c), k, degree) if len(k) > 2 else F.array(F.col(c).cast("double"))) for c, k in knots.items()})
+        for c, k in knots.items():
+            out = out.withMetadata(f"{c}_basis", numbered(len(k) + degree - 1 if len(k) > 2 else 1))
+        return out
 
 
 class Splines(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -174,7 +187,7 @@ class Prepared(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable,
 
 
 class Scaled(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """A vector times a constant; under a ridge without standardization this shrinks its coefficients."""
+    """A vector or number times a constant; under a ridge without standardization this shrinks its coefficients."""
 
     scale = Param(Params._dummy(), "scale", "factor", TypeConverters.toFloat)
 
@@ -185,12 +198,19 @@ class Scaled(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defa
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        s = self.getOrDefault(self.scale)
-        return df.withColumn(self.getOutputCol(), array_to_vector(F.transform(vector_to_array(self.getInputCol()), lambda v: v * s)))
+        s, own, to = self.getOrDefault(self.scale), df.schema[self.getInputCol()], self.getOutputCol()
+        if not isinstance(own.dataType, VectorUDT):
+            return df.withColumn(to, F.col(own.name) * s)
+        out = df.withColumn(to, array_to_vector(F.transform(vector_to_array(own.name), lambda v: v * s)))
+        size = own.metadata.get("ml_attr", {}).get("num_attrs")
+        return out.withMetadata(to, numbered(size)) if size else out
 
 
 class Crossed(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """All products of the entries of two vectors, as one vector."""
+    """All products of the entries of two vectors or numbers, as one vector.
+
+    Where both columns have attributes of all their entries, as columns of a pipeline do, zeros are not multiplied and the vector is sparse.
+    """
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCol=None):
@@ -198,7 +218,11 @@ class Crossed(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, De
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        a, b = (vector_to_array(c) for c in self.getInputCols())
+        fields = [df.schema[c] for c in self.getInputCols()]
+        vectors = [isinstance(f.dataType, VectorUDT) for f in fields]
+        if all(not v or f.metadata.get("ml_attr", {}).get("attrs") for f, v in zip(fields, vectors, strict=True)):
+            return Interaction(inputCols=self.getInputCols(), outputCol=self.getOutputCol()).transform(df)
+        a, b = (vector_to_array(f.name) if v else F.array(F.col(f.name).cast("double")) for f, v in zip(fields, vectors, strict=True))
         products = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
         return df.withColumn(self.getOutputCol(), array_to_vector(products))
 
@@ -269,7 +293,8 @@ def gam_pipeline(numeric: list[str], categories: list[str], pairs: list[tuple[st
         stages.append(Scaled(inputCol=f"{group}_hot", outputCol=f"{group}_own", scale=group_scale))
         parts.append(f"{group}_own")
         for c in numeric:
-            stages += [Crossed(inputCols=[name(c), f"{group}_hot"], outputCol=f"{c}_by_{group}"), Scaled(inputCol=f"{c}_by_{group}", outputCol=f"{c}_by_{group}_own", scale=group_scale)]
+            # scaled before it is crossed: few entries are scaled, and the indicators of the product stay sparse
+            stages += [Scaled(inputCol=name(c), outputCol=f"{c}_scaled", scale=group_scale), Crossed(inputCols=[f"{c}_scaled", f"{group}_hot"], outputCol=f"{c}_by_{group}_own")]
             parts.append(f"{c}_by_{group}_own")
     fit = LogisticRegression(labelCol=label, regParam=ridge, standardization=False, **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="error"), fit])
@@ -444,7 +469,7 @@ def check_features(df: DataFrame, numeric: list[str], categories: list[str]) ->
     bad = [f"{c} is given twice" for c in sorted({c for c in names if names.count(c) > 1})]
     bad += [f"{c} is not in the table" for c in names if c not in types]
     bad += [f"{c} is {types[c]}, not a number" for c in numeric if c in types and not types[c].startswith(number)]
-    bad += [f"{c} has the name of a derived column" for c in names if c.endswith(("_filled", "_index", "_hot", "_basis", "_own"))]
+    bad += [f"{c} has the name of a derived column" for c in names if c.endswith(("_filled", "_index", "_hot", "_basis", "_scaled", "_own"))]
     if bad:
         raise ValueError("; ".join(bad))
 

@@ -285,3 +285,18 @@ def test_training_job_rejects_one_class_and_saves_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="1 classes"):
         jobs.train(spark, source, target, ml.linear_pipeline(["x"], []), years)
     assert not os.path.exists(target)
+
+
+def test_products_with_a_group_are_sparse(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import SparseVector
+
+    df = model_rows(spark)
+    stages = ml.gam_pipeline(["credit_score", "dpd"], ["occupancy"], group="occupancy", group_scale=0.25, linear=["dpd"]).getStages()[:-1]
+    model = Pipeline(stages=stages).fit(df)
+    basis, hot = vector_to_array("credit_score_filled_basis"), vector_to_array("occupancy_hot")
+    for r in model.transform(df).select("credit_score_by_occupancy_own", "dpd_by_occupancy_own", "dpd", basis.alias("b"), hot.alias("h")).collect():
+        assert isinstance(r[0], SparseVector) and np.array_equal(r[0].toArray(), np.outer(r["b"], r["h"]).ravel() * 0.25)
+        assert np.array_equal(r[1].toArray(), np.array(r["h"]) * r["dpd"] * 0.25)
+    assert {"credit_score x occupancy", "dpd x occupancy"} <= set(ml.raw_names(model, df))
