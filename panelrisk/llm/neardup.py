@@ -35,6 +35,8 @@ TOGETHER = 8192
 BLOCK, BLOCK_WORDS, SLACK = 256, 262_144, 0.12
 #: Counters of how frequent shingles are, whatever their number.
 COUNTERS = 1 << 20
+#: The most bits that tell which texts may be candidates (16 MB).
+MOST_BITS = 1 << 27
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -316,6 +318,26 @@ def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataF
     return links.unionAll(_compared(_in_blocks(split).withColumn("band", F.lit(-1)), own.drop("component"), similar, often))
 
 
+def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (text, id, th) without most of the rows whose id and th wanted lacks, and with all that it holds.
+
+    One bit stands for each hash of id and th, in 16 bits a row of wanted and MOST_BITS at most, so that texts which no join needs are not shuffled for it.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id", "th"), F.lit(bits))
+    words = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("set")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["set"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).select(["text", "id", "th"])
+
+    return docs.select("text", "id", "th", slot.alias("slot")).mapInArrow(keep, "text string, id long, th long")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, id, th, class_id, class_size, kept of every row of docs.
 
@@ -338,8 +360,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     weight = inside.groupBy("uid").agg(F.sum("size").alias("weight"))
     leaders = inside.join(weight, "uid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("uid")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("leader"))
     pairs = inside.join(leaders, "key").where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
-    wanted = inside.select("uid").distinct().join(table.select("uid", "id", "th"), "uid")
-    texts = written(keyed(docs).select("text", "id", "th").join(wanted, ["id", "th"]).select("uid", "text").dropDuplicates(["uid"]), "candidate-texts")
+    wanted = written(inside.select("uid").distinct().join(table.select("uid", "id", "th"), "uid"), "candidates")
+    texts = written(_held(keyed(docs), wanted).dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("uid", "text"), "candidate-texts")
     links = written(_verified(pairs, texts, similar), "links")
     joined = components(links)
     placed = inside.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
