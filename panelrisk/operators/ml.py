@@ -326,12 +326,25 @@ def score(model: PipelineModel, df: DataFrame, name: str = "pd") -> DataFrame:
 def permuted(df: DataFrame, key: list[str], column: str, seed: int = 1) -> DataFrame:
     """df with a column's values dealt out anew: each row takes the value of the row after it in hash order, inside blocks of hashes.
 
-    There are 16 blocks for each shuffle partition, so that blocks grow in number with the cluster.
+    Nulls are dealt like other values. There are 16 blocks for each shuffle partition, so that blocks grow in number with the cluster.
+    """
+    return all_permuted(df, key, [column], 1, seed).select(*df.columns)
+
+
+def all_permuted(df: DataFrame, key: list[str], columns: list[str], repeats: int, seed: int = 1) -> DataFrame:
+    """For each of columns (_column, its place) and repeat (_draw), the rows of df with that column dealt as `permuted` deals it with seed + _draw.
+
+    df is read once, and all are dealt by one window.
     """
     blocks = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    h = F.xxhash64(*key, F.lit(seed))
-    w = Window.partitionBy(F.pmod(h, F.lit(blocks))).orderBy(h, *key)
-    return df.withColumn(column, F.coalesce(F.lead(column).over(w), F.first(column).over(w)))
+    pairs = F.array(*[F.struct(F.lit(k).alias("_column"), F.lit(d).alias("_draw")) for k in range(len(columns)) for d in range(repeats)])
+    value = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = df.select("*", F.explode(pairs).alias("_pair")).select(*map(value, df.columns), "_pair._column", "_pair._draw")
+    h = F.xxhash64(*key, F.lit(seed) + F.col("_draw"))
+    w = Window.partitionBy("_column", "_draw", F.pmod(h, F.lit(blocks))).orderBy(h, *key)
+    own = F.struct(*[value(c).alias(f"c{k}") for k, c in enumerate(columns)])  # never null itself, so that a null value is not taken for the end of a block
+    dealt = rows.withColumn("_dealt", F.coalesce(F.lead(own).over(w), F.first(own).over(w)))
+    return dealt.withColumns({c: F.when(F.col("_column") == k, F.col(f"_dealt.c{k}")).otherwise(value(c)) for k, c in enumerate(columns)}).drop("_dealt")
 
 
 def origins(model: PipelineModel) -> dict[str, str]:
@@ -428,22 +441,17 @@ def contributions(model: PipelineModel, df: DataFrame) -> DataFrame:
 def permutation_importance(model: PipelineModel, df: DataFrame, key: list[str], columns: list[str], repeats: int = 5, seed: int = 1) -> DataFrame:
     """feature, mean and standard deviation over repeats of what ROC-AUC and average precision lose when a column is dealt anew.
 
-    All repeats of a column are scored and measured in one job; df (with label) is read once for each column.
+    All columns and repeats are dealt, scored and measured in one job; df (with label) is read once for them and once for what is lost.
     """
     from panelrisk.operators.metrics import rank_metrics
 
     base = rank_metrics(score(model, df)).select(F.col("roc_auc").alias("_auc"), F.col("average_precision").alias("_ap"))
-    out = None
-    for c in columns:
-        draws = None
-        for k in range(repeats):
-            one = permuted(df, key, c, seed + k).withColumn("_draw", F.lit(k))
-            draws = one if draws is None else draws.unionByName(one)
-        own = rank_metrics(score(model, draws), "_draw").crossJoin(F.broadcast(base))
-        auc, ap = F.col("_auc") - F.col("roc_auc"), F.col("_ap") - F.col("average_precision")
-        row = own.agg(F.avg(auc).alias("auc_loss"), F.stddev(auc).alias("auc_loss_std"), F.avg(ap).alias("ap_loss"), F.stddev(ap).alias("ap_loss_std")).select(F.lit(c).alias("feature"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    draws = all_permuted(df, key, columns, repeats, seed)
+    own = rank_metrics(score(model, draws), "_column", "_draw").crossJoin(F.broadcast(base))
+    auc, ap = F.col("_auc") - F.col("roc_auc"), F.col("_ap") - F.col("average_precision")
+    lost = own.groupBy("_column").agg(F.avg(auc).alias("auc_loss"), F.stddev(auc).alias("auc_loss_std"), F.avg(ap).alias("ap_loss"), F.stddev(ap).alias("ap_loss_std"))
+    names = F.array(*map(F.lit, columns))
+    return lost.select(F.get(names, F.col("_column")).alias("feature"), "auc_loss", "auc_loss_std", "ap_loss", "ap_loss_std")
 
 
 def ablation(build, numeric: list[str], categories: list[str], groups: dict[str, list[str]], fit: DataFrame, test: DataFrame) -> DataFrame:

@@ -243,6 +243,19 @@ def test_importance_contract_and_ablation(spark, tmp_path):
         ml.load_model(str(tmp_path / "m"), df.drop("dpd"))
 
 
+def test_permuted_values_are_the_same_with_nulls(spark):
+    df = model_rows(spark).withColumn("dpd", F.expr("IF(key % 4 = 0, NULL, dpd)"))
+    of = lambda rows, c: sorted(str(r[c]) for r in rows)
+    want = df.collect()
+    assert of(ml.permuted(df, ["key"], "dpd").collect(), "dpd") == of(want, "dpd")
+    rows = ml.all_permuted(df, ["key"], ["dpd", "occupancy"], 2).collect()
+    assert len(rows) == 4 * len(want)
+    for k, c, other in ((0, "dpd", "occupancy"), (1, "occupancy", "dpd")):
+        for d in range(2):
+            own = [r for r in rows if (r["_column"], r["_draw"]) == (k, d)]
+            assert of(own, c) == of(want, c) and {r["key"]: r[other] for r in own} == {r["key"]: r[other] for r in want} and {r["key"]: r[c] for r in own} != {r["key"]: r[c] for r in want}
+
+
 def test_contributions_are_exact(spark):
     df = model_rows(spark)
     model = ml.train(ml.linear_pipeline(["credit_score", "dpd"], ["occupancy"]), df)
