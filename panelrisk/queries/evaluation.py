@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelrisk.operators import calibrate, metrics, ml, registry, suite
+from panelrisk.operators import calibrate, metrics, ml, pit, registry, suite
 from panelrisk.plans import jobs
 from panelrisk.queries.base import feature_table, orig, perf, query, scored, scored_table
 from panelrisk.queries.models import _CLIP, _TERMS, applied_sql, named_newton
@@ -326,7 +326,7 @@ def ml9_ml18_ml20_training_job(spark, sf_dir):
     from panelrisk.operators import splits
 
     source, target = scratch_path(spark, "model-input"), scratch_path(spark, "model")
-    jobs.build_model_input(perf(spark, sf_dir), orig(spark, sf_dir), source)
+    jobs.build_model_input(perf(spark, sf_dir, last_age=max(pit.AGES) + pit.HORIZON), orig(spark, sf_dir), source)
     fitted = jobs.train(spark, source, target, ml.linear_pipeline(NUM, CAT), _VINTAGES)
     df = splits.yearly(spark.read.parquet(source), **_VINTAGES)
     model, columns = ml.load_model(target, df)
