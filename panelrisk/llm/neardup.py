@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelrisk.llm import text as T
@@ -35,6 +35,8 @@ TOGETHER = 8192
 BLOCK, BLOCK_WORDS, SLACK = 256, 262_144, 0.12
 #: Counters of how frequent shingles are, whatever their number.
 COUNTERS = 1 << 20
+#: Order of keys that are hashes of shingles, as in `by_rarity`: there, hashes are unsigned.
+RARE_FIRST = ["often", "unsigned"]
 #: The most bits that tell which texts may be candidates (16 MB).
 MOST_BITS = 1 << 27
 
@@ -176,18 +178,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return with_b.mapInArrow(verify, "a long, b long")
 
 
-def _with_sketches(texts: DataFrame) -> DataFrame:
-    """uid, registers, hashes and counts of different shingles of uid, text."""
+def _with_shingles(texts: DataFrame) -> DataFrame:
+    """uid, component, hashes and counts of different shingles of uid, component, text."""
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in T.pieces(batch.column(1), 2 * T.PIECE):
+            for lo, hi, data, offsets in T.pieces(batch.column(2), 2 * T.PIECE):
                 rows, h, weights, _, _ = shingles(data, offsets)
-                own, at = sketches(rows, h, weights, hi - lo), np.searchsorted(rows, np.arange(hi - lo + 1))
-                cells = [[x.tobytes() for x in own]] + [[v[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for v in (h, weights.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, pa.binary()) for c in cells)], names=["uid", "registers", "hashes", "counts"])
+                at = np.searchsorted(rows, np.arange(hi - lo + 1))
+                cells = [[v[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for v in (h, weights.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), *(pa.array(c, pa.binary()) for c in cells)], names=["uid", "component", "hashes", "counts"])
 
-    return texts.select("uid", "text").mapInArrow(sketched, "uid long, registers binary, hashes binary, counts binary")
+    return texts.select("uid", "component", "text").mapInArrow(listed, "uid long, component long, hashes binary, counts binary")
 
 
 def _frequencies(own: DataFrame) -> np.ndarray:
@@ -231,7 +233,10 @@ def _before(hashes: np.ndarray, key: np.uint64, often: np.ndarray) -> set[int]:
 
 
 def _split(own: DataFrame, often: Broadcast, similar: float) -> DataFrame:
-    """key, uid, component, size, words: texts that have one of their rarest shingles in common, where they are in different components."""
+    """key, uid, component, n_words, often, unsigned: texts that have one of their rarest shingles in common, where they are in different components.
+
+    Of shingles that the same texts hold, the rarest (RARE_FIRST) is kept.
+    """
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
@@ -239,15 +244,16 @@ def _split(own: DataFrame, often: Broadcast, similar: float) -> DataFrame:
             keys = [rare_shingles(h, n, often.value, similar) for h, n in zip(hashes, counts, strict=True)]
             of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             words = np.array([len(h) for h in hashes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(words[of])], names=["key", "uid", "component", "words"])
+            every = np.concatenate(keys)
+            times = often.value[(every % np.uint64(COUNTERS)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(words[of]), pa.array(times)], names=["key", "uid", "component", "n_words", "often"])
 
-    rows = own.select("uid", "component", "hashes", "counts").mapInArrow(rarest, "key long, uid long, component long, words long")
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("words").alias("words"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    return rows.drop("words").join(groups.where("c0 < c1").select("key", "size", "words"), "key")
+    rows = own.select("uid", "component", "hashes", "counts").mapInArrow(rarest, "key long, uid long, component long, n_words long, often long")
+    return _of_different_texts(rows.withColumn("unsigned", F.col("key").bitwiseXOR(F.lit(-(2**63)))), RARE_FIRST)
 
 
-def _compared(parts: DataFrame, own: DataFrame, similar: float, often: Broadcast | None = None) -> DataFrame:
-    """a, b: links between texts of one bucket and different components, by the blocks (part of parts) of the buckets.
+def _compared(parts: DataFrame, texts: DataFrame, similar: float, often: Broadcast | None = None) -> DataFrame:
+    """a, b: links between texts of one bucket and different components, by the meetings of blocks (`_in_blocks`) of the buckets.
 
     Of two blocks one link is kept for any two components. A pair is compared in the bucket of the first band that it
     shares, or, where buckets are those of rare shingles (often is given), of the rarest shingle; and in no other.
@@ -257,10 +263,14 @@ def _compared(parts: DataFrame, own: DataFrame, similar: float, often: Broadcast
         for batch in batches:
             out: tuple[list[int], list[int]] = ([], [])
             for k in range(batch.num_rows):
-                band, key = batch.column(0)[k].as_py(), np.int64(batch.column(1)[k].as_py()).view(np.uint64)
-                sides = [batch.column(c)[k].values for c in (2, 3)]
-                registers = [np.frombuffer(b"".join(v.field("registers").to_pylist()), np.uint64).reshape(-1, REGISTERS) for v in sides]
-                component, uid = ([v.field(c).to_numpy() for v in sides] for c in ("component", "uid"))
+                band, lo, hi = (batch.column(c)[k].as_py() for c in (0, 2, 3))
+                key, all_ = np.int64(batch.column(1)[k].as_py()).view(np.uint64), batch.column(4)[k].values
+                data, offsets = T.buffers(all_.field("text"))
+                rows, h, weights, _, _ = shingles(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+                at, drawn = np.searchsorted(rows, np.arange(len(all_) + 1)), sketches(rows, h, weights, len(all_))
+                sides = [np.flatnonzero(all_.field("part").to_numpy() == side) for side in (lo, hi)]
+                registers = [drawn[own] for own in sides]
+                component, uid = ([all_.field(c).to_numpy()[own] for own in sides] for c in ("component", "uid"))
                 equal = np.zeros((len(uid[0]), len(uid[1])), np.int16)
                 for p, q in zip(registers[0].T, registers[1].T, strict=True):
                     equal += p[:, None] == q[None, :]
@@ -269,9 +279,9 @@ def _compared(parts: DataFrame, own: DataFrame, similar: float, often: Broadcast
                     shared = (registers[0][r] == registers[1][c])[:, : BANDS * ROWS].reshape(len(r), BANDS, ROWS).all(axis=2)
                     own_ = shared.argmax(axis=1) == band
                     r, c = r[own_], c[own_]
-                texts_ = [[(np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64)) for h, n in zip(v.field("hashes").to_pylist(), v.field("counts").to_pylist(), strict=True)] for v in sides]
+                texts_ = [[(h[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]) for i in own.tolist()] for own in sides]
                 if often is not None and len(r):
-                    rarer = [[_before(h, key, often.value) for h, _ in side] for side in texts_]
+                    rarer = [[_before(h_, key, often.value) for h_, _ in side] for side in texts_]
                 met: set[tuple[int, int]] = set()
                 for i, j in zip(r.tolist(), c.tolist(), strict=True):
                     two = int(component[0][i]), int(component[1][j])
@@ -285,46 +295,72 @@ def _compared(parts: DataFrame, own: DataFrame, similar: float, often: Broadcast
                         out[1].append(int(uid[1][j]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    filled = lambda p: p.join(own, "uid").groupBy("key", "band", "part").agg(F.collect_list(F.struct("uid", "component", "registers", "hashes", "counts")).alias("x"))
-    # a bucket of one block meets itself; of several, each pair of blocks is a row of its own, dealt by the second block, so that no task holds all pairs of a bucket
-    alone = filled(parts.where("parts = 1")).select("band", "key", "x", F.col("x").alias("y"))
-    if often is None:
-        return alone.mapInArrow(compare, "a long, b long")
-    several = parts.where("parts > 1")
-    of = several.groupBy("key").agg(F.max("parts").alias("parts")).select("key", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    pairs = of.select("key", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
-    blocks = filled(several)
-    both = pairs.join(blocks, ["key", "part"]).join(blocks.select("key", F.col("part").alias("other"), F.col("x").alias("y")), ["key", "other"]).select("band", "key", "x", "y")
-    return alone.unionAll(both).mapInArrow(compare, "a long, b long")
+    meetings = parts.join(texts.select("uid", "text"), "uid").groupBy("band", "key", "lo", "hi").agg(F.collect_list(F.struct("part", "uid", "component", "text")).alias("x"))
+    return meetings.mapInArrow(compare, "a long, b long")
+
+
+def _blocks(size: Column, words: Column) -> Column:
+    return F.ceil(F.greatest(size / BLOCK, words / BLOCK_WORDS)).cast("long")
 
 
 def _in_blocks(placed: DataFrame) -> DataFrame:
-    return placed.withColumn("parts", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("long")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    """placed (key, uid, component, n_words) with part (block) and one row for each meeting lo, hi of two blocks of the key that the text takes part in.
+
+    A key of more than one block has blocks of its largest component and blocks of all others. The former are not compared with one another, so that the
+    texts of one large component meet each block of the few others once.
+    """
+    sums = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+    keys = sums.groupBy("key").agg(F.sum("n").alias("size"), F.sum("w").alias("words"), F.max(F.struct("n", "component", "w")).alias("m"))
+    several = _blocks(F.col("size"), F.col("words")) > 1
+    keys = keys.select(
+        "key", F.when(several, F.col("m.component")).alias("main"),
+        F.when(several, _blocks(F.col("m.n"), F.col("m.w"))).otherwise(0).alias("mains"),
+        F.when(several, _blocks(F.col("size") - F.col("m.n"), F.col("words") - F.col("m.w"))).otherwise(1).alias("others"),
+    )
+    rows = placed.join(keys, "key").withColumn("main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    rows = rows.withColumn("part", F.when(F.col("main"), F.pmod(F.xxhash64("uid"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("uid"), F.col("others"))))
+    met = rows.withColumn("with", F.explode(F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1)))
+    return met.withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with")).drop("with", "main", "mains", "others")
+
+
+def _of_different_texts(rows: DataFrame, first: list[str]) -> DataFrame:
+    """rows (key, uid, component) of the keys whose texts are in different components; of keys with the same texts, the least by `first`.
+
+    A pair of such texts has all these keys in common, and is compared for the first of them alone.
+    """
+    order = F.struct(*first, "key")
+    ends = [F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("uid", F.lit(k))).alias(f"h{k}") for k in (0, 1))]
+    sets = rows.groupBy("key").agg(*ends, F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(order).alias("order")).where("c0 < c1")
+    return rows.join(sets.groupBy("n", "h0", "h1").agg(F.min("order").alias("order")).select("order.key"), "key")
 
 
 def _linked_inside(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """a, b: texts of one bucket and different components with similarity `similar` or more.
 
-    Texts are compared block by block, first by their sketches and then exactly, so that only links become rows. Texts of buckets
-    of more than one block meet by their rarest shingles instead: what most texts of such a bucket hold brings none of them together.
+    Texts are compared block by block, first by their sketches and then exactly, so that only links become rows; with the leader of
+    their bucket they were compared before. Texts of buckets of more than one block meet by their rarest shingles instead: what most
+    texts of such a bucket hold brings none of them together.
     """
-    parts = _in_blocks(placed)
-    small = parts.where("parts = 1")
-    links = _compared(small, _with_sketches(texts.join(small.select("uid").distinct(), "uid")), similar)
+    parts = placed.withColumn("parts", _blocks(F.col("size"), F.col("words")))
+    small = written(_of_different_texts(parts.where("parts = 1 AND uid <> leader"), ["band"]), "compared-buckets")
+    needed = small.select("uid").distinct()
+    alone = small.select("key", "band", "uid", "component", *(F.lit(0).alias(c) for c in ("part", "lo", "hi")))
+    links = _compared(alone, _held(texts, needed, ("uid",)).join(needed, "uid"), similar)
     crowded = parts.where("parts > 1").select("uid", "component").distinct()
-    own = written(_with_sketches(texts.join(crowded.select("uid"), "uid")).join(crowded, "uid"), "crowded-texts")
+    crowd = written(_held(texts, crowded, ("uid",)).join(crowded, "uid"), "crowded")
+    own = written(_with_shingles(crowd), "crowded-texts")
     often = placed.sparkSession.sparkContext.broadcast(_frequencies(own))
     split = written(_split(own, often, similar), "rare-shingles")
-    return links.unionAll(_compared(_in_blocks(split).withColumn("band", F.lit(-1)), own.drop("component"), similar, often))
+    return links.unionAll(_compared(_in_blocks(split).withColumn("band", F.lit(-1)), crowd, similar, often))
 
 
-def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs (text, id, th) without most of the rows whose id and th wanted lacks, and with all that it holds.
+def _held(docs: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ("id", "th")) -> DataFrame:
+    """text and keys (longs) of docs without most of the rows whose keys wanted lacks, and with all that it holds.
 
-    One bit stands for each hash of id and th, in 16 bits a row of wanted and MOST_BITS at most, so that texts which no join needs are not shuffled for it.
+    One bit stands for each hash of the keys, in 16 bits a row of wanted and MOST_BITS at most, so that texts which no join needs are not shuffled for it.
     """
     bits = min(MOST_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("id", "th"), F.lit(bits))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(bits))
     words = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("set")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words["word"].to_numpy()] = words["set"].to_numpy()
@@ -332,10 +368,10 @@ def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(3).to_numpy()
-            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).select(["text", "id", "th"])
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)).select(["text", *keys])
 
-    return docs.select("text", "id", "th", slot.alias("slot")).mapInArrow(keep, "text string, id long, th long")
+    return docs.select("text", *keys, slot.alias("slot")).mapInArrow(keep, ", ".join(["text string", *(f"{k} long" for k in keys)]))
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -347,7 +383,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     In every bucket of a band all texts are compared to one of them first, the one that shares most buckets with others.
     Where that leaves more than one component, all texts of the bucket that are in different ones are compared in blocks, by sketches
-    and, where these are close, exactly; in buckets of more than one block, only texts that have one of their rarest shingles in common,
+    and, where these are close, exactly, in one of the buckets that hold the same texts; in buckets of more than one block, only texts that have one of their rarest shingles in common,
     which any two of that similarity have. A large group of copies so makes about a row for each copy.
     """
     table = written(_sketched(keyed(docs)), "sketches")
@@ -359,14 +395,15 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     inside = written(members.drop("n_words").join(buckets, "key"), "buckets")
     weight = inside.groupBy("uid").agg(F.sum("size").alias("weight"))
     leaders = inside.join(weight, "uid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("uid")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("leader"))
-    pairs = inside.join(leaders, "key").where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
+    inside = written(inside.join(leaders, "key"), "led-buckets")
+    pairs = inside.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
     wanted = written(inside.select("uid").distinct().join(table.select("uid", "id", "th"), "uid"), "candidates")
     texts = written(_held(keyed(docs), wanted).dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("uid", "text"), "candidate-texts")
     links = written(_verified(pairs, texts, similar), "links")
     joined = components(links)
     placed = inside.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    placed = written(placed.join(open_, "key").select("key", "band", "uid", "component", "size", "words"), "open-buckets")
+    placed = written(placed.join(open_, "key").select("key", "band", "uid", "leader", "component", "size", "words"), "open-buckets")
     rest = _linked_inside(placed, texts, similar)
     classes = components(written(links.unionAll(rest).unionAll(copies), "all-links"))
     sized = table.select("uid", "doc_id", "id", "th").join(classes.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))

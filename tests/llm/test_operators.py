@@ -380,6 +380,50 @@ def test_a_common_passage_brings_no_texts_together(spark, monkeypatch, tmp_path)
     assert crowd is None or crowd <= 3
 
 
+def test_buckets_are_compared_without_their_leader(spark, monkeypatch):
+    """Two texts that share a bucket were compared when one of them led it; they do not travel again."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(words[:50] + [f"v{k}x{j}" for j in range(10)])]
+    made = {}
+
+    def kept(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    written = neardup.written
+    monkeypatch.setattr(neardup, "written", kept)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.neardup_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(120)}
+    assert made["open-buckets"].count() > 20 and made["compared-buckets"].count() == 0
+
+
+def test_keys_of_the_same_texts_are_compared_once(spark):
+    rows = [(k, 10 - k, uid, c) for k, uids in {1: "ab", 2: "ab", 3: "abc", 4: "aa", 5: "bc"}.items() for uid, c in enumerate(uids)]
+    rows += [(6, 4, 0, "a"), (6, 4, 7, "b")]
+    frame = spark.createDataFrame(rows, "key long, band int, uid long, component string")
+    left = neardup._of_different_texts(frame, ["band"]).collect()
+    # 1, 2 and 5 hold the texts 0 and 1; 4 is in one component
+    assert Counter(r["key"] for r in left) == {5: 2, 3: 3, 6: 2}
+
+
+def test_blocks_of_one_component_meet_those_of_others_alone(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = [(1, uid, 0 if uid < 200 else uid, 10) for uid in range(220)] + [(2, uid, uid, 10) for uid in range(30)] + [(3, 0, 0, 10), (3, 250, 250, 10)]
+    met = neardup._in_blocks(spark.createDataFrame(rows, "key long, uid long, component long, n_words long")).collect()
+    pairs = Counter()
+    for key, lo, hi in {(r["key"], r["lo"], r["hi"]) for r in met}:
+        own = [r for r in met if (r["key"], r["lo"], r["hi"]) == (key, lo, hi)]
+        x, y = ([r for r in own if r["part"] == side] for side in (lo, hi))
+        pairs.update({(key, *sorted((i["uid"], j["uid"]))) for i in x for j in y if i["component"] != j["component"]})
+    every = {(k, *sorted((u, v))) for k, u, c, _ in rows for m, v, d, _ in rows if k == m and c != d}
+    assert set(pairs) == every and set(pairs.values()) == {1}
+    # 20 other texts are three blocks, which each text of the large component meets once
+    assert sum(r["key"] == 1 and r["uid"] < 200 for r in met) == 600
+
+
 def test_probability_jaccard():
     rng = random.Random(0)
     for _ in range(50):
